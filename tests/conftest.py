@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH")]))
     work = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]").appName("geoloom-tests")
