@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import byte_bpe, decontaminate, license_scan, quality_rules, simhash
-from geoloom.llm.shared import ship_package
+from geoloom.llm import byte_bpe, chat_format, decontaminate, license_scan, quality_rules, rule_ensemble, simhash, token_shards
+from geoloom.llm.shared import new_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,22 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(tricky)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return chat_format.read_back(chat_format.format_turns(turns, path, pattern), path, pattern)
+
+
+@_query
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_shards.write_shards(_table(spark, sf_dir, "documents"), new_path(spark, "shards"), key=20_240_229)
+    return token_shards.read_shards(shards).select("slot", "shard", "byte_offset", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+@_query
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
