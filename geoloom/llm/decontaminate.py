@@ -158,9 +158,9 @@ def search(index: DataFrame, items: DataFrame, window: int = 13, within: int | N
     return lists.select("segment", "term", "postings", "doc_ids", "doc_words").groupBy("segment").applyInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items, contaminated (hits are a twentieth of the words or more)."""
-    found = search(build_index(docs), items, window)
+    found = search(build_index(docs, id_col, text_col), items, window)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -24,10 +24,10 @@ BLANKS, BLANK_CHARS = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r"
 STATISTICS = ("n_words", "word_length", "symbols", "uppercase", "digits", "punctuation", "repeated_words", "repeated_lines", "words_per_line", "accents", "exclamations")
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``STATISTICS`` (doubles, 0 for texts without characters) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    rows = rows.select("doc_id", "_t", F.length("_t").alias("_c"), F.split(F.btrim("_t", F.lit(BLANK_CHARS)), BLANKS).alias("_w"), F.split("_t", "\n").alias("_l"))
+def statistics(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
+    """``keep`` (new name: column) and ``STATISTICS`` (doubles, 0 for texts without characters) of every row."""
+    rows = docs.select(*[c.alias(name) for name, c in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    rows = rows.select(*keep, "_t", F.length("_t").alias("_c"), F.split(F.btrim("_t", F.lit(BLANK_CHARS)), BLANKS).alias("_w"), F.split("_t", "\n").alias("_l"))
     share = lambda pattern: F.regexp_count("_t", F.lit(pattern)) / F.greatest("_c", F.lit(1))
     n = F.size("_w")
     values = {
@@ -43,7 +43,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "accents": (F.octet_length("_t") - F.col("_c")) / F.greatest("_c", F.lit(1)),
         "exclamations": share("!"),
     }
-    return rows.select("doc_id", *[values[name].cast("double").alias(name) for name in STATISTICS])
+    return rows.select(*keep, *[values[name].cast("double").alias(name) for name in STATISTICS])
 
 
 @dataclass(frozen=True)
@@ -98,21 +98,34 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
+def train(known: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id") -> RuleEnsemble:
+    """Fit on the statistics ``known`` (with doc_id) of labelled rows that aren't held out.
+
+    All of them up to ``max_rows``, beyond that about ``max_rows`` chosen by a hash of the id. Labels
+    other than 0 and 1 and null ids are left out; repeated ids meet each of their labels.
+    """
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("_label")).filter("_label in (0, 1)").filter(~held_out("doc_id"))
+    rows, n = known.join(marks, "doc_id"), marks.count()
+    if n > max_rows:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    return fit(stage(rows, "training"), "_label")
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
-    Learns from labelled rows that aren't held out: all of them up to ``max_rows``, beyond that about
-    ``max_rows`` chosen by a hash of the id. Inputs of a score are the statistics only. Null and empty
-    texts have statistics of 0 and a score. Rows with null ids are scored and never learnt from;
-    labels other than 0 and 1 are left out; repeated ids meet each of their labels. Other columns are
-    ignored. Statistics are computed once and stored, then read by training and scoring.
+    Inputs of a score are the statistics only. Null and empty texts have statistics of 0 and a score.
+    Rows with null ids are scored and never learnt from. Other columns are ignored. Statistics are
+    computed once and stored, then read by training and scoring.
     """
-    known = stage(statistics(docs, id_col, text_col), "statistics")
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("_label")).filter("_label in (0, 1)")
-    train = known.join(marks.filter(~held_out("doc_id")), "doc_id")
-    n = marks.filter(~held_out("doc_id")).count()
-    if n > max_rows:
-        train = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    model = fit(stage(train, "training"), "_label")
+    known = stage(statistics(docs, {"doc_id": F.col(id_col)}, text_col), "statistics")
+    model = train(known, labels, label, max_rows, id_col)
     scored = known.select("doc_id", held_out("doc_id").alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``classify`` predicts as 1, with all their columns and without a shuffle of texts."""
+    known = stage(statistics(docs, {"doc_id": F.col(id_col)}, text_col), "statistics")
+    model = train(known, labels, label, max_rows, id_col)
+    return statistics(docs, {"_row": F.struct("*")}, text_col).filter(model.score() >= threshold).select("_row.*")
