@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import byte_bpe, chat_format, decontaminate, license_scan, line_dedup, quality_rules, rule_ensemble, simhash, token_shards
+from geoloom.llm import byte_bpe, chat_format, decontaminate, license_scan, line_dedup, quality_rules, rule_ensemble, simhash, suffix_dedup, token_shards
 from geoloom.llm.shared import new_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.remove_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@_query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
