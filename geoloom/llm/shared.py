@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,10 +48,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back; cuts the lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once into the shared folder and read it back; cuts the lineage.
+
+    Nothing reads the shuffles behind it again, so Spark removes their files after the write.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP_KEY, "false")
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:
@@ -104,6 +113,24 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             begin = end
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables that end where a group of equal ``key`` ends, from batches sorted by it."""
+    left: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        if not len(keys):
+            continue
+        split = int(np.searchsorted(keys, keys[-1]))
+        if left and (split or left[-1].column(key)[-1].as_py() != keys[-1]):
+            yield pa.Table.from_batches([*left, batch.slice(0, split)])
+            left = []
+        elif split:
+            yield pa.Table.from_batches([batch.slice(0, split)])
+        left.append(batch.slice(split))
+    if left:
+        yield pa.Table.from_batches(left)
+
+
 def word_bounds(raw: np.ndarray, at: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word (maximal run of ``member`` bytes within a text), and words per text."""
     inside = member[raw]
@@ -130,3 +157,27 @@ def cut(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     step[ends] -= 1
     data = raw[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+ODD = 0x9E3779B97F4A7C15
+INVERSE = pow(ODD, -1, 1 << 64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+    return x ^ (x >> np.uint64(32))
+
+
+SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """ODD ** i and its inverse, modulo 2 ** 64, for i up to n."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((ODD, INVERSE)):
+            row = np.full(n + 1, np.uint64(base))
+            row[0] = 1
+            _powers[k] = np.multiply.accumulate(row)
+    return _powers[0], _powers[1]

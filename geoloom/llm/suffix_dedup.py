@@ -25,8 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.line_dedup import whole_groups
-from geoloom.llm.shared import chunks, stage, text_bytes, unstage
+from geoloom.llm.shared import ODD, SPREAD, chunks, mix, powers, stage, text_bytes, unstage, whole_groups
 from geoloom.llm.suffix_groups import _ranges, suffix_arrays
 
 LENGTH, CORE = 200, 100
@@ -37,29 +36,6 @@ GROUP_LIMIT = 4096
 #: Keys of documents that are broadcast at most, 8 bytes each; beyond, they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 POSITION_BITS = 22
-ODD = 0x9E3779B97F4A7C15
-INVERSE = pow(ODD, -1, 1 << 64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
-    return x ^ (x >> np.uint64(32))
-
-
-SPREAD = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ODD ** i and its inverse, modulo 2 ** 64, for i up to n."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((ODD, INVERSE)):
-            row = np.full(n + 1, np.uint64(base))
-            row[0] = 1
-            _powers[k] = np.multiply.accumulate(row)
-    return _powers[0], _powers[1]
-
 
 def contexts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """For all contexts of the texts: text, first start in the text, starts, core offset, core hash, context hash."""
@@ -71,7 +47,7 @@ def contexts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     up, down = powers(n)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(SPREAD[raw] * up[:n], out=total[1:])
-    core = _mix((total[CORE:] - total[:-CORE]) * down[: n - CORE + 1])
+    core = mix((total[CORE:] - total[:-CORE]) * down[: n - CORE + 1])
     low = np.uint64((1 << POSITION_BITS) - 1)
     value = (core & ~low) | np.arange(len(core), dtype=np.uint64)
     # least value over each window of the cores inside a string, by prefix and suffix minima of blocks
@@ -90,7 +66,7 @@ def contexts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     begin, c = p[first], c[first]
     end = begin + run - 1 + LENGTH
     offset = c - begin
-    whole = _mix(_mix((total[end] - total[begin]) * down[begin]) + (run << 8 | offset).astype(np.uint64) * np.uint64(ODD))
+    whole = mix(mix((total[end] - total[begin]) * down[begin]) + (run << 8 | offset).astype(np.uint64) * np.uint64(ODD))
     return text[first], begin - at[text[first]], run, offset, core[c], whole
 
 
@@ -108,25 +84,45 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nda
                 yield part.column("dk").slice(k, 1), cut, np.array([0, len(cut)]), np.array([s])
 
 
+#: Of a context in its chunk: the only one, the first of several, a later one.
+ONLY, FIRST, LATER = 0, 1, 2
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for dk, raw, at, base in pieces(batches):
         text, p, run, offset, core, whole = contexts(raw, at)
-        yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), dk.take(pa.array(text)), pa.array((p + base[text]) << 14 | run << 7 | offset)], ["key", "ctx", "dk", "at"])
+        by = np.lexsort((whole, core))
+        again = np.zeros(len(by), dtype=bool)
+        again[1:] = (core[by[1:]] == core[by[:-1]]) & (whole[by[1:]] == whole[by[:-1]])
+        seen = np.zeros(len(by), dtype=np.int8)
+        seen[by[again]] = LATER
+        seen[by[np.flatnonzero(~again & np.append(again[1:], False))]] = FIRST
+        yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), dk.take(pa.array(text)), pa.array((p + base[text]) << 14 | run << 7 | offset), pa.array(seen)], ["key", "ctx", "dk", "at", "seen"])
 
 
-OCCURRENCE = "key long, ctx long, dk long, at long"
+OCCURRENCE = "key long, ctx long, dk long, at long, seen tinyint"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and ctx, those whose key a neighbour has; with same (ctx too) and lead (first of its ctx)."""
+    """Rows whose key occurs again, with same (its ctx too) and lead (first of its ctx).
+
+    Later rows of a chunk come last and are decided; the others are sorted by key and ctx, so that
+    neighbours tell.
+    """
     held: pa.RecordBatch | None = None
     before: tuple | None = None
 
     def emit(rows: pa.RecordBatch, key_prev: np.ndarray, ctx_prev: np.ndarray, key_next: np.ndarray, ctx_next: np.ndarray) -> pa.RecordBatch:
-        out = rows.append_column("same", pa.array(ctx_prev | ctx_next)).append_column("lead", pa.array(~ctx_prev))
-        return out.filter(pa.array(key_prev | key_next))
+        first = rows.column("seen").to_numpy() == FIRST
+        out = rows.append_column("same", pa.array(ctx_prev | ctx_next | first)).append_column("lead", pa.array(~ctx_prev))
+        return out.filter(pa.array(key_prev | key_next | first))
 
     for batch in batches:
+        later = batch.column("seen").to_numpy() == LATER
+        if later.any():
+            n = int(later.sum())
+            yield batch.filter(pa.array(later)).append_column("same", pa.array(np.ones(n, bool))).append_column("lead", pa.array(np.zeros(n, bool)))
+            batch = batch.filter(pa.array(~later))
         if not batch.num_rows:
             continue
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
@@ -251,7 +247,9 @@ def _join_few(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """(dk, s, e): byte ranges, which may overlap, covered by repeated strings; texts (dk, _t) are all different."""
     found = texts.mapInArrow(_occurrences, OCCURRENCE)
-    shared = stage(found.repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(_shared, f"{OCCURRENCE}, same boolean, lead boolean"), "contexts")
+    # one row of each context and chunk meets at its key; the rest, known to be repeated, are dealt evenly
+    meeting = F.when(F.col("seen") == LATER, F.xxhash64("dk", "at")).otherwise(F.col("key"))
+    shared = stage(found.repartition(meeting).sortWithinPartitions(F.col("seen") == LATER, "key", "ctx").mapInArrow(_shared, f"{OCCURRENCE}, same boolean, lead boolean"), "contexts")
     p = F.shiftright("at", 14)
     ranges = shared.filter("same").select("dk", p.alias("s"), (p + F.shiftright("at", 7).bitwiseAND(F.lit(127)) + LENGTH - 1).alias("e"))
 
