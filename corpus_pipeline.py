@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import byte_bpe, decontaminate, line_dedup, rule_ensemble, simhash
+from geoloom.llm import byte_bpe, decontaminate, line_dedup, rule_ensemble, shingle_dedup
 from geoloom.llm.shared import ship_package, stage
 
 #: Rejected keys are broadcast up to this number, 8 bytes each; beyond, they are joined by shuffle.
@@ -33,9 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates, on shingles of five words. Null ids stay."""
-    found = simhash.near_duplicates(docs, width=5)
-    return _without(docs, found.filter("doc_id <> component_id"), "doc_id").select(*docs.columns)
+    """The row of least id of each group of near-duplicates: Jaccard similarity of 0.8 or more on shingles of five words."""
+    return shingle_dedup.remove_near_duplicates(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,176 @@
+"""Near-duplicates by Jaccard similarity of word shingles: min-hash bands find candidates, whole sets verify them.
+
+Each set of shingles has ``BANDS`` keys, each made of ``ROWS`` min-hashes. Sets of similarity s share a key with
+probability 1 - (1 - s ** ROWS) ** BANDS, which is over 0.999999 at 0.8. Equal sets are one node throughout. Sets that
+share a key are linked to the least of them, not in pairs; what the links connect is a family. Each set of a family goes
+to it once, and all its pairs (in blocks, if it is large) are decided on whole sets there.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from geoloom.llm.components import components
+from geoloom.llm.line_dedup import few, word_hashes
+from geoloom.llm.shared import LOWER, NOT_BLANK, ODD, chunks, mix, stage, text_bytes, whole_groups, word_bounds
+
+CHUNK_BYTES = 1 << 20
+SIMILARITY = 0.8
+WIDTH = 5
+BANDS, ROWS = 48, 6
+#: Sets of a family that one comparison block holds at most; larger families are cut into pairs of blocks.
+BLOCK = 1024
+_random = np.random.default_rng(20_240_229)
+FACTORS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+MASKS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+
+
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of each text, as 64-bit hashes end to end, and how many each text has.
+
+    Words are cut at blanks, A-Z lower-cased. A text of fewer than ``width`` words is one shingle, one without words none.
+    """
+    raw, at = text_bytes(column)
+    raw = LOWER[raw]
+    starts, ends, n_words = word_bounds(raw, at, NOT_BLANK)
+    words = word_hashes(raw, starts, ends)
+    n = np.where(n_words > 0, np.maximum(1, n_words - width + 1), 0)
+    text = np.repeat(np.arange(len(n)), n)
+    lead = (np.cumsum(n_words) - n_words)[text] + np.arange(len(text)) - (np.cumsum(n) - n)[text]
+    end = np.cumsum(n_words)[text]
+    out = np.zeros(len(text), dtype=np.uint64)
+    for k in range(width):
+        inside = lead + k < end
+        out[inside] = mix(out[inside] * np.uint64(ODD) + words[lead[inside] + k])
+    by = np.lexsort((out, text))
+    out, text = out[by], text[by]
+    new = np.ones(len(out), dtype=bool)
+    new[1:] = (out[1:] != out[:-1]) | (text[1:] != text[:-1])
+    return out[new], np.bincount(text[new], minlength=len(n))
+
+
+def band_keys(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """(sets, BANDS) keys of non-empty sets that lie end to end."""
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    keys = np.zeros((len(begin), BANDS), dtype=np.uint64)
+    for k in range(BANDS * ROWS):
+        least = np.minimum.reduceat((low ^ MASKS[k]) * FACTORS[k], begin).astype(np.uint64)
+        band = k // ROWS
+        keys[:, band] = mix(keys[:, band] * np.uint64(ODD) + least + np.uint64(band))
+    return keys
+
+
+def signatures(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(rk, doc_id, set_id, keys) of rows (rk, doc_id, _t); texts without words have set 0 and no keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "_t", CHUNK_BYTES):
+            shingles, n = shingle_sets(part.column("_t"), width)
+            has = np.flatnonzero(n)
+            begin = (np.cumsum(n) - n)[has]
+            set_id = np.zeros(len(n), dtype=np.uint64)
+            keys = np.zeros((0, BANDS), dtype=np.uint64)
+            if len(has):
+                set_id[has] = np.add.reduceat(mix(shingles ^ np.uint64(0x51ED270B)), begin)
+                keys = band_keys(shingles, begin)
+            edges = pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(edges, pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("rk"), part.column("doc_id"), pa.array(set_id.view(np.int64)), lists], ["rk", "doc_id", "set_id", "keys"])
+
+    return rows.select("rk", "doc_id", "_t").mapInArrow(run, "rk long, doc_id long, set_id long, keys array<bigint>")
+
+
+def forest(flat: np.ndarray, size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the graph of similarity ``t`` or more between sets that lie end to end."""
+    codes = np.unique(flat, return_inverse=True)[1].astype(np.int32)
+    begin = np.cumsum(size) - size
+    mark = np.zeros(int(codes.max()) + 1, dtype=np.int8)
+    open_, words, queue, found = np.arange(len(size)), codes, [], []
+    while len(open_):
+        if not queue:  # the next component's first set
+            queue.append(int(open_[0]))
+            words, open_ = words[size[open_[0]] :], open_[1:]
+            continue
+        i = queue.pop()
+        mine = codes[begin[i] : begin[i] + size[i]]
+        mark[mine] = 1
+        common = np.add.reduceat(mark[words], np.cumsum(size[open_]) - size[open_], dtype=np.int32)
+        mark[mine] = 0
+        hit = common >= t * (size[open_] + size[i] - common) - 1e-9
+        if hit.any():
+            found.append((np.full(int(hit.sum()), i), open_[hit]))
+            queue += open_[hit].tolist()
+            words, open_ = words[np.repeat(~hit, size[open_])], open_[~hit]
+    u, v = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    return u, v
+
+
+def similar_sets(rows: DataFrame, sets: DataFrame, width: int = WIDTH, t: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between set_ids of ``sets`` (set_id, rk of one row, keys) that span the pairs of similarity ``t`` or more."""
+    keys = sets.select("set_id", F.explode("keys").alias("key"))
+    groups = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.count("*").alias("n")).filter("n > 1").select("key", "low")
+    candidates = keys.join(groups, "key").filter("set_id <> low").select(F.col("set_id").alias("u"), F.col("low").alias("v")).distinct()
+    family = stage(components(candidates).withColumnRenamed("node", "set_id"), "shingle-families")
+    sizes = family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    wanted = stage(sets.select("set_id", "rk").join(family, "set_id").join(sizes, "root"), "sets-wanted")
+    found = rows.join(few(wanted, wanted.count()), "rk").select("set_id", "root", "blocks", "_t")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "_t", CHUNK_BYTES):
+            shingles, n = shingle_sets(part.column("_t"), width)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(shingles.view(np.int64)))
+            names = ["set_id", "root", "blocks"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], lists], [*names, "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "cell"):
+            table = table.combine_chunks()
+            cell, node, lists = table["cell"].to_numpy(), table["set_id"].to_numpy(), table["shingles"].chunk(0)
+            flat, size = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+            edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            begin = np.append(0, np.cumsum(size))
+            for s, e in zip(edge.tolist(), np.append(edge[1:], len(cell)).tolist(), strict=True):
+                if e - s > 1:
+                    u, v = forest(flat[begin[s] : begin[e]], size[s:e], t)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[s:e][u]), pa.array(node[s:e][v])], ["u", "v"])
+
+    whole = found.mapInArrow(read, "set_id long, root long, blocks int, shingles array<bigint>").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = whole.select("set_id", "root", "block", "shingles", other).select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "set_id", "shingles")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """64-bit hash of all columns and of which are null."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
+def remove_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, t: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near-duplicates, all columns kept: the row of least id (null last), then of least row key.
+
+    Two texts are near-duplicates if the Jaccard similarity of their sets of ``width``-word shingles is ``t`` or more; a
+    group is what such pairs connect. Texts without words (null and empty ones) are one group. Rows are told
+    apart by all their columns, so rows that share an id but not the text are judged each; of equal rows, one stays.
+    """
+    keyed = docs.withColumn("_rk", row_key(docs))
+    rows = keyed.select(F.col("_rk").alias("rk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t"))
+    signed = stage(signatures(rows, width), "shingle-signatures")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
+    sets = stage(signed.groupBy("set_id").agg(F.min("rk").alias("rk"), F.count("*").alias("n"), low.alias("low"), F.first("keys").alias("keys")), "shingle-sets")
+    roots = components(similar_sets(rows, sets, width, t)).withColumnRenamed("node", "set_id")
+    placed = sets.select("set_id", "n", "low").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    least = placed.groupBy("root").agg(F.sum("n").alias("rows"), F.min("low").alias("kept")).filter("rows > 1")
+    grouped = placed.join(least, "root").select("set_id", F.col("kept.rk").alias("kept"))
+    gone = signed.select("rk", "set_id").join(grouped, "set_id").filter("rk <> kept").select(F.col("rk").alias("_rk")).distinct()
+    gone = stage(gone, "near-duplicate-rows")
+    left = keyed.join(few(gone, gone.count()), "_rk", "left_anti")
+    again = stage(signed.groupBy("rk").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rk").alias("_rk")), "equal-rows")
+    n_again = again.count()
+    if n_again:  # equal rows have one key
+        left = left.join(few(again, n_again), "_rk", "left_anti").union(left.join(few(again, n_again), "_rk", "left_semi").select(*left.columns).dropDuplicates(["_rk"]))
+    return left.select(*docs.columns)
