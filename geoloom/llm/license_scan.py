@@ -20,7 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrase, label.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: License families: label, gate word, name as words, short name, versions.
+#: License families: label, word of the short name that gates its rules, name as words, short name, versions.
 FAMILIES = (
     ("gpl", "gpl", "gnu general public license", "gpl", ("1.0", "2.0", "3.0")),
     ("lgpl", "lgpl", "gnu lesser general public license", "lgpl", ("2.0", "2.1", "3.0")),
@@ -43,27 +43,30 @@ FAMILIES = (
     ("wtfpl", "wtfpl", "do what the fuck you want to public license", "wtfpl", ("2.0",)),
     ("unlicense", "unlicense", "the unlicense", "unlicense", ()),
     ("cc0", "cc0", "creative commons zero", "cc0", ("1.0",)),
-    ("cc-by", "by", "creative commons attribution", "cc by", ("2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", "sa", "creative commons attribution sharealike", "cc by sa", ("2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", "nc", "creative commons attribution noncommercial", "cc by nc", ("2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", "nd", "creative commons attribution noderivatives", "cc by nd", ("2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", "sa", "creative commons attribution noncommercial sharealike", "cc by nc sa", ("3.0", "4.0")),
-    ("cc-by-nc-nd", "nd", "creative commons attribution noncommercial noderivatives", "cc by nc nd", ("3.0", "4.0")),
+    ("cc-by", "cc", "creative commons attribution", "cc by", ("2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-sa", "cc", "creative commons attribution sharealike", "cc by sa", ("2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc", "cc", "creative commons attribution noncommercial", "cc by nc", ("2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nd", "cc", "creative commons attribution noderivatives", "cc by nd", ("2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-sa", "cc", "creative commons attribution noncommercial sharealike", "cc by nc sa", ("3.0", "4.0")),
+    ("cc-by-nc-nd", "cc", "creative commons attribution noncommercial noderivatives", "cc by nc nd", ("3.0", "4.0")),
     ("odbl", "odbl", "open database license", "odbl", ("1.0",)),
     ("odc-by", "odc", "open data commons attribution license", "odc by", ("1.0",)),
     ("pddl", "pddl", "public domain dedication and license", "pddl", ("1.0",)),
     ("ofl", "ofl", "sil open font license", "ofl", ("1.0", "1.1")),
     ("ncsa", "ncsa", "university of illinois ncsa open source license", "ncsa", ()),
-    ("python", "python", "python software foundation license", "psf", ("2.0",)),
+    ("python", "psf", "python software foundation license", "psf", ("2.0",)),
     ("postgresql", "postgresql", "postgresql license", "postgresql", ()),
-    ("ms-pl", "microsoft", "microsoft public license", "ms pl", ()),
-    ("ms-rl", "microsoft", "microsoft reciprocal license", "ms rl", ()),
+    ("ms-pl", "pl", "microsoft public license", "ms pl", ()),
+    ("ms-rl", "rl", "microsoft reciprocal license", "ms rl", ()),
     ("openssl", "openssl", "openssl license", "openssl", ()),
     ("php", "php", "php license", "php", ("3.0", "3.01")),
     ("ruby", "ruby", "ruby license", "ruby", ()),
     ("x11", "x11", "x11 license", "x11", ()),
 )
 
+#: Words of names that don't gate a rule by themselves; a name of such words only is gated by its "license".
+ORDINARY = frozenset("license licence public the and to do what you want of general common software open source free documentation development distribution data domain union university".split())
+
 #: What each form of rule is worth: lower priority numbers win, and the score follows.
 FORM_SCORE = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.7, 5: 0.5}
 
@@ -77,7 +80,7 @@ def rule_rows() -> list[tuple[int, str, str, int, str]]:
     """
     rows = []
     for label, gate, name, short, versions in FAMILIES:
-        name_gate = max((w for w in name.split() if w not in ("license", "licence", "public", "the", "and", "to")), key=len)
+        name_gate = max((w for w in name.split() if w not in ORDINARY), key=len, default="license")
         forms = [(1, gate, rf" spdx license identifier {short}(?: \d+)*(?: only| or later| clause)*(?= )")]
         forms += [(2, name_gate, rf" licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{name}(?= )"), (2, gate, rf" licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{short}(?= )")]
         for version in versions:
@@ -89,6 +92,12 @@ def rule_rows() -> list[tuple[int, str, str, int, str]]:
     return [(k, word, regex, priority, label) for k, (priority, word, regex, label) in enumerate(dict.fromkeys(rows))]
 
 
+def gate_words() -> list[str]:
+    """Words of which a text must have one for any rule or base phrase to match."""
+    gates = {r[1] for r in rule_rows()}
+    return sorted(gates | {p.split()[0] for p, _ in BASE_PHRASES if not gates & set(p.split())})
+
+
 def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rule_rows(), "rule_id int, gate string, regex string, priority int, label string")
 
@@ -126,10 +135,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     A word is a run of letters, digits and non-ASCII characters after lower-casing A-Z. Null and
     empty texts have no words, no labels and score 0. Rows with the same id and text get the same
     answer each; other columns are ignored. ``score`` is the value of the strongest kept detection.
-    Regexes run only on texts that hold one of the keywords; a text of any length is scanned whole.
+    Regexes run only on texts that hold a gate word of some rule; a text of any length is scanned whole.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    base = base.select("doc_id", "_t", F.size(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))).cast("long").alias("n_words"), F.col("_t").rlike("(?i)licen[sc]e|creative|(?<![a-z])(cc|spdx|[al]?gpl)(?![a-z])").alias("_hit"))
+    found = F.regexp_extract_all(F.translate("_t", UPPER, LOWER), F.lit(WORD), F.lit(0))
+    base = base.select("doc_id", "_t", F.size(found).cast("long").alias("n_words"), F.arrays_overlap(found, F.array(*[F.lit(w) for w in gate_words()])).alias("_hit"))
     spaced = F.when(F.col("_hit"), F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate("_t", UPPER, LOWER), SEPARATORS, " "), F.lit(" ")), F.lit(" ")))
     base = base.select("doc_id", "n_words", F.xxhash64("_t").alias("_th"), spaced.alias("_words"))
 
