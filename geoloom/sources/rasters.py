@@ -166,22 +166,56 @@ def archive_directory(data: bytes) -> tuple[list[int], list[int], list[int], lis
     return columns[0], columns[1], columns[2], columns[3]
 
 
+#: Directories on the way to a tile, the root included.
+MAX_DIRECTORY_DEPTH = 4
+
+
 def ingest_archive_dir(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the root directory of version 3 tile archives: path, tile_id, run_length, length, offset."""
+    """Tile entries of version 3 tile archives, leaf directories followed: path, tile_id, run_length, length, offset.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Each level's pointers are rows, dealt out by directory, and each directory is decoded by itself. Pointers that
+    remain after ``MAX_DIRECTORY_DEPTH`` levels raise an error. Entries of run length 0 in an archive without a leaf
+    section lead nowhere and stay as they are.
+    """
+    schema = "path string, leaves long, dir_at long, seq long, delta long, run_length long, length long, stored_offset long"
+
+    def entries(name: str, leaves: int, at: int, raw: bytes, zipped: bool) -> pd.DataFrame:
+        columns = archive_directory(gzip.decompress(raw) if zipped else raw) if raw else ([], [], [], [])
+        delta, run_length, length, stored = columns
+        return pd.DataFrame({"path": name, "leaves": leaves, "dir_at": at, "seq": range(len(delta)), "delta": delta, "run_length": run_length, "length": length, "stored_offset": stored})
+
+    def root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 data = bytes(content)
                 if data[:7] != b"PMTiles" or data[7] != 3:
                     raise ValueError(f"{name}: not a version 3 archive")
                 at, n = struct.unpack("<QQ", data[8:24])
-                raw = data[at : at + n]
-                delta, run_length, length, stored = archive_directory(gzip.decompress(raw) if data[97] == 2 else raw)
-                yield pd.DataFrame({"path": name, "seq": range(len(delta)), "delta": delta, "run_length": run_length, "length": length, "stored_offset": stored})
+                yield entries(name, struct.unpack("<Q", data[48:56])[0], at, data[at : at + n], data[97] == 2)
 
-    raw = files(spark, path).mapInPandas(run, "path string, seq long, delta long, run_length long, length long, stored_offset long")
-    return decode_directory(raw, ["path"], "seq").select("path", "tile_id", "run_length", "length", "offset")
+    def leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, leaves, at, raw, zipped in zip(batch["path"], batch["leaves"], batch["dir_at"], batch["raw"], batch["zipped"], strict=True):
+                yield entries(name, leaves, at, bytes(raw), zipped)
+
+    def decoded(raw: DataFrame) -> DataFrame:
+        return decode_directory(raw, ["path", "dir_at"], "seq").select("path", "leaves", "tile_id", "run_length", "length", "offset")
+
+    def number(at: int) -> str:
+        return f"cast(conv(hex(reverse(substring(content, {at + 1}, 8))), 16, 10) as long)"
+
+    tile, pointer = "run_length > 0 or leaves = 0", "run_length = 0 and leaves > 0"
+    source = files(spark, path)
+    level = decoded(source.mapInPandas(root, schema))
+    out = level.filter(tile)
+    for _ in range(MAX_DIRECTORY_DEPTH - 1):
+        pointers = level.filter(pointer).select("path", "leaves", F.col("offset").alias("leaf"), F.col("length").alias("n")).distinct()
+        asked = source.select("path", "content").join(pointers, "path")
+        cut = asked.select("path", "leaves", F.expr(f"{number(40)} + leaf").alias("dir_at"), F.expr(f"substring(content, cast({number(40)} + leaf + 1 as int), cast(n as int))").alias("raw"), F.expr("hex(substring(content, 98, 1)) = '02'").alias("zipped"))
+        level = decoded(cut.repartition("path", "dir_at").mapInPandas(leaf, schema))
+        out = out.union(level.filter(tile))
+    too_deep = level.filter(pointer).select("path", "leaves", F.raise_error(F.lit("tile archive: directories are nested too deep")).cast("long").alias("tile_id"), "run_length", "length", "offset")
+    return out.union(too_deep).drop("leaves")
 
 
 def undo(kind: int, chunk: np.ndarray) -> np.ndarray:
