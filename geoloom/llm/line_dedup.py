@@ -1,14 +1,13 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-Words of a line are a set. All sets are ordered by one rarity order (a class of the corpus count, by
-buckets, then the word's hash), so two sets with Jaccard similarity t or more share a word among their first
-size - ceil(t * size) + 1 words. Lines meet at those words; length, position and 32 counters of
-the set's words by hash (they bound the symmetric difference from below) rule pairs out; what is left is verified on the
-whole sets. A line is removed if an earlier line, by document id and line number, matches.
-
-Groups of lines that meet don't send their pairs on, which grow with the square of the group. They
-send links that connect the possible matches; lines so connected form a family, each line's set
-goes to its family once, and the pairs of a family (in blocks, if it is large) are verified there.
+Words of a line are a set; equal sets are one set, as old as their oldest line, before anything is joined. All sets are
+ordered by one rarity order (the class of a word's count over the corpus, then its hash), so two sets of Jaccard
+similarity t or more have their first common word among the first size - ceil(t * size) + 1 words of both. Sets meet
+there. A word of one set only is never sent. A word that very many sets have is sent with each possible second common
+word, so that its sets meet in small groups. Where sets meet, length and position (at the first common word, all
+common words are still to come) and 128 parities of the set's words (they bound the symmetric difference from below)
+rule pairs out. Each set sends its oldest possible matches on; these are verified on whole sets. A set that has more
+of them and isn't matched yet meets all of them in a second round, so the join stays exact.
 """
 
 from __future__ import annotations
@@ -17,23 +16,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from geoloom.llm.components import components
-from geoloom.llm.shared import LOWER, NOT_BLANK, SPREAD, chunks, mix, powers, stage, text_bytes, whole_groups, word_bounds
+from geoloom.llm.shared import BROADCAST_ROWS, LOWER, NOT_BLANK, SPREAD, chunks, few, free_name, heavy_join, mix, powers, stage, text_bytes, unstage, whole_groups, word_bounds
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 SIMILARITY = 0.8
-#: Lines with fewer different words are left alone.
-MIN_WORDS = 10
-#: Corpus counts of words are kept in so many buckets, whatever the corpus.
-BUCKETS = 1 << 16
-#: Tables of a few numbers in a row are broadcast up to so many rows; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 500_000
-#: Lines of a family that one comparison block holds at most; larger families are cut into pairs of blocks.
-BLOCK = 4096
-NIBBLES = 4 * np.arange(16, dtype=np.uint64)
+#: Corpus counts of words are kept in so many buckets, one byte each once they are classes, whatever the corpus.
+BUCKETS = 1 << 24
+#: Buckets of one row of counts.
+SLICE = 1 << 12
+#: A word in more sets than this is sent with a second word.
+HOT_SETS = 2048
+#: A group of more sets than this is cut into pairs of blocks.
+GROUP_SETS = 1 << 16
+#: Groups up to this size are compared by size, all at once; larger ones from the oldest set on.
+SMALL_GROUP = 1024
+#: Oldest possible matches that a set sends on from each group in the first round.
+OLDEST = 2
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -45,9 +47,12 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 class LineSets:
-    """Word sets of all lines of some texts."""
+    """Word sets of all lines with a word of some texts: text, number (in its text), begin (of its words), size, lo and hi (128-bit hash) of each line.
 
-    def __init__(self, column: pa.Array) -> None:
+    ``words`` are in order of line, class and hash; without ``classes``, of line and hash.
+    """
+
+    def __init__(self, column: pa.Array, classes: np.ndarray | None = None) -> None:
         raw, at = text_bytes(column)
         raw = LOWER[raw]
         starts, ends, _ = word_bounds(raw, at, NOT_BLANK)
@@ -56,27 +61,46 @@ class LineSets:
         begin = np.concatenate([at[:-1], breaks + 1])
         text = np.concatenate([np.arange(len(at) - 1), np.searchsorted(at, breaks, side="right") - 1])
         order = np.lexsort((begin, text))
-        self.text = text[order]
-        first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=len(at) - 1))])[:-1]
-        self.number = np.arange(len(order)) - first[self.text]
-        self.line = np.searchsorted(begin[order], starts, side="right") - 1
-        self.hash = word_hashes(raw, starts, ends)
-
-    def ordered(self, classes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different words by (line, rarity class, hash): hashes, and for each line with enough words its number here and size."""
-        few = len(self.number) < 1 << 20  # lines, rarity and hash fit one number to sort by, but for the hash's lowest bits
-        rarity = classes[(self.hash % np.uint64(BUCKETS)).astype(np.int64)]
-        if few:
-            by = np.argsort(self.line.astype(np.uint64) << np.uint64(44) | rarity << np.uint64(38) | self.hash >> np.uint64(26))
-        else:
-            by = np.lexsort((self.hash >> np.uint64(26), rarity, self.line))
-        line, words = self.line[by], self.hash[by]
+        text = text[order]
+        first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(at) - 1))])[:-1]
+        number = np.arange(len(order)) - first[text]
+        line = np.searchsorted(begin[order], starts, side="right") - 1
+        words = word_hashes(raw, starts, ends)
+        rarity = np.zeros(len(words), np.uint8) if classes is None else classes[(words % np.uint64(BUCKETS)).astype(np.int64)]
+        by = None
+        if len(number) < 1 << 20:  # line, class and hash fit one number to sort by, but for the hash's lowest bits
+            whole = line.astype(np.uint64) << np.uint64(44) | rarity.astype(np.uint64) << np.uint64(36) | words >> np.uint64(28)
+            by = np.argsort(whole)
+            tie = whole[by[1:]] == whole[by[:-1]]
+            if (words[by[1:]][tie] != words[by[:-1]][tie]).any():
+                by = None
+        if by is None:
+            by = np.lexsort((words, rarity, line))
+        line, words, rarity = line[by], words[by], rarity[by]
         new = np.ones(len(by), dtype=bool)
         new[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
-        line, words = line[new], words[new]
-        edge = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
-        size = np.diff(np.append(edge, len(line)))
-        return words[np.repeat(size >= min_words, size)], line[edge][size >= min_words], size[size >= min_words]
+        line, self.words, self.rarity = line[new], words[new], rarity[new]
+        self.begin = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.begin, len(line)))
+        self.text, self.number = text[line[self.begin]], number[line[self.begin]]
+        if len(self.begin):
+            self.lo = np.add.reduceat(mix(self.words ^ np.uint64(0x51ED270B)), self.begin)
+            self.hi = np.add.reduceat(mix(self.words * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x27D4EB2F)), self.begin)
+        else:
+            self.lo = self.hi = np.zeros(0, np.uint64)
+
+    def first_seen(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lines, one of each set, whose set isn't among the sorted ``seen`` hashes; and ``seen`` with these."""
+        lo, at = np.unique(self.lo, return_index=True)
+        if len(seen):
+            fresh = seen[np.minimum(np.searchsorted(seen, lo), len(seen) - 1)] != lo
+            lo, at = lo[fresh], at[fresh]
+        return np.sort(at), np.sort(np.concatenate([seen, lo]))
+
+    def spread(self, lines: np.ndarray) -> np.ndarray:
+        """Places in ``words`` of all words of the lines."""
+        size = self.size[lines]
+        return np.repeat(self.begin[lines] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def _arrow(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -84,230 +108,339 @@ def _arrow(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, list(columns))
 
 
-def rarity_classes(rows: DataFrame) -> np.ndarray:
-    """Rarity class, 0 (rarest) to 63, of the corpus's words by hash bucket: half powers of two of their occurrences.
+def _nulls(n: int, kind: pa.DataType) -> pa.Array:
+    return pa.nulls(n, kind)
 
-    ``BUCKETS`` numbers, whatever the corpus.
+
+def line_table(rows: DataFrame) -> DataFrame:
+    """Stored: a row (id, th, line, lo, hi) for each line with a word, and rows (part, offsets, counts) that count words by bucket.
+
+    Words are counted once for each set, as far as one task sees its copies.
     """
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for part in chunks(batches, "_t", CHUNK_BYTES):
-            raw, at = text_bytes(part.column("_t"))
-            raw = LOWER[raw]
-            hashes = word_hashes(raw, *word_bounds(raw, at, NOT_BLANK)[:2])
-            total += np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        total, seen, id_type = np.zeros(BUCKETS, dtype=np.uint32), np.zeros(0, np.uint64), None
+        for part in chunks(batches, "text", CHUNK_BYTES):
+            sets = LineSets(part.column("text"))
+            fresh, seen = sets.first_seen(seen)
+            np.add.at(total, (sets.words[sets.spread(fresh)] % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))
+            take, n = pa.array(sets.text), len(sets.lo)
+            id_type = part.column("id").type
+            yield _arrow(id=part.column("id").take(take), th=part.column("th").take(take), line=sets.number, lo=sets.lo, hi=sets.hi, part=_nulls(n, pa.int32()), offsets=_nulls(n, pa.binary()), counts=_nulls(n, pa.binary()))
         used = np.flatnonzero(total)
-        yield _arrow(bucket=used, n=total[used])
-
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in rows.select("_t").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.bucket] = r.n
-    return np.minimum(63, (2 * np.log2(np.maximum(out / max(1.0, out.mean() / 64), 1))).astype(np.uint64))
-
-
-def _possible(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-    """Whether rows i and j, which share a prefix word, pass the length, position and counter filters."""
-    x, y = a["len"][i], a["len"][j]
-    need = np.ceil(t / (1 + t) * (x + y) - 1e-9).astype(np.int64)
-    most = np.minimum(a["pos"][i], a["pos"][j]) + 1 + np.minimum(x - a["pos"][i], y - a["pos"][j]) - 1
-    steps = np.abs(a["counters"][i] - a["counters"][j])
-    apart = np.minimum(steps, 16 - steps).sum(axis=1, dtype=np.int64)
-    return (np.minimum(x, y) >= t * np.maximum(x, y) - 1e-9) & (most >= need) & (apart <= x + y - 2 * need)
-
-
-def arrays(table: pa.Table) -> dict[str, np.ndarray]:
-    out = {c: table[c].to_numpy() for c in ("word", "dk", "line", "size")}
-    bits = np.stack([table[c].to_numpy().view(np.uint64) for c in ("bits", "bits2")], axis=1)
-    counters = (bits[:, :, None] >> NIBBLES & np.uint64(15)).astype(np.int8).reshape(-1, 32)
-    return out | {"counters": counters, "len": out["size"] >> 32, "pos": out["size"] & 0xFFFFFFFF}
-
-
-def starts_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys: the first row of each row's group, and the first rows of the groups."""
-    edge = np.append(True, keys[1:] != keys[:-1])
-    at = np.flatnonzero(edge)
-    return at[np.cumsum(edge) - 1], at
-
-
-def _first_matches(a: dict[str, np.ndarray], start: np.ndarray, t: float) -> np.ndarray:
-    """For each row of groups sorted by age, the earliest possible match in its group, or -1."""
-    n = len(start)
-    first, todo = np.full(n, -1), np.arange(n)
-    lag = 0
-    while True:  # row by row from each group's oldest on, all groups at once
-        todo = todo[(start[todo] + lag < todo) & (first[todo] < 0)]
-        if not len(todo):
-            return first
-        ok = _possible(a, todo, start[todo] + lag, t)
-        first[todo[ok]] = start[todo[ok]] + lag
-        lag += 1
-
-
-ID = "doc_id long, dk long, line long"
-
-
-def similar_lines(docs: DataFrame, t: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """(dk, line): the lines to remove, from rows (doc_id, _t, dk) with different dk."""
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(rarity_classes(docs))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "_t", CHUNK_BYTES):
-            sets = LineSets(part.column("_t"))
-            words, line, size = sets.ordered(counts.value, min_words)
-            begin = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
-            counters = np.bincount(np.repeat(np.arange(len(size)), size) << 5 | (words >> np.uint64(59)).astype(np.int64), minlength=32 * len(size)).reshape(-1, 2, 16) & 15
-            bits = (counters.astype(np.uint64) << NIBBLES).sum(axis=2, dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                set_id = np.add.reduceat(mix(words ^ np.uint64(0x51ED270B)), begin) if len(begin) else np.zeros(0, np.uint64)
+        if len(used):
+            edge = np.flatnonzero(np.append(True, used[1:] // SLICE != used[:-1] // SLICE))
+            bounds = pa.py_buffer((2 * np.append(edge, len(used))).astype(np.int32))
+            packed = [pa.Array.from_buffers(pa.binary(), len(edge), [None, bounds, pa.py_buffer(x.astype(np.uint16))]) for x in (used % SLICE, np.minimum(total[used], 65535))]
+            long = _nulls(len(edge), pa.int64())
+            yield _arrow(id=_nulls(len(edge), id_type), th=long, line=long, lo=long, hi=long, part=(used[edge] // SLICE).astype(np.int32), offsets=packed[0], counts=packed[1])
+
+    return stage(rows.mapInArrow(run, f"id {kind}, th long, line long, lo long, hi long, part int, offsets binary, counts binary"), "line-sets")
+
+
+#: Classes of counts: 1 to 32 are exact, then four to each doubling.
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    logs = 32 + 4 * np.log2(np.maximum(counts, 32) / 32)
+    return np.minimum(np.where(counts <= 32, counts, logs), 255).astype(np.uint8)
+
+
+def most_of(classes: np.ndarray) -> np.ndarray:
+    """The highest count of each class."""
+    return np.where(classes <= 32, classes, np.ceil(32 * 2 ** ((classes.astype(np.float64) - 31) / 4))).astype(np.int64)
+
+
+def rarity_classes(table: DataFrame) -> np.ndarray:
+    """Class of each bucket's count: ``BUCKETS`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(SLICE, dtype=np.int64)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([classes_of(total).tobytes()], pa.binary())], ["part", "classes"])
+        for batch in batches:
+            for part, offsets, counts in zip(batch.column("part").to_pylist(), batch.column("offsets"), batch.column("counts"), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield done()
+                    now, total = part, np.zeros(SLICE, dtype=np.int64)
+                total[np.frombuffer(offsets.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint16)
+        if now is not None:
+            yield done()
+
+    out = np.zeros(BUCKETS, dtype=np.uint8)
+    packed = table.filter("part is not null").select("part", "offsets", "counts").repartition("part").sortWithinPartitions("part")
+    for r in packed.mapInArrow(run, "part int, classes binary").collect():  # BUCKETS bytes in all
+        out[r.part * SLICE : (r.part + 1) * SLICE] = np.frombuffer(r.classes, np.uint8)
+    return out
+
+
+def age_code(rows: DataFrame) -> Column:
+    """A long that doesn't fall as the id rises, null first; the exact order is asked where it matters."""
+    kind = rows.schema["id"].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(F.col("id").cast("long"), F.lit(-(2**63)))
+    if kind == "string":
+        return F.coalesce(F.conv(F.rpad(F.hex(F.encode(F.col("id"), "UTF-8").substr(1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+    return F.lit(0).cast("long")
+
+
+def prefix_rows(rows: DataFrame, classes, t: float) -> DataFrame:
+    """(key, age, lo, size << 32 | room, parity, parity2) where sets can have their first common word; room: words that can still be common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, oldest = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for part in chunks(batches, "text", CHUNK_BYTES):
+            sets = LineSets(part.column("text"), classes.value)
+            ages = part.column("age").to_numpy()[sets.text]
+            order = np.lexsort((ages, sets.lo))
+            lines = order[np.append(True, sets.lo[order[1:]] != sets.lo[order[:-1]])] if len(order) else order
+            lines = lines[sets.size[lines] >= t * (sets.size[lines] + 1) - 1e-9]  # a smaller set is like no other
+            if len(seen):  # a copy that isn't older says nothing new
+                at = np.minimum(np.searchsorted(seen, sets.lo[lines]), len(seen) - 1)
+                lines = lines[(seen[at] != sets.lo[lines]) | (ages[lines] < oldest[at])]
+            both, both_age = np.concatenate([seen, sets.lo[lines]]), np.concatenate([oldest, ages[lines]])
+            order = np.lexsort((both_age, both))
+            order = order[np.append(True, both[order[1:]] != both[order[:-1]])] if len(order) else order
+            seen, oldest = both[order], both_age[order]
+            size = sets.size[lines]
             width = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-            of = np.repeat(np.arange(len(size)), width)
+            of = np.repeat(np.arange(len(lines)), width)
             pos = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
-            row = sets.text[line]
-            take = pa.array(row[of])
-            yield _arrow(word=words[begin[of] + pos], doc_id=part.column("doc_id").take(take), dk=part.column("dk").take(take), line=sets.number[line][of], size=size[of] << 32 | pos, bits=bits[of, 0], bits2=bits[of, 1], set_id=set_id[of])
-
-    schema = f"word long, {ID}, size long, bits long, bits2 long, set_id long"
-    rows = docs.select("doc_id", "dk", "_t").mapInArrow(prefixes, schema)
-    age = ["doc_id", "dk", "line"]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(dk, line, dk2, line2) links that span the possible matches of each group; dk2 is null for a line whose whole set an earlier line has."""
-        for table in whole_groups(batches, "word"):
-            word, set_id = table["word"].to_numpy(), table["set_id"].to_numpy()
-            group = np.cumsum(np.append(True, word[1:] != word[:-1]))
-            by = np.lexsort((set_id, group))  # keeps age within equal sets
-            equal = np.zeros(len(word), dtype=bool)
-            equal[by[1:]] = (group[by[1:]] == group[by[:-1]]) & (set_id[by[1:]] == set_id[by[:-1]])
-            a = arrays(table)
-            once = np.flatnonzero(equal & (a["pos"] == 0))  # one row for each such line
-            rest = np.flatnonzero(~equal)
-            i, j = _links({k: v[rest] for k, v in a.items()}, starts_of(word[rest])[0], t)
-            left = np.concatenate([rest[i], once])
-            right, missing = np.concatenate([rest[j], once]), np.concatenate([np.zeros(len(i), bool), np.ones(len(once), bool)])
-            yield _arrow(dk=a["dk"][left], line=a["line"][left], dk2=pa.array(a["dk"][right], mask=missing), line2=pa.array(a["line"][right], mask=missing))
-
-    dealt = rows.repartition("word").sortWithinPartitions("word", *age)
-    links = stage(dealt.mapInArrow(meet, "dk long, line long, dk2 long, line2 long").distinct(), "line-links")
-    equal, links = links.filter("dk2 is null").select("dk", "line"), links.filter("dk2 is not null")
-
-    # a family has all lines that possible matches connect; each line's set goes to its family once
-    ends = links.select("dk", "line").union(links.select("dk2", "line2")).distinct().withColumn("node", F.xxhash64("dk", "line"))
-    family = components(links.select(F.xxhash64("dk", "line").alias("u"), F.xxhash64("dk2", "line2").alias("v")))
-    placed = stage(ends.join(family, "node").select("dk", "line", "root"), "line-families")
-    sizes = placed.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = placed.join(sizes, "root").groupBy("dk").agg(F.collect_list(F.struct("line", "root", "blocks")).alias("wanted"))
-    wanted = stage(wanted, "lines-wanted")
-    ids = wanted.select("dk")
-    found = docs.join(few(ids, ids.count()), "dk", "left_semi").join(wanted, "dk").select("doc_id", "dk", "_t", "wanted")
+            place = sets.begin[lines][of] + pos
+            kind = sets.rarity[place]
+            met = kind > 1
+            of, pos, place, kind = of[met], pos[met], place[met], kind[met]
+            most = most_of(kind)
+            key, room = sets.words[place], size[of] - pos
+            hot = np.flatnonzero(most > HOT_SETS)
+            if len(hot):
+                n = np.minimum(width[of[hot]], size[of[hot]] - 1) - pos[hot]
+                source = np.repeat(hot, n)
+                step = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n) + 1
+                pair = mix(key[source] * np.uint64(0x9E3779B97F4A7C15) + sets.words[place[source] + step])
+                wide = room[source] - step + 1
+                cold = most <= HOT_SETS
+                blocks = -(-most[source] // GROUP_SETS)
+                if (blocks > 1).any():  # a block meets every block
+                    copy = np.repeat(np.arange(len(source)), blocks)
+                    other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    mine = (sets.lo[lines][of[source[copy]]] % blocks[copy].astype(np.uint64)).astype(np.int64)
+                    cell = np.where(blocks[copy] > 1, np.minimum(mine, other) * 1_000_003 + np.maximum(mine, other) + 1, 0)
+                    pair, wide, source = mix(pair[copy] + cell.astype(np.uint64)), wide[copy], source[copy]
+                key, room, of = np.concatenate([key[cold], pair]), np.concatenate([room[cold], wide]), np.concatenate([of[cold], of[source]])
+            words = sets.words[sets.spread(lines)]
+            owner = np.repeat(np.arange(len(lines)), size) << 7 | (words >> np.uint64(57)).astype(np.int64)
+            odd = (np.bincount(owner, minlength=128 * len(lines)) & 1).astype(np.uint8).reshape(-1, 128)
+            parity = np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
+            yield _arrow(key=key, age=ages[lines][of], lo=sets.lo[lines][of], size=size[of] << 32 | room, parity=parity[of, 0], parity2=parity[of, 1])
+
+    return rows.select("text", "age").mapInArrow(run, "key long, age long, lo long, size long, parity long, parity2 long")
+
+
+class Met:
+    """Sets that meet: one row for each set of a group, by group, size and hash."""
+
+    def __init__(self, table: pa.Table, asked: bool) -> None:
+        a = {c: table[c].to_numpy() for c in table.column_names}
+        key = a["key"]
+        group = np.cumsum(np.append(True, key[1:] != key[:-1]))
+        size, lo = a["size"] >> 32, a["lo"]
+        by = np.lexsort((lo, group << 32 | size))
+        group, size, lo = group[by], size[by], lo[by]
+        p, q, room = a["parity"].view(np.uint64)[by], a["parity2"].view(np.uint64)[by], (a["size"] & 0xFFFFFFFF)[by]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (group[1:] != group[:-1]) | (lo[1:] != lo[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        at = np.flatnonzero(new)
+        self.age = np.minimum.reduceat(a["age"][by], at) if len(at) else a["age"]
+        self.key, self.group, self.size, self.lo, self.p, self.q, self.room = (x[at] for x in (key[by], group, size, lo, p, q, room))
+        self.asked = a["asked"][by][at] if asked else None
+
+    def possible(self, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+        """Whether rows i and j pass the length, position and parity filters."""
+        x, y = self.size[i], self.size[j]
+        need = np.ceil(t / (1 + t) * (x + y) - 1e-9).astype(np.int64)
+        ok = np.flatnonzero((np.minimum(self.room[i], self.room[j]) >= need) & (np.minimum(x, y) >= t * np.maximum(x, y) - 1e-9))
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(self.p[i] ^ self.p[j]).astype(np.int64) + np.bitwise_count(self.q[i] ^ self.q[j])
+        out = np.zeros(len(x), dtype=bool)
+        out[ok[apart <= (x + y - 2 * need)[ok]]] = True
+        return out
+
+    def pairs(self, t: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(younger, older) rows that are possible; of groups over ``SMALL_GROUP``, enough of the oldest for each younger row."""
+        edge = np.flatnonzero(np.append(True, self.group[1:] != self.group[:-1])) if len(self.group) else np.zeros(0, np.int64)
+        length = np.diff(np.append(edge, len(self.group)))
+        found = []
+        todo = np.flatnonzero(np.repeat((length > 1) & (length <= SMALL_GROUP), length))
+        last = np.repeat(edge + length, length) - 1
+        lag = 0
+        while len(todo):
+            lag += 1
+            todo = todo[todo + lag <= last[todo]]
+            todo = todo[self.size[todo] >= t * self.size[todo + lag] - 1e-9]
+            ok = todo[self.possible(todo, todo + lag, t)]
+            if len(ok):
+                found.append((ok, ok + lag))
+        for s, n in zip(edge[length > SMALL_GROUP].tolist(), length[length > SMALL_GROUP].tolist(), strict=True):
+            rows = s + np.argsort(self.age[s : s + n], kind="stable")
+            left, hits = np.arange(n), np.zeros(n, np.int64)
+            for k in range(n - 1):
+                left = left[(left > k) & ((hits[left] <= 2 * most) if most else True)]
+                if not len(left):
+                    break
+                ok = left[self.possible(rows[left], np.full(len(left), rows[k]), t)]
+                hits[ok] += 1
+                if len(ok):
+                    found.append((np.full(len(ok), rows[k]), rows[ok]))
+        u, v = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        younger, same = np.where(self.age[u] > self.age[v], u, v), self.age[u] == self.age[v]
+        older = np.where(younger == u, v, u)
+        # equal codes: either may be the younger one
+        return np.concatenate([younger, older[same]]), np.concatenate([older, younger[same]])
+
+
+PAIR = "new long, old long, key long, age long, size long, parity long, parity2 long"
+
+
+def meet(rows: DataFrame, t: float, most: int | None, asked: bool = False) -> DataFrame:
+    """Possible matches (new, old, key): hashes of sets. With ``asked``, matches of the asked sets only.
+
+    With ``most``, a set with over twice as many in a group sends the ``most`` oldest and the group's key,
+    else key is null; groups with such sets also pass on their own rows, as (new: lo, old: null, key, age, size, parity, parity2).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key"):
+            met = Met(table, asked)
+            new, old = met.pairs(t, most)
+            if asked:
+                new, old = new[met.asked[new]], old[met.asked[new]]
+            by = np.lexsort((met.lo[old], met.age[old], new))
+            new, old = new[by], old[by]
+            at = np.flatnonzero(np.append(True, new[1:] != new[:-1])) if len(new) else new
+            n = np.diff(np.append(at, len(new)))
+            rank = np.arange(len(new)) - np.repeat(at, n)
+            many = np.repeat(n > 2 * most, n) if most else np.zeros(len(new), dtype=bool)
+            keep = ~many | (rank < most) if most else ~many
+            new, old, many = new[keep], old[keep], many[keep]
+            long = pa.nulls(len(new), pa.int64())
+            yield _arrow(new=met.lo[new], old=met.lo[old], key=pa.array(met.key[new], mask=~many), age=long, size=long, parity=long, parity2=long)
+            if many.any():
+                whole = np.flatnonzero(np.isin(met.group, met.group[new[many]]))
+                yield _arrow(new=met.lo[whole], old=pa.nulls(len(whole), pa.int64()), key=met.key[whole], age=met.age[whole], size=met.size[whole] << 32 | met.room[whole], parity=met.p[whole], parity2=met.q[whole])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, PAIR)
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(lo, hi) of the sets that an older set of their pairs matches. ``pairs``: (new, old), different."""
+    wanted = pairs.select(F.col("new").alias("lo")).union(pairs.select(F.col("old").alias("lo"))).distinct()
+    places = sets.join(wanted, "lo").groupBy("low.id", "low.th").agg(F.collect_list(F.struct("low.line", "lo", "hi")).alias("wanted"))
+    places = stage(places.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "wanted"), "lines-wanted")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    n, n_sets = places.agg(F.count("*"), F.sum(F.size("wanted"))).first()
+    found = docs.join(few(places.select("_id", "_th"), n), same, "left_semi").join(places, same).select("id", "th", "text", "wanted")
+    kind = docs.schema["id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sets of the wanted lines."""
-        for part in chunks(batches, "_t", CHUNK_BYTES):
-            sets = LineSets(part.column("_t"))
-            words, line, size = sets.ordered(counts.value, min_words)
-            every = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(words.view(np.int64)))
+        """The wanted sets and their words."""
+        for part in chunks(batches, "text", CHUNK_BYTES):
+            sets = LineSets(part.column("text"))
+            every = pa.ListArray.from_arrays(pa.array(np.append(sets.begin, len(sets.words)).astype(np.int32)), pa.array(sets.words.view(np.int64)))
             lists = part.column("wanted")
             asked = {f.name: c.to_numpy() for f, c in zip(lists.type.value_type, lists.flatten().flatten(), strict=True)}
             row = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(lists).to_numpy())
-            place = np.searchsorted(sets.text[line] << 40 | sets.number[line], row << 40 | asked["line"])
+            place = np.searchsorted(sets.text << 40 | sets.number, row << 40 | asked["line"])
             take = pa.array(row)
-            yield _arrow(root=asked["root"], blocks=asked["blocks"], doc_id=part.column("doc_id").take(take), dk=part.column("dk").take(take), line=asked["line"], words=every.take(pa.array(place)))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lines of each cell that an earlier line of it matches."""
-        for table in whole_groups(batches, "cell"):
-            table = table.combine_chunks()
-            cell, lists = table["cell"].to_numpy(), table["words"].chunk(0)
-            flat, size = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
-            edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            begin = np.append(0, np.cumsum(size))
-            gone = np.zeros(len(cell), dtype=bool)
-            for s, e in zip(edge.tolist(), np.append(edge[1:], len(cell)).tolist(), strict=True):
-                if e - s > 1:
-                    gone[s:e] = _has_earlier(flat[begin[s] : begin[e]], size[s:e], t)
-            keep = pa.array(np.flatnonzero(gone))
-            yield pa.RecordBatch.from_arrays([table[c].take(keep).combine_chunks() for c in ("dk", "line")], ["dk", "line"])
-
-    sets = found.mapInArrow(read, f"root long, blocks int, {ID}, words array<bigint>").withColumn("block", F.pmod(F.xxhash64("dk", "line"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = sets.select("root", "block", *age, "words", other).select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), *age, "words")
-    matched = cells.repartition("cell").sortWithinPartitions("cell", *age).mapInArrow(compare, "dk long, line long")
-    return matched.union(equal).distinct()
-
-
-def _links(a: dict[str, np.ndarray], start: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that connect, in each group, all that possible matches connect."""
-    first = _first_matches(a, start, t)
-    linked = np.flatnonzero(first >= 0)
-    label = np.where(first >= 0, first, np.arange(len(first)))
-    while (label[label] != label).any():
-        label = label[label]
-    found = [(linked, first[linked])]
-    todo, lag = linked, 0
-    while True:  # rows that a first match doesn't connect yet
-        lag += 1
-        todo = todo[todo - lag >= start[todo]]
-        if not len(todo):
-            break
-        apart = todo[label[todo] != label[todo - lag]]
-        i = apart[_possible(a, apart, apart - lag, t)]
-        if len(i):
-            found.append((i, i - lag))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def _has_earlier(flat: np.ndarray, size: np.ndarray, t: float) -> np.ndarray:
-    """For sets end to end, oldest first: whether an earlier one has Jaccard similarity ``t`` or more."""
-    codes = np.unique(flat, return_inverse=True)[1].astype(np.int32)
-    begin = np.cumsum(size) - size
-    gone, mark = np.zeros(len(size), dtype=bool), np.zeros(int(codes.max()) + 1, dtype=np.int8)
-    open_, words, at = np.arange(len(size)), codes, begin  # sets still to be decided, end to end
-    for i in range(len(size) - 1):  # what the i-th removes among the later ones
-        low = int(np.searchsorted(open_, i, side="right"))
-        if low == len(open_):
-            break
-        mine = codes[begin[i] : begin[i] + size[i]]
-        mark[mine] = 1
-        common = np.add.reduceat(mark[words[at[low] :]], at[low:] - at[low], dtype=np.int32)
-        mark[mine] = 0
-        later = open_[low:]
-        hit = common >= t * (size[later] + size[i] - common) - 1e-9
-        if hit.any():
-            gone[later[hit]] = True
-            keep = ~gone[open_] & (open_ > i)
-            words = words[np.repeat(keep, size[open_])]
-            open_ = open_[keep]
-            at = np.cumsum(size[open_]) - size[open_]
-    return gone
-
-
-def few(rows: DataFrame, n: int) -> DataFrame:
-    """The rows, broadcast if they are few."""
-    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
-
-
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of ``docs`` without the lines that an earlier line matches, plus _n_lines and _n_removed.
-
-    Lines are cut at newlines, words at blanks, A-Z lower-cased. Lines of fewer than ``min_words``
-    different words stay. A line goes if its Jaccard similarity with any earlier line is ``t`` or
-    more, whether or not that line goes too; earlier means a lower doc_id (null first), then, for
-    equal ids, a lower hash of the text, then a lower line number. Rows that repeat id and text are
-    one document and get one answer. Null texts stay null, with no lines.
+            yield _arrow(lo=asked["lo"], hi=asked["hi"], id=part.column("id").take(take), th=part.column("th").take(take), line=asked["line"], words=every.take(pa.array(place)))
+
+    stored = whole = stage(found.mapInArrow(read, f"lo long, hi long, id {kind}, th long, line long, words array<bigint>"), "sets-wanted")
+    if n and whole.count() > n_sets:  # rows that repeat id and text
+        whole = whole.dropDuplicates(["lo", "hi"])
+    whole = whole.select("lo", "hi", F.struct("id", "th", "line").alias("low"), "words")
+    named = lambda w: whole.select(*[F.col(c).alias(f"{w}_{c}") for c in whole.columns])
+    young = pairs.join(named("new"), F.col("new") == F.col("new_lo")).drop("new_lo")
+    count = pairs.groupBy("old").agg(F.count("*").alias("n"))
+    both = heavy_join(young, named("old").withColumnRenamed("old_lo", "old"), "old", count, "new")
+    common = F.size(F.array_intersect("new_words", "old_words"))
+    like = common >= t * (F.size("new_words") + F.size("old_words") - common) - 1e-9
+    dead = stage(both.filter(F.col("old_low") < F.col("new_low")).filter(like).select(F.col("new").alias("lo"), F.col("new_hi").alias("hi")).distinct(), "sets-gone")
+    unstage(stored)
+    unstage(places)
+    return dead
+
+
+def similar_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """(id, th, line): the lines to remove, from rows (id, th, text)."""
+    table = line_table(docs)
+    lines = table.filter("part is null").select("id", "th", "line", "lo", "hi")
+    sets = stage(lines.groupBy("lo", "hi").agg(F.min(F.struct("id", "th", "line")).alias("low"), F.count("*").alias("n")), "line-set-ages")
+    counted = rarity_classes(table)
+    classes = docs.sparkSession.sparkContext.broadcast(counted)
+    found = stage(meet(prefix_rows(docs.withColumn("age", age_code(docs)), classes, t), t, OLDEST), "line-pairs")
+    pairs = stage(found.filter("old is not null").select("new", "old").distinct(), "different-pairs")
+    dead = verified(docs, sets, pairs, t)
+    # sets with other possible matches than those that failed meet them all
+    rest = found.filter("old is not null and key is not null").select("key", F.col("new").alias("lo")).distinct()
+    rest = stage(rest.join(dead.select("lo"), "lo", "left_anti"), "sets-undecided")
+    unstage(pairs)
+    n = rest.count()
+    if n:
+        again = found.filter("old is null").select("key", "age", F.col("new").alias("lo"), "size", "parity", "parity2")
+        again = again.join(few(rest.select("key").distinct(), n), "key", "left_semi")
+        again = again.join(few(rest.withColumn("asked", F.lit(True)), n), ["key", "lo"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        others = stage(meet(again, t, None, asked=True).select("new", "old").distinct(), "line-pairs")
+        dead = dead.union(verified(docs, sets, others, t)).distinct()
+    unstage(found)
+    gone = sets.select("lo", "hi", "low", "n").join(dead.withColumn("dead", F.lit(True)), ["lo", "hi"], "left").filter("n > 1 or dead")
+    gone = gone.select(F.struct("lo", "hi").alias("set"), "low", "n", F.coalesce("dead", F.lit(False)).alias("dead"))
+    lines = lines.select(F.struct("lo", "hi").alias("set"), "id", "th", "line")
+    found = heavy_join(lines, gone.drop("n"), "set", gone.select("set", "n"), "th")
+    out = stage(found.filter(F.col("dead") | (F.struct("id", "th", "line") > F.col("low"))).select("id", "th", "line").distinct(), "similar-lines")
+    for df in (table, sets, rest):
+        unstage(df)
+    return out
+
+
+@F.arrow_udf(StringType())
+def without_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines of these numbers."""
+    out = []
+    for t, numbers in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+        drop = set(numbers or ())
+        out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop) if drop else t)
+    return pa.array(out, pa.string())
+
+
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = SIMILARITY, counts: tuple[str, str] | None = ("_n_lines", "_n_removed")) -> DataFrame:
+    """All rows and columns of ``docs`` without the lines that an earlier line matches, plus the columns ``counts``: lines, and lines removed.
+
+    Lines are cut at newlines, words at blanks, A-Z lower-cased. A line goes if it has a word and its
+    Jaccard similarity with any earlier line is ``t`` or more, whether or not that line goes too; earlier
+    means a lower id (null first; any type that can be ordered), then, for equal ids, a lower hash of the text, then a lower
+    line number. Rows that repeat id and text are one document and get one answer. Lines without words stay. Null texts stay null, with no lines;
+    an empty table gives an empty one. Other columns pass through, whatever their names; only a column named as in ``counts`` is
+    replaced (``counts=None`` adds none).
     """
-    n, n_ids = docs.agg(F.count("*"), F.count_distinct(id_col)).first()
-    key = F.col(id_col).cast("long") if n == n_ids else F.xxhash64(id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), key.alias("dk"))
-    if n != n_ids:  # repeated rows meet once
-        rows = stage(rows.dropDuplicates(["dk"]), "different-rows")
-    gone = similar_lines(rows, t, min_words).groupBy(F.col("dk").alias("_dk")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
+    th, gone_id, gone_th, gone_lines = (free_name(docs, x) for x in ("th", "gone_id", "gone_th", "gone_lines"))
+    keyed = docs.withColumn(th, F.xxhash64(text_col))
+    rows = keyed.select(F.col(id_col).alias("id"), F.col(th).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    gone = similar_lines(rows, t).groupBy(F.col("id").alias(gone_id), F.col("th").alias(gone_th)).agg(F.collect_set("line").alias(gone_lines))
     gone = stage(gone, "lines-gone")
-    ids, keyed = few(gone.select("_dk"), gone.count()), docs.withColumn("_dk", key)
-    none = F.array().cast("array<bigint>")
-    out = keyed.join(ids, "_dk", "left_anti").select(*keyed.columns).withColumn("_gone", none).union(keyed.join(ids, "_dk", "left_semi").join(gone, "_dk").select(*keyed.columns, "_gone"))
-    lines = F.split(text_col, "\n")
-    rest = F.expr(f"array_join(transform(filter(arrays_zip(split(`{text_col}`, '\\n'), sequence(0L, size(split(`{text_col}`, '\\n')) - 1L)), x -> not array_contains(_gone, x['1'])), x -> x['0']), '\\n')")
-    out = out.withColumn("_n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("_n_removed", F.size("_gone").cast("long"))
-    return out.withColumn(text_col, F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(rest)).drop("_dk", "_gone")
+    n = gone.count()
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(th) == F.col(gone_th))
+    names = counts or (gone_id, gone_th)
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long").alias(names[0])
+    own = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
+
+    def shown(df: DataFrame, cut: bool) -> DataFrame:
+        text = without_lines(text_col, gone_lines).alias(text_col) if cut else F.col(text_col)
+        n_gone = F.coalesce(F.size(gone_lines), F.lit(0)) if cut else F.lit(0)
+        return df.select(*[text if c == text_col else F.col(c) for c in own], n_lines, n_gone.cast("long").alias(names[1]))
+
+    if n <= BROADCAST_ROWS:  # documents that lose nothing don't move
+        ids = F.broadcast(gone.select(gone_id, gone_th))
+        cut = keyed.join(ids, same, "left_semi").join(gone, same)
+        out = shown(keyed.join(ids, same, "left_anti"), False).union(shown(cut, True))
+    else:
+        out = shown(keyed.join(gone, same, "left"), True)
+    return out if counts else out.drop(*names)

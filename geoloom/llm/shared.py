@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -72,6 +73,42 @@ def unstage(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Tables of a few short columns are broadcast up to so many rows; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """The rows, broadcast if they are few."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Keys with more than this share of all rows are salted, if they have over LEAST_HEAVY rows. There can't be more than HEAVY of them.
+HEAVY, LEAST_HEAVY = 4096, 256
+
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """Join on column ``key``, rows of heavy keys dealt out by column ``by`` and met by copies of their key's few right rows.
+
+    ``counts`` has key and n, the left rows of each key. Null keys meet nothing.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(total // HEAVY, LEAST_HEAVY)
+    heavy = counts.filter(F.col("n") > most).select(F.col(key).alias("_heavy"), F.ceil(F.col("n") / most).cast("int").alias("_salts"))
+    heavy = F.broadcast(stage(heavy, "heavy-keys"))  # up to HEAVY rows
+    salts = F.coalesce("_salts", F.lit(1))
+    near = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_heavy", "_salts")
+    far = right.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_heavy", "_salts")
+    return near.join(far, [key, "_salt"], how).drop("_salt")
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """256 flags, true for the byte values of the closed ranges."""
     flags = np.zeros(256, dtype=bool)

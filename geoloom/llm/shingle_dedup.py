@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.components import components
-from geoloom.llm.line_dedup import few, word_hashes
-from geoloom.llm.shared import LOWER, NOT_BLANK, ODD, chunks, mix, stage, text_bytes, whole_groups, word_bounds
+from geoloom.llm.line_dedup import word_hashes
+from geoloom.llm.shared import LOWER, NOT_BLANK, ODD, chunks, few, mix, stage, text_bytes, whole_groups, word_bounds
 
 CHUNK_BYTES = 1 << 20
 SIMILARITY = 0.8

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import random
 import re
 
@@ -36,13 +37,34 @@ def corpus(seed, n=60):
     return [*rows, (n, None), (n + 1, ""), (n + 2, "\n\n")]
 
 
-@pytest.mark.parametrize("seed, min_words, block", [(1, 5, 1024), (2, 1, 3)])
-def test_lines_against_all_pairs(spark, monkeypatch, seed, min_words, block):
-    monkeypatch.setattr(line_dedup, "BLOCK", block)
-    rows = corpus(seed)
+@pytest.mark.parametrize("seed, t, hot, group, small, oldest", [(1, 0.8, 2048, 1 << 16, 1024, 2), (2, 0.8, 1, 1 << 16, 2, 1), (3, 0.8, 1, 8, 1024, 1), (4, 0.6, 3, 1 << 16, 4, 1)])
+def test_lines_against_all_pairs(spark, monkeypatch, seed, t, hot, group, small, oldest):
+    for name, value in {"HOT_SETS": hot, "GROUP_SETS": group, "SMALL_GROUP": small, "OLDEST": oldest}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rows = corpus(seed, 120)
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], DOCS)
-    out = {r.doc_id: r.text for r in line_dedup.remove_lines(docs, min_words=min_words).collect()}
-    assert out == brute(rows, 0.8, min_words)
+    out = {r.doc_id: r.text for r in line_dedup.remove_lines(docs, t=t).collect()}
+    assert out == brute(rows, t, 1)
+
+
+def test_short_lines_go_too(spark):
+    line = "subscribe to our newsletter for the best weekly deals"
+    docs = spark.createDataFrame([(i, f"own{i} words{i} of{i}\n{line}", i, "x") for i in range(50)], DOCS)
+    out = line_dedup.remove_lines(docs).collect()
+    assert sum(r._n_removed for r in out) == 49 and sum(line in r.text for r in out) == 1
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "int"])
+def test_ids_of_any_type_and_clashing_names(spark, kind):
+    value = {"string": lambda i: f"doc{i:03d}", "date": lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i), "int": lambda i: i}[kind]
+    rows = corpus(7, 40)
+    names = ["_gone", "_dk", "_th", "_gone_lines", "_n_lines", "lo", "text2"]
+    docs = spark.createDataFrame([(value(i), t, *[f"{c}{i}" for c in names]) for i, t in rows], f"id {kind}, text string, " + ", ".join(f"{c} string" for c in names))
+    out = line_dedup.remove_lines(docs, id_col="id", counts=None)
+    assert out.columns == docs.columns
+    got, want = {r.id: r for r in out.collect()}, brute(rows, 0.8, 1)
+    assert {k: r.text for k, r in got.items()} == {value(i): t for i, t in want.items()}
+    assert all(got[value(i)][c] == f"{c}{i}" for i, _ in rows for c in names)
 
 
 def test_repeated_rows_null_ids_and_nothing(spark):
@@ -62,4 +84,4 @@ def test_hot_word_and_long_line(spark):
     rows += [(500 + i, " ".join(same[:-1] + [f"e{rng.randrange(1000)}"])) for i in range(200)]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], DOCS)
     out = {r.doc_id: r.text for r in line_dedup.remove_lines(docs).collect()}
-    assert out == brute(rows, 0.8, 10)
+    assert out == brute(rows, 0.8, 1)
