@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier line of the corpus matches; n_chars follows the text."""
-    left = line_dedup.remove_lines(docs)
+    left = line_dedup.remove_lines(docs, counts=None)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
