@@ -27,10 +27,11 @@ def clean_rules(raw: DataFrame, namespace: str) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str, namespace: str = "base") -> DataFrame:
-    """Rules of a CSV file: code, name, climate, quoted climate name, class; short rows go."""
+    """Rules of a CSV file: code, name, climate, quoted climate name, class; short rows go. Later rows of the file override earlier ones."""
     schema = "code string, name string, climate string, climate_name string, class string, _corrupt string"
     raw = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True)
-    lines = raw.withColumn("line", F.monotonically_increasing_id())
+    # splits are read in any order: a line's place is its file, its split's start and its order in the split
+    lines = raw.withColumn("line", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()))
     return clean_rules(lines.filter("class is not null"), namespace)
 
 

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TILE_KEY = ["z", "tx", "ty"]
 
 
-def pack_tiles(cells: DataFrame, size: int, value: str = "v", z: int = 0) -> DataFrame:
-    """Tiles of size x size from cells; places without a cell are null."""
-    at = cells.select(F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty"), (F.pmod("x", F.lit(size)) + F.pmod("y", F.lit(size)) * size).cast("int").alias("i"), F.col(value).alias("v"))
-    by_place = at.groupBy("tx", "ty").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    return by_place.select(F.lit(z).alias("z"), "tx", "ty", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.try_element_at("m", i)).alias("values"))
+def pack_tiles(cells: DataFrame, size: int, value: str | Column = "v", z: int = 0) -> DataFrame:
+    """Tiles of size x size from cells; places without a cell are null, of repeated cells the greatest value stays.
+
+    ``value`` may be a struct of several layers. Each tile is laid out in one pass over its sorted cells.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    at = cells.select(F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty"), (F.pmod("x", F.lit(size)) + F.pmod("y", F.lit(size)) * size).cast("int").alias("i"), value.alias("v"))
+    none = F.lit(None).cast(at.schema["v"].dataType)
+    held = at.groupBy("tx", "ty").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("m"))
+    following = F.concat(F.slice(F.col("m.i"), 2, size * size * 2), F.array(F.lit(size * size)))
+    place = lambda e, after: F.when(after == e["i"], F.slice(F.array(none), 1, 0)).otherwise(F.concat(F.array(e["v"]), F.array_repeat(none, after - e["i"] - 1)))
+    values = F.flatten(F.concat(F.array(F.array_repeat(none, F.col("m")[0]["i"])), F.zip_with("m", following, place)))
+    return held.select(F.lit(z).alias("z"), "tx", "ty", values.alias("values"))
 
 
 def explode_tiles(tiles: DataFrame, size: int) -> DataFrame:
