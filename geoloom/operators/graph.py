@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.operators.ranges import neighbors
+from geoloom.operators.ranges import carried, neighbors
 
 C = F.col
 STRIP = 1024
@@ -29,6 +29,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def runs(cells: DataFrame, part: list[str], order: str) -> DataFrame:
     """Adds run_start: the first position of the unbroken stretch of ``order`` values that the row is in."""
     gap = C(order) - F.row_number().over(Window.partitionBy(*part).orderBy(order))
@@ -46,7 +55,9 @@ def merge_labels(edges: DataFrame) -> DataFrame:
         up = both.join(least, "a").filter("b > a").select(C("b").alias("a"), C("m").alias("b")).filter("a <> b").distinct()
         low = up.groupBy("a").agg(F.min("b").alias("m"))
         down = up.join(low, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).filter("a <> b").union(low.select("a", C("m").alias("b"))).distinct()
-        links = stored(down)
+        after = stored(down)
+        drop_stored(links)
+        links = after
         before, count = count, links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == count:
             return links.select(C("a").alias("node"), C("b").alias("root")).union(links.select("b", "b").distinct())
@@ -69,8 +80,13 @@ def components(cells: DataFrame, width: int) -> DataFrame:
 
 
 def number_components(labelled: DataFrame) -> DataFrame:
-    """(comp, number): dense numbers in order of first cells; one row for each component."""
-    return labelled.select("comp").distinct().withColumn("number", F.dense_rank().over(Window.orderBy("comp")).cast("bigint"))
+    """(comp, number): dense numbers in order of first cells; one row for each component, null left out.
+
+    Counts of lower components are carried over levels of 4,096 nodes each, so no task ranks all of them.
+    """
+    nodes = stored(labelled.select(C("comp").alias("k"), F.lit(1).cast("bigint").alias("v")).filter("k is not null").distinct())
+    below = carried(nodes, "sum")
+    return below.select(C("k").alias("comp"), (F.coalesce("b", F.lit(0)) + 1).cast("bigint").alias("number"))
 
 
 def component_stats(cells: DataFrame, width: int, sea: int = 0) -> DataFrame:
@@ -145,7 +161,7 @@ def allocate(cells: DataFrame, sources: DataFrame, limit: int, block: int = 512)
     Of equal costs the lowest source wins. Each block gets the cells within ``limit`` of it, so its own
     cells' answers don't depend on any other block. Sources are cells or stand beside them.
     """
-    marks = cells.select("x", "y", F.lit(True).alias("open"), F.lit(None).cast("bigint").alias("source")).union(sources.select("x", "y", F.lit(False), "source"))
+    marks = cells.select("x", "y", F.lit(True).alias("open"), F.lit(0).cast("bigint").alias("source")).union(sources.select("x", "y", F.lit(False), "source"))
     span = lambda c: F.explode(F.sequence(F.floor((C(c) - limit) / block), F.floor((C(c) + limit) / block)))
     copies = marks.select("*", span("x").alias("bx")).select("*", span("y").alias("by"))
 
@@ -159,7 +175,9 @@ def allocate(cells: DataFrame, sources: DataFrame, limit: int, block: int = 512)
         open_[y[is_open], x[is_open]] = True
         src = rows[~is_open]
         if len(src):
-            np.minimum.at(best, (y[~is_open], x[~is_open]), (np.int64(10) << 40) + src["source"].to_numpy(np.int64))
+            # sources as their ranks in the block, so that any number of theirs fits beside the cost
+            names, rank = np.unique(src["source"].to_numpy(np.int64), return_inverse=True)
+            np.minimum.at(best, (y[~is_open], x[~is_open]), (np.int64(10) << 40) + rank)
         while True:
             after = best.copy()
             for dx, dy, w in ((1, 0, 10), (-1, 0, 10), (0, 1, 10), (0, -1, 10), (1, 1, 14), (1, -1, 14), (-1, 1, 14), (-1, -1, 14)):
@@ -174,6 +192,7 @@ def allocate(cells: DataFrame, sources: DataFrame, limit: int, block: int = 512)
         own = (found[:, 1] + x0 >= key[0] * block) & (found[:, 1] + x0 < (key[0] + 1) * block) & (found[:, 0] + y0 >= key[1] * block) & (found[:, 0] + y0 < (key[1] + 1) * block)
         found = found[own]
         value = best[found[:, 0], found[:, 1]]
-        return pd.DataFrame({"x": found[:, 1] + x0, "y": found[:, 0] + y0, "cost": value >> 40, "source": value & ((1 << 40) - 1)})
+        source = names[value & ((1 << 40) - 1)] if len(found) else value
+        return pd.DataFrame({"x": found[:, 1] + x0, "y": found[:, 0] + y0, "cost": value >> 40, "source": source})
 
     return copies.groupBy("bx", "by").applyInPandas(relax, "x long, y long, cost long, source long")

@@ -10,31 +10,67 @@ from geoloom.operators.sampling import offsets
 C = F.col
 
 
-def asof_lookup(ids: DataFrame, directory: DataFrame, bin_size: int = 1024) -> DataFrame:
-    """Entry of the greatest id at or under each tile_id, and whether it covers the id.
+LEVEL_BITS = 12
 
-    Entries become half-open ranges to the next entry; a range is listed under each bin it crosses,
-    and a look-up meets the ranges of its own bin only. A leaf pointer (run_length 0) covers all ids
-    up to the next entry. Adds entry_id, hit.
+
+def carried(nodes: DataFrame, what: str, by: tuple[str, ...] = (), bits: int | None = None) -> DataFrame:
+    """Adds b to (by, k, v), different k in each ``by``: of all lower k, the ``last`` v that isn't null, or the ``sum`` of v.
+
+    Windows only span nodes that share the upper bits of k; what came before is carried the same way
+    over the parents, which are ever fewer. So a window holds 4,096 rows at most, whatever the gaps.
+    """
+    if bits is None:
+        least, most = nodes.agg(F.min("k"), F.max("k")).first()
+        bits = max(abs(least or 0), abs(most or 0)).bit_length() + 1
+    top = bits <= LEVEL_BITS
+    parent = F.lit(0).cast("bigint") if top else F.shiftright(C("k").cast("bigint"), LEVEL_BITS)
+    placed = nodes.withColumn("_up", parent)
+    window = Window.partitionBy(*by, "_up").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("b", F.last("v", ignorenulls=True).over(window) if what == "last" else F.sum("v").over(window))
+    if top:
+        return placed.drop("_up")
+    one = F.max_by("v", F.when(C("v").isNotNull(), C("k"))) if what == "last" else F.sum("v")
+    above = carried(placed.groupBy(*by, C("_up").alias("k")).agg(one.alias("v")), what, by, bits - LEVEL_BITS)
+    above = above.select(*by, C("k").alias("_up"), C("b").alias("_b"))
+    both = F.coalesce("b", "_b") if what == "last" else F.coalesce("b", F.lit(0)) + F.coalesce("_b", F.lit(0))
+    return placed.join(above, [*by, "_up"]).withColumn("b", both).drop("_up", "_b")
+
+
+def asof_lookup(ids: DataFrame, directory: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Entry of the greatest id at or under each tile_id, of the same ``by``, and whether it covers the id.
+
+    A leaf pointer (run_length 0) covers all ids up to the next entry. Adds entry_id and hit, and the
+    entry's run_length and other columns as a struct ``entry``. Of entries with one id the greatest
+    stays; null ids and ids before the first entry have none. Each different id is looked up once.
     """
-    window = Window.partitionBy("_p").orderBy("tile_id")
-    # the next entry: within each stretch of ids by window, from the first entry of later stretches at its end
-    stretch = directory.select(C("tile_id"), C("run_length"), F.floor(C("tile_id") / (bin_size * 64)).alias("_p"))
-    firsts = stretch.groupBy("_p").agg(F.min("tile_id").alias("_first"))
-    after = firsts.withColumn("_after", F.lead("_first").over(Window.orderBy("_p"))).drop("_first")  # one row for each stretch
-    ranges = stretch.withColumn("_next", F.lead("tile_id").over(window)).join(after, "_p").withColumn("_next", F.coalesce("_next", "_after"))
-    ranges = ranges.select(C("tile_id").alias("entry_id"), "run_length", "_next", F.floor(C("tile_id") / bin_size).alias("_lo"), F.floor((F.coalesce(C("_next"), C("tile_id") + 1) - 1) / bin_size).alias("_hi"))
-    binned = ranges.select("entry_id", "run_length", "_next", F.explode(F.sequence("_lo", "_hi")).alias("_bin"))
-    last = directory.agg(F.max("tile_id").alias("_last"), F.max_by("run_length", "tile_id").alias("_last_run"))
-    found = ids.withColumn("_bin", F.floor(C("tile_id") / bin_size)).join(binned, "_bin", "left").filter(C("entry_id").isNull() | ((C("entry_id") <= C("tile_id")) & (C("tile_id") < F.coalesce("_next", C("tile_id") + 1))))
-    keys = ids.columns
-    met = found.filter("entry_id is not null").select(*keys, "entry_id", "run_length")
-    # ids past the last bin of the last entry, and ids before the first, have no range in their bin
-    rest = ids.join(met.select(*keys).distinct(), keys, "left_anti").crossJoin(F.broadcast(last))
-    rest = rest.select(*keys, F.when(C("tile_id") >= C("_last"), C("_last")).alias("entry_id"), F.when(C("tile_id") >= C("_last"), C("_last_run")).alias("run_length"))
-    out = met.union(rest)
-    hit = (C("tile_id") == C("entry_id")) | (C("run_length") == 0) | (C("tile_id") - C("entry_id") < C("run_length"))
-    return out.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("run_length")
+    others = [c for c in directory.columns if c not in (*by, "tile_id")]
+    entry = F.struct(C("tile_id").alias("entry_id"), *others)
+    entries = directory.filter("tile_id is not null").groupBy(*by, C("tile_id").alias("k")).agg(F.max(entry).alias("v"))
+    wanted = ids.filter("tile_id is not null").select(*by, C("tile_id").alias("k")).distinct()
+    nodes = entries.join(wanted.withColumn("_w", F.lit(True)), [*by, "k"], "full")
+    found = carried(nodes, "last", by).filter("_w").select(*by, C("k").alias("tile_id"), F.coalesce("v", "b").alias("entry"))
+    out = ids.join(found, [*by, "tile_id"], "left").select(*ids.columns, "entry")
+    hit = (C("tile_id") == C("entry.entry_id")) | (C("entry.run_length") == 0) | (C("tile_id") - C("entry.entry_id") < C("entry.run_length"))
+    return out.withColumns({"entry_id": C("entry.entry_id"), "hit": F.coalesce(hit, F.lit(False))})
+
+
+def archive_lookup(ids: DataFrame, directories: DataFrame, levels: int = 4) -> DataFrame:
+    """Adds depth and entry_id: the tile entry that covers each tile_id, found from the root directory (0) down; null if none does.
+
+    ``directories``: rows (directory, tile_id, run_length, leaf), where an entry of run_length 0 points
+    to the directory ``leaf``. Each level is one look-up by directory and id, at most ``levels`` of them.
+    """
+    names = ids.columns
+    now = ids.withColumn("directory", F.lit(0).cast("bigint"))
+    done = None
+    for depth in range(levels):
+        met = asof_lookup(now, directories, ("directory",))
+        leaf = C("hit") & (C("entry.run_length") == 0)
+        end = met if depth == levels - 1 else met.filter(~leaf)
+        part = end.select(*names, F.when(C("hit") & ~leaf, F.lit(depth)).cast("bigint").alias("depth"), F.when(C("hit") & ~leaf, C("entry_id")).alias("entry_id"))
+        done = part if done is None else done.union(part)
+        now = met.filter(leaf).select(*names, C("entry.leaf").alias("directory"))
+    return done
 
 
 def bins(low: str, high: str, size: int) -> Column:
@@ -124,7 +160,16 @@ def viewport_tiles(df: DataFrame, key: str, cam_x: Column, cam_y: Column, width:
 
 
 def filter_by_rules(ids: DataFrame, rules: DataFrame, col: str = "id") -> DataFrame:
-    """Ids that no switched-off rule names: kind equals, prefix or contains, with a pattern. Rules are a short list."""
-    off = F.broadcast(rules.select("kind", "pattern"))  # a list of settings switches, a few hundred rows at most
-    match = ((C("kind") == "equals") & (C(col) == C("pattern"))) | ((C("kind") == "prefix") & F.startswith(C(col), C("pattern"))) | ((C("kind") == "contains") & F.contains(C(col), C("pattern")))
-    return ids.join(off, match, "left_anti")
+    """Ids that no switched-off rule names: kind equals, prefix or contains, with a pattern. Null ids stay.
+
+    Ids meet rules on the first three letters of a pattern (all of them, if it is shorter), which stand
+    somewhere in the id; so rules may be many, and no id meets all of them.
+    """
+    names = ids.select(C(col).alias("_id")).filter("_id is not null").distinct()
+    off = rules.select("kind", "pattern", F.substring("pattern", 1, 3).alias("_gram")).distinct()
+    length = F.length("_id")
+    starts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))), lambda i: F.substring(C("_id"), i, F.lit(n)))
+    grams = names.select("_id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), starts(1), starts(2), starts(3)))).alias("_gram"))
+    match = ((C("kind") == "equals") & (C("_id") == C("pattern"))) | ((C("kind") == "prefix") & F.startswith("_id", "pattern")) | ((C("kind") == "contains") & F.contains("_id", "pattern"))
+    named = grams.join(off, "_gram").filter(match).select("_id").distinct()
+    return ids.join(named, C(col) == C("_id"), "left_anti")
