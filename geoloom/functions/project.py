@@ -60,6 +60,11 @@ def tile_name(lat: Column, lon: Column) -> Column:
     return F.format_string("%s%02d%s%03d", F.when(lat >= 0, "N").otherwise("S"), F.abs(lat), F.when(lon >= 0, "E").otherwise("W"), F.abs(lon))
 
 
+def cache_name(z: Column, x: Column, y: Column, suffix: str = ".png") -> Column:
+    """Path of a tile under a cache's root, like 7/81/44.png."""
+    return F.concat(F.concat_ws("/", z.cast("string"), x.cast("string"), y.cast("string")), F.lit(suffix))
+
+
 def to_pixel(lon: Column, lat: Column, tie_lon: float, tie_lat: float, sx: float, sy: float, width: int, height: int) -> tuple[Column, Column]:
     """Pixel of a georeferenced raster, or null outside it."""
     px, py = F.floor((lon - tie_lon) / sx), F.floor((F.lit(tie_lat) - lat) / sy)

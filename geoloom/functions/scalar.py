@@ -18,6 +18,10 @@ SEA_RAMP = ((0.0, 0x4FA3C7), (60.0, 0x2B6F9E), (2000.0, 0x123A63))
 DEPTH_RAMP = ((0.0, 0xD9CFA3), (2.0, 0x4FA3C7), (12.0, 0x2B6F9E), (80.0, 0x123A63))
 COVER_COLORS = {10: 0x2F6B34, 20: 0x9A9B4E, 30: 0x8DB360, 40: 0xC9B458, 50: 0x8C8C8C, 60: 0xCDB68A, 70: 0xF0F4F8, 80: 0x2B6F9E, 90: 0x5F8F78, 95: 0x3F7F5F, 100: 0xA7B08C}
 ROCK = 0x7D7670
+#: Climate tints by group 1 to 5, own palette.
+CLIMATE_TINTS = {1: 0x3C9A5E, 2: 0xCBB07A, 3: 0x86AB6B, 4: 0x71848F, 5: 0xCDD8E0}
+#: How far a cover takes its climate's tint, what polar climates add, and the most.
+TINT_SHARES, POLAR, POLAR_MORE, TINT_MOST = {10: 0.35, 30: 0.35, 40: 0.35, 90: 0.35, 100: 0.35, 20: 0.25, 60: 0.15, 95: 0.2}, 5, 0.2, 0.65
 
 
 def half_up(c: Column) -> Column:
@@ -109,6 +113,14 @@ def cover_color(cover: Column) -> Column:
     return reduce(lambda e, x: e.when(cover == x[0], F.lit(x[1])), COVER_COLORS.items(), F).otherwise(F.lit(ROCK)).cast("bigint")
 
 
+def climate_tint(color: Column, group: Column, cover: Column) -> Column:
+    """The colour moved towards its climate group's tint; unknown groups and covers without a share keep it."""
+    share = reduce(lambda e, x: e.when(cover == x[0], F.lit(x[1])), TINT_SHARES.items(), F).otherwise(F.lit(0.0))
+    tint = reduce(lambda e, x: e.when(group == x[0], F.lit(x[1])), CLIMATE_TINTS.items(), F)
+    share = F.when((group == POLAR) & (share > 0), F.least(F.lit(TINT_MOST), share + POLAR_MORE)).otherwise(share)
+    return F.when((share > 0) & tint.isNotNull(), lerp_color(share, color, tint)).otherwise(color).cast("bigint")
+
+
 def rock_tint(color: Column, slope: Column) -> Column:
     return lerp_color((slope - 1.2) / 1.6, color, ROCK)
 
@@ -121,9 +133,13 @@ def hillshade(dx: Column, dz: Column) -> Column:
     return half_up((0.45 + 0.55 * F.greatest(F.lit(0.0), dot)) * 8) / 8
 
 
+#: Fixed value: the salt of the bands' seed.
+BAND_SALT = 0x2E2B9E9B4A7C15
+
+
 def strata_band(y: Column, x: Column, z: Column) -> Column:
     cell = lambda v: F.floor(v / 32)
-    seed = seed_from_coords(cell(x), 2, cell(z)).bitwiseXOR(F.lit(signed(0x2E2B9E9B4A7C15, 64)))
+    seed = seed_from_coords(cell(x), 2, cell(z)).bitwiseXOR(F.lit(signed(BAND_SALT, 64)))
     offset = F.pmod(wrap32(seed.bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(21))
     return F.pmod(F.floor((y + offset) / 3), F.lit(7)).cast("bigint")
 

@@ -23,10 +23,13 @@ def sample_nearest(points: DataFrame, tiles: DataFrame, size: int, out: str = "v
 def sample_bilinear(points: DataFrame, cells: DataFrame, size: int, width: int, height: int, key: str = "point_id", px: str = "px", py: str = "py", value: str = "v") -> DataFrame:
     """(key, value): four corner pixels weighed; if a corner is missing, corners inside the base tile.
 
-    One join fetches the corners of both forms; points without a base pixel have null.
+    One join fetches the corners of both forms; points without a base pixel have null. Rows that
+    repeat a key have a row each.
     """
     x0, y0 = F.floor(px), F.floor(py)
-    base = points.select(key, x0.alias("_x0"), y0.alias("_y0"), (C(px) - x0).alias("_u"), (C(py) - y0).alias("_v"))
+    each = points.groupBy(key, px, py).agg(F.count("*").alias("_n"))
+    base = each.select(key, C(px).alias("_px"), C(py).alias("_py"), "_n", x0.alias("_x0"), y0.alias("_y0"), (C(px) - x0).alias("_u"), (C(py) - y0).alias("_v"))
+    own = [key, "_px", "_py", "_n"]
     corners = []
     for dx in (0, 1):
         for dy in (0, 1):
@@ -35,10 +38,11 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, size: int, width: int,
             tile = lambda c, d: F.least(c + d, F.floor(c / size) * size + size - 1)
             corners.append(F.struct(F.lit(True).alias("wide"), edge(C("_x0"), width, dx).alias("x"), edge(C("_y0"), height, dy).alias("y"), w.alias("w")))
             corners.append(F.struct(F.lit(False).alias("wide"), F.least(tile(C("_x0"), dx), F.lit(width - 1)).alias("x"), F.least(tile(C("_y0"), dy), F.lit(height - 1)).alias("y"), w.alias("w")))
-    wanted = base.select(key, F.explode(F.array(*corners)).alias("c")).select(key, "c.*")
+    wanted = base.select(*own, F.explode(F.array(*corners)).alias("c")).select(*own, "c.*")
     got = wanted.join(cells.select("x", "y", C(value).alias("_value")), ["x", "y"], "left")
-    sums = got.groupBy(key).agg(*[f for wide in (True, False) for f in (F.sum(F.when(C("wide") == wide, C("w") * C("_value"))).alias(f"s{wide}"), F.count(F.when(C("wide") == wide, C("_value"))).alias(f"n{wide}"))])
-    return sums.select(key, F.when(C("nTrue") == 4, C("sTrue")).when(C("nFalse") == 4, C("sFalse")).alias("value"))
+    sums = got.groupBy(*own).agg(*[f for wide in (True, False) for f in (F.sum(F.when(C("wide") == wide, C("w") * C("_value"))).alias(f"s{wide}"), F.count(F.when(C("wide") == wide, C("_value"))).alias(f"n{wide}"))])
+    value = F.when(C("nTrue") == 4, C("sTrue")).when(C("nFalse") == 4, C("sFalse")).alias("value")
+    return sums.select(key, value, F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).select(key, "value")
 
 
 def sample_pyramid(points: DataFrame, fine: DataFrame, coarse: DataFrame, size: int, factor: int, ocean: Column) -> DataFrame:

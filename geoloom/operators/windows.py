@@ -29,23 +29,26 @@ def undo_left(df: DataFrame, part: list[str], order: str, value: str) -> DataFra
 
 
 def undo_chunk_filter(df: DataFrame, kind: str, key: str, width: int) -> DataFrame:
-    """Undo the average or paeth filter of whole chunks (key, i row-major, v); each value needs its neighbours' results."""
+    """Undo the average or paeth filter of whole chunks (key, i row-major, v); each value needs its neighbours' results.
+
+    Values of a diagonal depend on earlier diagonals only, so each is undone at once.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i")
-        grid = rows["v"].to_numpy(np.int64).reshape(-1, width)
-        wrap = lambda v: (int(v) + 32768) % 65536 - 32768
-        for y in range(grid.shape[0]):
-            for x in range(width):
-                left, up = (int(grid[y, x - 1]) if x else 0), (int(grid[y - 1, x]) if y else 0)
-                corner = int(grid[y - 1, x - 1]) if x and y else 0
-                if kind == "average":
-                    base = int((left + up) / 2)
-                else:
-                    p = left + up - corner
-                    base = min((left, up, corner), key=lambda c: abs(p - c))
-                grid[y, x] = wrap(grid[y, x] + base)
-        return rows.assign(v=grid.ravel())
+        stored = rows["v"].to_numpy(np.int64).reshape(-1, width)
+        grid = np.zeros((stored.shape[0] + 1, width + 1), np.int64)  # a row and a column of zeros before the first ones
+        for d in range(stored.shape[0] + width - 1):
+            y = np.arange(max(0, d - width + 1), min(d + 1, stored.shape[0]))
+            x = d - y
+            left, up, corner = grid[y + 1, x], grid[y, x + 1], grid[y, x]
+            if kind == "average":
+                base = np.fix((left + up) / 2).astype(np.int64)
+            else:
+                near = np.stack([left, up, corner])
+                base = near[np.abs(left + up - corner - near).argmin(axis=0), np.arange(len(y))]
+            grid[y + 1, x + 1] = (stored[y, x] + base + 32768) % 65536 - 32768
+        return rows.assign(v=grid[1:, 1:].ravel())
 
     return df.groupBy(key).applyInPandas(run, df.schema)
 
@@ -81,10 +84,12 @@ def nth_smallest(df: DataFrame, key: list[str], value: str, k: int) -> DataFrame
 def top_places(places: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k best places of each query (q_id, text): names that start with it, then shorter, then by name and id.
 
-    Names and texts meet on their first three letters, lower-cased.
+    Names and texts, lower-cased, meet on the first three letters of the text, or all of a shorter
+    one. An empty text finds nothing.
     """
-    key = lambda c: F.lower(F.substring(c, 1, 3))
-    met = places.withColumn("_k", key(C("name"))).join(queries.withColumn("_k", key(C("text"))), "_k").filter(F.startswith(F.lower("name"), F.lower("text")))
+    first = lambda c, n: F.substring(F.lower(c), 1, n)
+    named = places.select("*", F.explode(F.array_distinct(F.array(*[first("name", n) for n in (1, 2, 3)]))).alias("_k"))
+    met = named.join(queries.filter("text <> ''").withColumn("_k", first("text", 3)), "_k").filter(F.startswith(F.lower("name"), F.lower("text")))
     order = Window.partitionBy("q_id").orderBy(F.length("name"), "name", "place_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(C("rank") <= k).select("q_id", "rank", "place_id", "name")
 
