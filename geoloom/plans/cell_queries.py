@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import scalar as s
@@ -83,10 +83,16 @@ def forward_diff(spark: SparkSession, d: str) -> DataFrame:
     return f.forward_diff(cells(spark, d)).select("x", "y", "dx", "dy")
 
 
-@query("possible_classes", oracle("select distinct class from rules union select unnest(['ocean', 'river', 'ice', 'mangrove', 'plains']) union select distinct 'seen' from cells", "rules", "cells"))
+KINDS = f"+ q as (select x, y, cover, cover = 0 and elev_m <= 0 as oc, {CODE} as code from cells), k as (select distinct {CLASS.format(o='oc', w='false')} as class from q), po as (select distinct class from rules union select unnest(['ocean', 'river', 'ice', 'mangrove', 'plains']))"
+
+
+@query("possible_classes", oracle(f"{KINDS} select po.class, k.class is not null as seen from po left join k using (class)", "cells", "rules"))
 def possible_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every class that rules and constants can give, and whether a cell has it."""
     constants = spark.createDataFrame([(c,) for c in ("ocean", "river", "ice", "mangrove", "plains")], "class string")
-    return rules(spark).select("class").union(constants).union(cells(spark, d).select(F.lit("seen"))).distinct()
+    kinds = cells(spark, d).select("cover", climate_code(C("koppen")).alias("climate"), ((C("cover") == 0) & (C("elev_m") <= 0)).alias("is_ocean")).distinct()
+    seen = m.classify(kinds, rules(spark)).select("class", F.lit(True).alias("_seen")).distinct()
+    return rules(spark).select("class").union(constants).distinct().join(seen, "class", "left").select("class", F.coalesce("_seen", F.lit(False)).alias("seen"))
 
 
 # components: label propagation over cells, row-major first cell
@@ -163,11 +169,16 @@ def touches_any(spark: SparkSession, d: str) -> DataFrame:
 OCEAN = "oc as (select fl.*, sp.spill, not land_inland and (no_data or (below_sea and fl.comp not in (select comp from se))) as is_ocean from fl join sp using (comp))"
 
 
+def judge(spark: SparkSession, d: str, lab: DataFrame) -> DataFrame:
+    """The components of labelled water, judged; the land beside them is all cells that aren't water."""
+    land = cells(spark, d).filter(f"not ({WATER})")
+    return g.classify_components(g.component_stats(lab, 128), g.border_percentile(lab, land), seeds(spark, d, lab).select("comp").distinct())
+
+
 def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Labelled water, stored, and its judged components."""
     lab = g.stored(labelled(spark, d))
-    stats, spill = g.component_stats(lab, 128), g.border_percentile(lab, cells(spark, d))
-    return lab, g.classify_components(stats, spill, seeds(spark, d, lab).select("comp").distinct())
+    return lab, judge(spark, d, lab)
 
 
 @query("ocean_or_inland", oracle(f"+ {COMP}, {STATS}, {SPILL}, {SEEDS}, {FLAGS}, {OCEAN} select comp, is_ocean, case when is_ocean then 0 else spill end::bigint as surface from oc", "cells"))
@@ -250,6 +261,26 @@ def undo_row_filter(spark: SparkSession, d: str) -> DataFrame:
     return w.undo_left(base, ["y"], "x", "v").withColumnRenamed("v", "by_row").join(w.undo_left(base, ["x"], "y", "v").withColumnRenamed("v", "by_column"), ["x", "y"])
 
 
+@query("undo_chunk_filter", oracle("select x, y, elev_m*97 as average, elev_m*97 as paeth from cells where y < (select max(y) from cells)", "cells"))
+def undo_chunk_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of eight whole rows, filtered against their neighbours and undone again."""
+    base = cells(spark, d)
+    last = base.agg(F.max("y")).first()[0]
+    rows = base.filter(C("y") < last).select("x", "y", F.floor(C("y") / 8).alias("chunk"), (C("elev_m") * 97).alias("v"))
+    before = lambda c, part, order: F.coalesce(F.lag(c).over(Window.partitionBy("chunk", part).orderBy(order)), F.lit(0))
+    near = rows.withColumns({"left": before("v", "y", "x"), "up": before("v", "x", "y")}).withColumn("corner", before("up", "y", "x"))
+    half = (C("left") + C("up")) / 2
+    distance = lambda c: F.abs(C("left") + C("up") - C("corner") - C(c))
+    nearest = F.when((distance("left") <= distance("up")) & (distance("left") <= distance("corner")), C("left")).when(distance("up") <= distance("corner"), C("up")).otherwise(C("corner"))
+    at = C("x") + C("y") % 8 * 128
+    out = None
+    for kind, base_value in (("average", F.when(half < 0, F.ceil(half)).otherwise(F.floor(half))), ("paeth", nearest)):
+        stored = near.select("chunk", at.alias("i"), w.wrap16(C("v") - base_value).alias("v"))
+        undone = w.undo_chunk_filter(stored, kind, "chunk", 128).select((C("i") % 128).alias("x"), (C("chunk") * 8 + F.floor(C("i") / 128)).alias("y"), C("v").alias(kind))
+        out = undone if out is None else out.join(undone, ["x", "y"])
+    return out
+
+
 @query("decode_directory", oracle("+ t as (select *, seq // 64 as part from dir), i as (select *, sum(delta) over (partition by part order by seq) as tile_id, count(*) filter (stored_offset <> 0) over (partition by part order by seq) as isl from t), o as (select seq, tile_id, first_value(stored_offset) over (partition by part, isl order by seq) - 1 + coalesce(sum(length) over (partition by part, isl order by seq rows between unbounded preceding and 1 preceding), 0) as \"offset\" from i) select seq, tile_id::bigint as tile_id, \"offset\"::bigint as \"offset\" from o", "dir"))
 def decode_directory(spark: SparkSession, d: str) -> DataFrame:
     return w.decode_directory(fixture(spark, d, "dir").withColumn("part", F.floor(C("seq") / 64)), ["part"], "seq").select("seq", "tile_id", "offset")
@@ -331,9 +362,13 @@ def tile_demand(spark: SparkSession, d: str) -> DataFrame:
 @query("surface_at_points", oracle(f"+ {COMP}, {STATS}, {SPILL}, {SEEDS}, {FLAGS}, {OCEAN}, wl as (select lab.x, lab.y, is_ocean, case when is_ocean then 0 else spill end as surface from lab join oc using (comp)) select p.point_id, c.elev_m as terrain, coalesce(case when wl.is_ocean then least(c.elev_m, wl.surface-1) else wl.surface-1 end, c.elev_m) as floor, wl.surface::bigint as water, greatest(c.elev_m, coalesce(wl.surface, c.elev_m)) + 1 as target from points p join cells c on c.x = p.x and c.y = p.y left join wl on wl.x = p.x and wl.y = p.y", "points", "cells"))
 def surface_at_points(spark: SparkSession, d: str) -> DataFrame:
     """Ground, water floor, water level and target height at each point."""
-    lab, comps = judged(spark, d)
-    level = lab.select("x", "y", "comp").join(comps.select("comp", "is_ocean", "surface"), "comp").drop("comp")
-    at = fixture(spark, d, "points").select("point_id", "x", "y").join(cells(spark, d).select("x", "y", "elev_m"), ["x", "y"]).join(level, ["x", "y"], "left")
+    pts = fixture(spark, d, "points").select("point_id", "x", "y")
+    lab = g.stored(labelled(spark, d))
+    wet = g.stored(pts.join(lab.select("x", "y", "comp"), ["x", "y"]).select("point_id", "comp"))
+    asked = lab.join(wet.select("comp").distinct(), "comp", "left_semi")
+    comps = judge(spark, d, asked)
+    level = wet.join(comps.select("comp", "is_ocean", "surface"), "comp").drop("comp")
+    at = pts.join(cells(spark, d).select("x", "y", "elev_m"), ["x", "y"]).join(level, "point_id", "left")
     floor = F.coalesce(F.when(C("surface").isNotNull(), s.water_floor(C("elev_m"), C("surface"), C("is_ocean"), F.lit(False), F.lit(1))), C("elev_m"))
     return at.select("point_id", C("elev_m").alias("terrain"), floor.alias("floor"), C("surface").alias("water"), (F.greatest(C("elev_m"), F.coalesce("surface", "elev_m")) + 1).alias("target"))
 

@@ -144,7 +144,29 @@ def nearest_valid(spark: SparkSession, d: str) -> DataFrame:
 @query("archive_lookup", oracle("+ e as (select seq*7 as tile_id, run_length from dir where seq % 4 <> 1) select l.q_id, l.q_line, e.tile_id as entry_id, coalesce(l.tile_id = e.tile_id or e.run_length = 0 or l.tile_id - e.tile_id < e.run_length, false) as hit from lookups l asof left join e on l.tile_id >= e.tile_id", "dir", "lookups"))
 def archive_lookup(spark: SparkSession, d: str) -> DataFrame:
     entries = fixture(spark, d, "dir").filter("seq % 4 <> 1").select((C("seq") * 7).alias("tile_id"), "run_length")
-    return r.asof_lookup(fixture(spark, d, "lookups"), entries, 256).select("q_id", "q_line", "entry_id", "hit")
+    return r.asof_lookup(fixture(spark, d, "lookups"), entries).select("q_id", "q_line", "entry_id", "hit")
+
+
+def found_sql(level: int, source: str) -> str:
+    return f"m{level} as (select l.q_id, l.q_line, l.tile_id, e.t, e.run_length as rl, e.leaf, coalesce(l.tile_id = e.t or e.run_length = 0 or l.tile_id - e.t < e.run_length, false) as hit from ({source}) l asof left join ee e on l.dd = e.dd and l.tile_id >= e.t)"
+
+
+def deeper(level: int) -> str:
+    return f"select q_id, q_line, tile_id, leaf as dd from m{level} where hit and rl = 0"
+
+
+@query("archive_levels", oracle(f"""+ e as (select seq, seq*7 as t, run_length from dir where seq % 4 <> 1), ee as (select 0::bigint as dd, t, run_length, case when run_length = 0 then seq+1 else 0 end as leaf from e
+ union all select seq+1, t+1, 2, 0 from e where run_length = 0 union all select seq+1, t+4, 0, seq+1000001 from e where run_length = 0 union all select seq+1000001, t+5, 1, 0 from e where run_length = 0),
+ {found_sql(0, 'select *, 0::bigint as dd from lookups')}, {found_sql(1, deeper(0))}, {found_sql(2, deeper(1))} {" union all ".join(f"select q_id, q_line, tile_id, case when hit then {k} end::bigint as depth, case when hit then t end as entry_id from m{k} where not (hit and rl = 0)" for k in range(3))}""", "dir", "lookups"))
+def archive_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Look-ups through a root directory and two levels of leaves."""
+    root = fixture(spark, d, "dir").filter("seq % 4 <> 1").select("seq", (C("seq") * 7).alias("t"), C("run_length").cast("bigint").alias("run_length"))
+    leaves = root.filter("run_length = 0")
+    entry = lambda df, directory, at, run, leaf: df.select(directory.alias("directory"), (C("t") + at).alias("tile_id"), run.cast("bigint").alias("run_length"), leaf.cast("bigint").alias("leaf"))
+    zero, below = F.lit(0), C("seq") + 1
+    entries = entry(root, F.lit(0).cast("bigint"), 0, C("run_length"), F.when(C("run_length") == 0, below).otherwise(0))
+    entries = entries.union(entry(leaves, below, 1, F.lit(2), zero)).union(entry(leaves, below, 4, zero, C("seq") + 1_000_001)).union(entry(leaves, C("seq") + 1_000_001, 5, F.lit(1), zero))
+    return r.archive_lookup(fixture(spark, d, "lookups"), entries)
 
 
 @query("box_cap_cells", oracle("+ k as (select c.x, c.y, min(greatest(-30, b.base-1)) as cap from cells c join boxes b on c.x between b.min_x and b.max_x and c.y between b.min_y and b.max_y where b.kind <> 0 group by all) select c.x, c.y, least(elev_m, coalesce(cap, elev_m)) as elev_m, coalesce(cap < elev_m, false) as lowered from cells c left join k on c.x = k.x and c.y = k.y", "cells", "boxes"))
@@ -164,6 +186,7 @@ def exclude_near_water(spark: SparkSession, d: str) -> DataFrame:
     return r.exclude_near(fixture(spark, d, "points").select("x", "y").distinct(), fixture(spark, d, "cells").filter("cover = 80"), 4)
 
 
+#: Fixed value: the salt of the sites' hash.
 SALT = 0x7F4A7C15
 
 
@@ -258,9 +281,8 @@ CODE = f"case when koppen between 1 and 30 then {CODES}[koppen] end"
 def class_at_points(spark: SparkSession, d: str) -> DataFrame:
     """The class at each point, counted: sample cover and climate, fill climate gaps nearby, apply the rules."""
     cells = fixture(spark, d, "cells")
-    pts = fixture(spark, d, "points")
-    for name, column in (("cover", "cover"), ("koppen", "koppen"), ("elev", "elev_m")):
-        pts = m.sample_nearest(pts, tiles.pack_tiles(cells, SIZE, column), SIZE, name)
+    layers = tiles.pack_tiles(cells, SIZE, F.struct("cover", "koppen", C("elev_m").alias("elev")))
+    pts = m.sample_nearest(fixture(spark, d, "points"), layers, SIZE, "_v").select("point_id", "x", "y", "_v.*")
     filled = m.climate_or_nearest(pts.filter("cover is not null"), cells, 6)
     ready = filled.withColumns({"climate": climate_code(C("koppen")), "is_ocean": (C("cover") == 0) & (C("elev") <= 0)})
     return m.classify(ready, rules(spark)).groupBy("class").agg(F.count("*").alias("n"))

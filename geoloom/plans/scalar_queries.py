@@ -90,10 +90,12 @@ simple("hilbert_tile_id", "cells", lambda: ["x", "y", p.hilbert_id(F.lit(7), C("
        select c.x, c.y, w.acc as id, v.acc as id12 from cells c left join w on c.x = w.x and c.y = w.y and w.a = -1 left join v on c.x = v.x and c.y = v.y and v.a = -1""")
 
 
-@query("make_grid", "with m as (select count(*) as n from orders), g as (select unnest(range((select least(385, greatest(2, floor(sqrt(n))))::bigint from m) * (select least(385, greatest(2, floor(sqrt(n))))::bigint from m))) as id, (select least(385, greatest(2, floor(sqrt(n))))::bigint from m) as k) select id, round(10-256+(id%k)*(512.0::double/(k-1)), 6) as x, round(-20-256+(id//k)*(512.0::double/(k-1)), 6) as z from g")
+@query("make_grid", oracle("+ m as (select least(385, greatest(2, floor(sqrt(count(*)))))::bigint as k, (min(x) + max(x)) // 2 as cx, (min(y) + max(y)) // 2 as cz, greatest(max(x) - min(x), max(y) - min(y)) // 2 + 1 as r from cells), g as (select m.*, unnest(range(k*k)) as id from m) select id, round(cx-r + (id%k)*(2.0::double*r/(k-1)), 6) as x, round(cz-r + (id//k)*(2.0::double*r/(k-1)), 6) as z from g", "cells"))
 def make_grid(spark: SparkSession, d: str) -> DataFrame:
-    n = max(2, min(385, int(cells(spark, d).count() ** 0.5)))
-    return p.grid(spark, 10, -20, 256, n).select("id", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"))
+    """A grid over the box of the cells."""
+    n, x0, x1, y0, y1 = cells(spark, d).agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    n = max(2, min(385, int(n**0.5)))
+    return p.grid(spark, (x0 + x1) // 2, (y0 + y1) // 2, max(x1 - x0, y1 - y0) // 2 + 1, n).select("id", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"))
 
 
 simple("terrarium_decode", "cells", lambda: ["x", "y", s.terrarium_decode(C("x") + 64, C("y") % 256, C("elev_m") + 100).alias("m")],
@@ -146,6 +148,12 @@ simple("ramp_color", "cells", lambda: ["x", "y", s.ramp_color(C("elev_m") * 40.0
        f"+ e as (select x, y, elev_m*40.0::double as v, -elev_m*40.0::double as m, x*1.0::double as w from cells) select x, y, (case when v < 0 then {ramp_sql('m', s.SEA_RAMP)} else {ramp_sql('v', s.LAND_RAMP)} end)::bigint as color, ({ramp_sql('w', s.DEPTH_RAMP)})::bigint as depth_color from e")
 simple("cover_color", "cells", lambda: ["x", "y", s.cover_color(C("cover")).alias("color"), s.rock_tint(s.cover_color(C("cover")), C("x") / 40.0).alias("tinted")],
        "+ c as (select x, y, x/40.0::double as slope, case cover " + " ".join(f"when {k} then {v}" for k, v in s.COVER_COLORS.items()) + f" else {s.ROCK} end as color from cells), t as (select *, least(1, greatest(0, (slope-1.2)/1.6)) as t from c) select x, y, color::bigint as color, (" + " + ".join(f"floor(((color >> {k}) & 255) + ({(s.ROCK >> k) & 255} - ((color >> {k}) & 255))*t + 0.5)::bigint*{1 << k}" for k in (16, 8, 0)) + ")::bigint as tinted from t")
+TINT_SQL = " ".join(f"when {k} then {v}" for k, v in s.CLIMATE_TINTS.items())
+SHARE_SQL = "case cover " + " ".join(f"when {k} then {v}::double" for k, v in s.TINT_SHARES.items()) + " else 0.0::double end"
+simple("climate_tint", "cells", lambda: ["x", "y", s.climate_tint(s.cover_color(C("cover")), C("x") % 7, C("cover")).alias("color")],
+       "+ c as (select x, y, case cover " + " ".join(f"when {k} then {v}" for k, v in s.COVER_COLORS.items()) + f" else {s.ROCK} end as base, case x % 7 {TINT_SQL} end as tint, {SHARE_SQL} as share, x % 7 = {s.POLAR} as polar from cells), t as (select *, case when polar and share > 0 then least({s.TINT_MOST}::double, share + {s.POLAR_MORE}::double) else share end as t from c) select x, y, (case when t > 0 and tint is not null then " + " + ".join(f"floor(((base >> {k}) & 255) + (((tint >> {k}) & 255) - ((base >> {k}) & 255))*t + 0.5)::bigint*{1 << k}" for k in (16, 8, 0)) + " else base end)::bigint as color from t")
+simple("cache_name", "points", lambda: ["point_id", p.cache_name(C("point_id") % 12, C("x"), C("y")).alias("path")],
+       "select point_id, (point_id % 12)::varchar || '/' || x::varchar || '/' || y::varchar || '.png' as path from points")
 simple("hillshade", "cells", lambda: ["x", "y", s.hillshade(C("elev_m") / 11.0, C("x") / 50.0).alias("shade")],
        "+ d as (select x, y, elev_m/11.0::double as dx, x/50.0::double as dz from cells) select x, y, floor((0.45+0.55*greatest(0, (dx*0.4+0.8+dz*0.4)/sqrt(dx*dx+dz*dz+1)/sqrt(0.96)))*8+0.5)/8 as shade from d")
 simple("surface_class", "cells", lambda: ["x", "y", s.surface_class(C("cover"), C("elev_m") % 6, C("cover").isin(0, 80)).alias("material")],
@@ -191,15 +199,20 @@ simple("mix64", "cells", lambda: ["x", "y", h.mix64(C("x") * 1000003 + C("y")).a
        f"+ q as (select x, y, (x*1000003 + y)::ubigint as v from cells), a as ({mix_sql('q', 'x, y')}), r as (select x, y from cells), b as ({unit_sql('(x-64)', '(y-9)', h.WARP_SEED_X, 'r', 'x, y')}) select a.x, a.y, {wrap('a.m::hugeint')} as m, round((b.m >> 11)::double / 9007199254740992.0::double, 12) as unit from a join b on a.x = b.x and a.y = b.y")
 
 
-def noise_sql(seed: int) -> str:
-    corner = lambda i, j: f"(select x, y, (m >> 11)::double / 9007199254740992.0::double as u from ({unit_sql(f'(x0+{i})', f'(z0+{j})', seed, 'q', 'x, y')}))"
-    return f"""+ q as (select x, y, floor(x/7.0::double - 5)::bigint as x0, floor(y/9.0::double - 3)::bigint as z0, x/7.0::double - 5 as fx, y/9.0::double - 3 as fz from cells),
-    t as (select *, fx-x0 as a, fz-z0 as b from q), f as (select x, y, a*a*a*(a*(a*6-15)+10) as u, b*b*b*(b*(b*6-15)+10) as v from t)
-    select f.x, f.y, round(((c00.u + f.u*(c10.u-c00.u)) + f.v*((c01.u + f.u*(c11.u-c01.u)) - (c00.u + f.u*(c10.u-c00.u))))*2-1, 9) as noise from f
-    join {corner(0, 0)} c00 on f.x = c00.x and f.y = c00.y join {corner(1, 0)} c10 on f.x = c10.x and f.y = c10.y join {corner(0, 1)} c01 on f.x = c01.x and f.y = c01.y join {corner(1, 1)} c11 on f.x = c11.x and f.y = c11.y"""
+def noise_sql(seed: int, fx: str, fz: str, tag: str = "") -> str:
+    """CTEs from cells to n{tag}: x, y and the noise at (fx, fz)."""
+    corner = lambda i, j: f"(select x, y, (m >> 11)::double / 9007199254740992.0::double as u from ({unit_sql(f'(x0+{i})', f'(z0+{j})', seed, f'q{tag}', 'x, y')}))"
+    return f"""q{tag} as (select x, y, floor({fx})::bigint as x0, floor({fz})::bigint as z0, {fx} as fx, {fz} as fz from cells),
+    t{tag} as (select *, fx-x0 as a, fz-z0 as b from q{tag}), f{tag} as (select x, y, a*a*a*(a*(a*6-15)+10) as u, b*b*b*(b*(b*6-15)+10) as v from t{tag}),
+    n{tag} as (select f.x, f.y, ((c00.u + f.u*(c10.u-c00.u)) + f.v*((c01.u + f.u*(c11.u-c01.u)) - (c00.u + f.u*(c10.u-c00.u))))*2-1 as noise from f{tag} f
+    join {corner(0, 0)} c00 on f.x = c00.x and f.y = c00.y join {corner(1, 0)} c10 on f.x = c10.x and f.y = c10.y join {corner(0, 1)} c01 on f.x = c01.x and f.y = c01.y join {corner(1, 1)} c11 on f.x = c11.x and f.y = c11.y)"""
 
 
-simple("value_noise", "cells", lambda: ["x", "y", F.round(h.value_noise(C("x") / 7.0 - 5, C("y") / 9.0 - 3, h.WARP_SEED_X), 9).alias("noise")], noise_sql(h.WARP_SEED_X))
+simple("value_noise", "cells", lambda: ["x", "y", F.round(h.value_noise(C("x") / 7.0 - 5, C("y") / 9.0 - 3, h.WARP_SEED_X), 9).alias("noise")],
+       f"+ {noise_sql(h.WARP_SEED_X, 'x/7.0::double - 5', 'y/9.0::double - 3')} select x, y, round(noise, 9) as noise from n")
+# at scale 500 the warp's wave is 24 blocks and its reach 1.6
+simple("domain_warp", "cells", lambda: ["x", "y", *[F.round(c, 9).alias(n) for c, n in zip(h.domain_warp(C("x") * 5 - 300, C("y") * 7 - 99, 500.0), ("wx", "wz"), strict=True)]],
+       f"+ {noise_sql(h.WARP_SEED_X, '(x*5-300)/24.0::double', '(y*7-99)/24.0::double', '1')}, {noise_sql(h.WARP_SEED_Z, '(x*5-300)/24.0::double + 37', '(y*7-99)/24.0::double - 59', '2')} select n1.x, n1.y, round(n1.x*5-300 + n1.noise*1.6::double, 9) as wx, round(n1.y*7-99 + n2.noise*1.6::double, 9) as wz from n1 join n2 on n1.x = n2.x and n1.y = n2.y")
 
 
 def w32(v: str) -> str:
@@ -215,6 +228,7 @@ def hash32_sql(x: str, z: str, seed: int, source: str, keep: str) -> str:
     return f"select {keep}, xor(h2, {lo('h2', 16)}) as h32 from {c}"
 
 
+#: Fixed value: the salt of the rolls' hash.
 SALT = 0x6D2B79F5
 simple("mix_hash32", "cells", lambda: ["x", "y", h.mix_hash32(C("x") - 64, C("y") - 9, SALT).alias("h"), h.percent_roll(h.mix_hash32(C("x") - 64, C("y") - 9, SALT), 30).alias("kept")],
        f"+ q as ({hash32_sql('x-64', 'y-9', SALT, 'cells', 'x, y')}) select x, y, h32 as h, ((h32 & 4294967295) >> 24) < 76 as kept from q")
