@@ -66,9 +66,9 @@ def value_noise(x: Column, z: Column, seed: int) -> Column:
     fade = lambda t: t * t * t * (t * (t * 6.0 - 15.0) + 10.0)
     u, v = fade(x - x0), fade(z - z0)
     corner = lambda i, j: hash_unit(x0 + i, z0 + j, seed)
-    near = corner(0, 0) + u * (corner(1, 0) - corner(0, 0))
-    far = corner(0, 1) + u * (corner(1, 1) - corner(0, 1))
-    return (near + v * (far - near)) * 2.0 - 1.0
+    # each corner is named once: the hashes are long expressions
+    near, far = (corner(0, j) * (1.0 - u) + corner(1, j) * u for j in (0, 1))
+    return (near * (1.0 - v) + far * v) * 2.0 - 1.0
 
 
 def domain_warp(x: Column, z: Column, scale: float) -> tuple[Column, Column]:

@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.ranges import carried, neighbors
+from geoloom.operators.storage import drop_stored, stored
 
 C = F.col
 STRIP = 1024
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the folder that the cluster shares and read again, so that loops keep no lineage."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-graph-")
-    path = f"{root}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table that ``stored`` wrote and nothing reads any more."""
-    files = df.inputFiles()
-    if files:
-        context = df.sparkSession.sparkContext
-        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def runs(cells: DataFrame, part: list[str], order: str) -> DataFrame:
     """Adds run_start: the first position of the unbroken stretch of ``order`` values that the row is in."""
     gap = C(order) - F.row_number().over(Window.partitionBy(*part).orderBy(order))

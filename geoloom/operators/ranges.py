@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.sampling import offsets
+from geoloom.operators.storage import stored
 
 C = F.col
 
@@ -47,7 +48,7 @@ def asof_lookup(ids: DataFrame, directory: DataFrame, by: tuple[str, ...] = ())
     entry = F.struct(C("tile_id").alias("entry_id"), *others)
     entries = directory.filter("tile_id is not null").groupBy(*by, C("tile_id").alias("k")).agg(F.max(entry).alias("v"))
     wanted = ids.filter("tile_id is not null").select(*by, C("tile_id").alias("k")).distinct()
-    nodes = entries.join(wanted.withColumn("_w", F.lit(True)), [*by, "k"], "full")
+    nodes = stored(entries.join(wanted.withColumn("_w", F.lit(True)), [*by, "k"], "full"))
     found = carried(nodes, "last", by).filter("_w").select(*by, C("k").alias("tile_id"), F.coalesce("v", "b").alias("entry"))
     out = ids.join(found, [*by, "tile_id"], "left").select(*ids.columns, "entry")
     hit = (C("tile_id") == C("entry.entry_id")) | (C("entry.run_length") == 0) | (C("tile_id") - C("entry.entry_id") < C("entry.run_length"))
@@ -61,10 +62,10 @@ def archive_lookup(ids: DataFrame, directories: DataFrame, levels: int = 4) -> D
     to the directory ``leaf``. Each level is one look-up by directory and id, at most ``levels`` of them.
     """
     names = ids.columns
-    now = ids.withColumn("directory", F.lit(0).cast("bigint"))
+    now, directories = ids.withColumn("directory", F.lit(0).cast("bigint")), stored(directories)
     done = None
     for depth in range(levels):
-        met = asof_lookup(now, directories, ("directory",))
+        met = stored(asof_lookup(now, directories, ("directory",)))
         leaf = C("hit") & (C("entry.run_length") == 0)
         end = met if depth == levels - 1 else met.filter(~leaf)
         part = end.select(*names, F.when(C("hit") & ~leaf, F.lit(depth)).cast("bigint").alias("depth"), F.when(C("hit") & ~leaf, C("entry_id")).alias("entry_id"))
