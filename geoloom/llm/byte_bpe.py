@@ -3,14 +3,17 @@
 A sequence of tokens is the BPE encoding of its bytes if and only if each adjacent pair of tokens is
 the encoding of its own bytes, given that every token's bytes encode to that token. Joining two
 encodings therefore re-encodes a window around the boundary, grown on the side where the pair at
-the window's edge isn't stable, and stops as soon as both edge pairs are.
+the window's edge isn't stable, and stops as soon as both edge pairs are. Texts are cut at powers of
+two, so equal stretches of a long run are equal blocks, which are encoded once.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,14 @@ from geoloom.llm.shared import chunks, text_bytes
 CHUNK_BYTES = 2 << 20
 #: Pieces up to so many bytes are leaves of the tree.
 LEAF_BYTES = 16
+#: Ids up to so many are leaves of the decoding tree.
+LEAF_IDS = 64
+#: Windows over so many bytes are merged through a heap.
+LONG_BYTES = 64
 #: Different pieces whose ids a worker remembers.
 REMEMBERED = 200_000
+#: Blocks of long pieces that a worker remembers, of up to so many bytes in all.
+BLOCK_MEMORY = 16 << 20
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 
 
@@ -35,12 +44,16 @@ class BytePairs:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.pair_is_stable: dict[tuple[int, int], bool] = {}
+        self.blocks: dict[bytes, list[int]] = {}
+        self.block_bytes = 0
 
     def leaf(self, data: bytes) -> list[int]:
         """Ids by repeatedly merging the pair of lowest rank, leftmost first."""
         ranks = self.ranks
         if (whole := ranks.get(data)) is not None:
             return [whole]
+        if len(data) > LONG_BYTES:
+            return self.long_leaf(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         pairs = [ranks.get(data[i : i + 2], 1 << 30) for i in range(len(data) - 1)]
         while pairs:
@@ -56,6 +69,30 @@ class BytePairs:
                 pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
         return [ranks[p] for p in parts]
 
+    def long_leaf(self, data: bytes) -> list[int]:
+        """As ``leaf``: pairs come from a heap by rank and place; one that has changed since is passed over."""
+        ranks, n = self.ranks, len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by start of a part; end 0: merged away
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
+                continue
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := ranks.get(data[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if (h := before[i]) >= 0 and (r := ranks.get(data[h:stop])) is not None:
+                heapq.heappush(heap, (r, h, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[data[i : end[i]]])
+            i = end[i]
+        return out
+
     def stable(self, a: int, b: int) -> bool:
         found = self.pair_is_stable.get((a, b))
         if found is None:
@@ -69,25 +106,36 @@ class BytePairs:
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
         i, j = len(left) - 1, 1  # the window is left[i:] and right[:j]
+        by_left = by_right = 1
         while True:
             inner = self.leaf(b"".join(map(self.tokens.__getitem__, left[i:] + right[:j])))
             grow_left = i > 0 and not self.stable(left[i - 1], inner[0])
             grow_right = j < len(right) and not self.stable(inner[-1], right[j])
             if not grow_left and not grow_right:
                 return left[:i] + inner + right[j:]
-            i -= grow_left
-            j += grow_right
+            if grow_left:  # by twice as much each time
+                i, by_left = max(0, i - by_left), 2 * by_left
+            if grow_right:
+                j, by_right = min(len(right), j + by_right), 2 * by_right
 
     def encode(self, data: bytes) -> list[int]:
-        """Ids of one piece, by halves."""
+        """Ids of one piece, by halves: a block of the greatest power of two bytes, and the rest."""
         if len(data) <= LEAF_BYTES:
             return self.leaf(data)
-        half = len(data) // 2
-        return self.join(self.encode(data[:half]), self.encode(data[half:]))
+        if (known := self.blocks.get(data)) is not None:
+            return known
+        half = 1 << (len(data) - 1).bit_length() - 1
+        out = self.join(self.encode(data[:half]), self.encode(data[half:]))
+        if len(data) == 2 * half > 4 * LEAF_BYTES:  # a whole block, which a run repeats
+            self.block_bytes += len(data)
+            if self.block_bytes > BLOCK_MEMORY:
+                self.blocks, self.block_bytes = {}, len(data)
+            self.blocks[data] = out
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids, concatenated up the tree."""
-        if len(ids) <= LEAF_BYTES:
+        if len(ids) <= LEAF_IDS:
             return b"".join(map(self.tokens.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
@@ -161,8 +209,8 @@ def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return place[starts]
 
 
-def encode_texts(column: pa.Array, bpe: BytePairs, memory: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts end to end, and the offset of each text."""
+def coded_pieces(column: pa.Array, encode_piece: Callable[[bytes], list[int]], memory: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+    """Text offsets, start of each piece, its code, and the ids of each code; a piece is encoded once while it is remembered."""
     raw, at = text_bytes(column)
     starts = piece_starts(raw, at)
     offsets = np.append(starts, len(raw))
@@ -171,14 +219,25 @@ def encode_texts(column: pa.Array, bpe: BytePairs, memory: dict[bytes, list[int]
     for piece in coded.dictionary.to_pylist():
         ids = memory.get(piece)
         if ids is None:
-            ids = bpe.encode(piece)
+            ids = encode_piece(piece)
             if len(memory) >= REMEMBERED:
                 memory.clear()
             memory[piece] = ids
         table.append(ids)
+    return at, starts, coded.indices.to_numpy().astype(np.int64), table
+
+
+def count_ids(column: pa.Array, encode_piece: Callable[[bytes], list[int]], memory: dict[bytes, list[int]]) -> int:
+    """Number of ids of all texts."""
+    _, _, codes, table = coded_pieces(column, encode_piece, memory)
+    return int(np.fromiter(map(len, table), dtype=np.int64, count=len(table))[codes].sum())
+
+
+def encode_texts(column: pa.Array, encode_piece: Callable[[bytes], list[int]], memory: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts end to end, and the offset of each text."""
+    at, starts, codes, table = coded_pieces(column, encode_piece, memory)
     lengths = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-    flat = np.fromiter((x for ids in table for x in ids), dtype=np.int32, count=int(lengths.sum()))
-    codes = coded.indices.to_numpy().astype(np.int64)
+    flat = np.fromiter(chain.from_iterable(table), dtype=np.int32, count=int(lengths.sum()))
     begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     n = lengths[codes]
     total = np.concatenate([[0], np.cumsum(n)])
@@ -192,7 +251,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memory = load(path), {}
         for part in chunks(batches, "_t", CHUNK_BYTES):
-            ids, at = encode_texts(part.column("_t"), bpe, memory)
+            ids, at = encode_texts(part.column("_t"), bpe.encode, memory)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>")
@@ -212,25 +271,26 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ids are joined by commas in decimal.
 
-    Encodes and decodes in one pass, so the ids of a corpus need not be written to be checked.
+    Encodes and decodes (up the tree) in one pass, so the ids of a corpus need not be written to be checked. Null and
+    empty texts have no ids and the digests of nothing. Ids may be null, repeat and be of any type; each row has its own
+    answer. An empty table gives an empty one. Other columns are ignored.
     """
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memory = load(path), {}
-        size = max(bpe.tokens) + 1
-        spoken = pa.array([f"{i}," for i in range(size)], pa.large_string())
-        spelled = pa.array([bpe.tokens.get(i, b"") for i in range(size)], pa.large_binary())
+        spoken = pa.array([f"{i}," for i in range(max(bpe.tokens) + 1)], pa.large_string())
 
-        def digests(table: pa.Array, ids: np.ndarray, at: np.ndarray, drop: int) -> list[str]:
-            taken = table.take(pa.array(ids))
-            _, offsets, data = taken.buffers()
+        def listed(ids: np.ndarray, at: np.ndarray) -> list[str]:
+            _, offsets, data = spoken.take(pa.array(ids)).buffers()
             edge = np.frombuffer(offsets, np.int64)[at].tolist()
             data = memoryview(data) if data is not None else memoryview(b"")
-            return [hashlib.sha256(data[a : max(a, b - drop)]).hexdigest() for a, b in zip(edge, edge[1:], strict=False)]
+            return [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(edge, edge[1:], strict=False)]
 
         for part in chunks(batches, "_t", CHUNK_BYTES):
-            ids, at = encode_texts(part.column("_t"), bpe, memory)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(digests(spoken, ids, at, 1)), pa.array(digests(spelled, ids, at, 0))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, at = encode_texts(part.column("_t"), bpe.encode, memory)
+            whole = ids.tolist()
+            decoded = [hashlib.sha256(bpe.decode(whole[a:b])).hexdigest() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(listed(ids, at), pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
