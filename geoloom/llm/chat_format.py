@@ -17,10 +17,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.llm import byte_bpe
+
 
 @dataclass(frozen=True)
 class Template:
@@ -51,10 +54,22 @@ def load(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def turn_ids(enc: tiktoken.Encoding, template: Template, role: str, text: str, loss_roles: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+#: The tokenizer's own search goes too deep on longer runs of blanks.
+LONG_RUN = re.compile(r"\s{2000}")
+
+
+def plain_ids(path: str, pattern: str, text: str) -> list[int]:
+    """Ids of a text without special tokens, of any length."""
+    if not LONG_RUN.search(text):
+        return load(path, pattern).encode_ordinary(text)
+    bpe = byte_bpe.load(path)
+    return [i for m in regex.finditer(pattern, text) for i in bpe.encode(m[0].encode())]
+
+
+def turn_ids(path: str, pattern: str, template: Template, role: str, text: str, loss_roles: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Ids and loss mask of one turn."""
-    first = enc.max_token_value + 1
-    head, body = (np.array(enc.encode_ordinary(template.hide(s)), dtype=np.int32) for s in (role, text))
+    first = load(path, pattern).max_token_value + 1
+    head, body = (np.array(plain_ids(path, pattern, template.hide(s)), dtype=np.int32) for s in (role, text))
     ids = np.concatenate([[first + 1], head, [first + 2], body, [first + 3]]).astype(np.int32)
     step = np.zeros(len(ids) + 1, dtype=np.int8)
     if role in loss_roles:
@@ -73,9 +88,8 @@ def format_turns(turns: DataFrame, path: str, pattern: str, template: Template =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load(path, pattern)
         for batch in batches:
-            made = [turn_ids(enc, template, r or "", t or "", loss_roles) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            made = [turn_ids(path, pattern, template, r or "", t or "", loss_roles) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("conv_id", "turn", "role_key", "text_key")], pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int8()))], ["conv_id", "turn", "role_key", "text_key", "ids", "loss_mask"])
 
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
