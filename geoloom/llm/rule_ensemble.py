@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.shared import stage
+from geoloom.llm.shared import stage, unstage
 
 #: Labelled rows used for fitting, at most (about; chosen by a hash of the id).
 MAX_TRAINING_ROWS = 50_000
@@ -108,7 +108,9 @@ def train(known: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     rows, n = known.join(marks, "doc_id"), marks.count()
     if n > max_rows:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    return fit(stage(rows, "training"), "_label")
+    # one order, so that the forest's draws, and the scores, don't depend on the cluster; the sample is bounded
+    ordered = rows.select("doc_id", *STATISTICS, "_label").repartition(1).sortWithinPartitions("doc_id", "_label", *STATISTICS)
+    return fit(stage(ordered, "training"), "_label")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +127,13 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``classify`` predicts as 1, with all their columns and without a shuffle of texts."""
+    """The rows of ``docs`` that ``classify`` predicts as 1, with all their columns, whatever their names, and without a shuffle of texts.
+
+    Null and empty texts are scored like others, repeated rows each; an empty table gives an empty one.
+    """
     known = stage(statistics(docs, {"doc_id": F.col(id_col)}, text_col), "statistics")
     model = train(known, labels, label, max_rows, id_col)
-    return statistics(docs, {"_row": F.struct("*")}, text_col).filter(model.score() >= threshold).select("_row.*")
+    unstage(known)
+    # a column that isn't deterministic keeps the filter above the statistics, so that each is computed once and not in every rule
+    rows = statistics(docs, {"_row": F.struct("*")}, text_col).withColumn("_once", F.monotonically_increasing_id())
+    return rows.filter((model.score() >= threshold) & (F.col("_once") >= 0)).select("_row.*")
