@@ -2,8 +2,9 @@
 
 The index is cut into segments of bounded text. A segment has one row for each of its terms, with
 the term's word positions in the segment as a posting list, and one directory row naming its
-documents. Search fetches the rows of query terms only, then, segment by segment, intersects lists
-shifted by each term's offset in the phrase, from the rarest term of the whole corpus on.
+documents. Windows of the items are rows too. A window is joined to the segments that have its
+rarest term, and travels to these only; there, lists shifted by each term's offset in the phrase are
+intersected, from the rarest term of the whole corpus on. Nothing passes through the driver but counts.
 """
 
 from __future__ import annotations
@@ -16,14 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.shared import LETTERS_DIGITS, LOWER, chunks, cut, stage, text_bytes, word_bounds
+from geoloom.llm.shared import LETTERS_DIGITS, LOWER, chunks, cut, few, free_name, stage, text_bytes, unstage, word_bounds
 
 SEGMENT_BYTES = 2 << 20
-INDEX_SCHEMA = "segment long, term string, postings binary, doc_ids array<bigint>, doc_words array<bigint>"
-#: Words of query items that are held in memory at once; more items are searched in further blocks.
-BLOCK_WORDS = 1_000_000
-#: Query terms are broadcast up to so many, about 20 MB; beyond, they are joined by shuffle.
-BROADCAST_TERMS = 500_000
 DIRECTORY = ""
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,22 +40,24 @@ def index_rows(ids: pa.Array, column: pa.Array, segment: int) -> pa.RecordBatch:
     postings = pa.Array.from_buffers(pa.binary(), n_terms + 1, [None, pa.py_buffer(offsets), pa.py_buffer(positions)])
     terms = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([DIRECTORY])])
     listed = lambda values: pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n_terms + 1, np.int32), np.int32(len(values)))), values)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n_terms + 1, segment)), terms, postings, listed(ids.cast(pa.int64())), listed(pa.array(n_words.astype(np.int64)))], ["segment", "term", "postings", "doc_ids", "doc_words"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n_terms + 1, segment)), terms, postings, listed(ids), listed(pa.array(n_words.astype(np.int64)))], ["segment", "term", "postings", "doc_ids", "doc_words"])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of all documents, stored in the shared folder: columns of ``INDEX_SCHEMA``.
+    """The index of all documents, stored in the shared folder: segment, term, postings, doc_ids, doc_words.
 
     Words are ``WORD`` after lower-casing A-Z. Null and empty texts are in the directory with no
-    words. Null and repeated ids are kept as they are. A segment is one task's own run of rows.
+    words. Ids may have any type; null and repeated ids are kept as they are. A segment is one task's own run of rows.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for k, part in enumerate(chunks(batches, "_t", SEGMENT_BYTES)):
             yield index_rows(part.column("doc_id"), part.column("_t"), first + k)
 
-    return stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t")).mapInArrow(run, INDEX_SCHEMA), "positions")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return stage(rows.mapInArrow(run, f"segment long, term string, postings binary, doc_ids array<{kind}>, doc_words array<bigint>"), "positions")
 
 
 def _phrase(lists: dict[str, np.ndarray], order: list[tuple[int, str]]) -> np.ndarray:
@@ -94,74 +92,127 @@ def _near(lists: dict[str, np.ndarray], terms: list[str], within: int) -> np.nda
     return np.array(sorted(set(spans)), dtype=np.int64).reshape(-1, 2)
 
 
-def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item string, words array) of every item with words; items without an id are left out."""
+def windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stored: (wid, words), each different window once, and (wid, item): the items that have it.
+
+    An item of fewer words than ``window``, but not none, is one window. Windows of items without an id count, but name no item.
+    """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, SMALL)
-    return items.select(F.col(id_col).cast("string").alias("item"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words")).filter("item is not null and size(words) > 0").distinct()
+    words = items.select(F.col(id_col).cast("string").alias("item"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("all")).filter("size(all) > 0").distinct()
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - window + 1)))
+    each = words.select("item", "all", at.alias("i")).select("item", F.slice("all", F.col("i"), F.lit(window)).alias("words")).distinct()
+    named = stage(each.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    return named, stage(each.filter("item is not null").join(named, "words").select("wid", "item"), "window-items")
+
 
+def plans(named: DataFrame, counts: DataFrame) -> DataFrame:
+    """(wid, rare, n, steps) of the windows whose terms all occur: the rarest term, the window's length, (count, offset, term) rarest first."""
+    placed = named.select("wid", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
+    known = placed.join(counts.withColumnRenamed("n", "count"), "term")
+    steps = known.groupBy("wid", "n").agg(F.sort_array(F.collect_list(F.struct("count", "offset", "term"))).alias("steps"))
+    return steps.filter("size(steps) = n").select("wid", F.col("steps")[0]["term"].alias("rare"), "n", "steps")
 
-def search(index: DataFrame, items: DataFrame, window: int = 13, within: int | None = None, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Matches of every item against the index: doc_id, n_words, n_hit, items (sorted, distinct).
 
-    One row for each document of the index. A window is ``window`` consecutive words of an item (the
-    whole item if shorter). By default a window matches as an exact phrase; with ``within``, it matches
+def search(index: DataFrame, named: DataFrame, within: int | None = None) -> DataFrame:
+    """Stored: rows (segment, place, doc_id, n_words, n_hit), one for each document, and rows (segment, place, wid, start, end), one for each match.
+
+    ``named``: windows (wid, words). By default a window matches as an exact phrase; with ``within``, it matches
     wherever all its words stand, in any order, inside ``within`` words. ``n_hit`` counts document
-    words inside a match. Windows cross no document. No items, no hits.
+    words inside a match; start and end are words of the document. Matches cross no document. No windows, no matches.
+    """
+    terms = stage(named.select(F.explode("words").alias("term")).distinct(), "query-terms")
+    wanted = terms.union(terms.sparkSession.createDataFrame([(DIRECTORY,)], "term string"))
+    lists = index.join(few(wanted, terms.count()), "term", "left_semi")
+    counts = lists.filter(F.col("term") != DIRECTORY).groupBy("term").agg(F.sum(F.length("postings") / 4).cast("long").alias("n"))
+    planned = stage(plans(named, counts), "window-plans")
+    # a window goes to the segments of its rarest term
+    asked = lists.select("segment", F.col("term").alias("rare")).join(few(planned, planned.count()), "rare").select("segment", "wid", "n", "steps")
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    none = lambda t: F.lit(None).cast(t)
+    held = lists.select("segment", F.lit(0).alias("what"), "term", "postings", "doc_ids", "doc_words", none("long").alias("wid"), none("int").alias("n"), none("array<struct<count:long,offset:int,term:string>>").alias("steps"))
+    both = held.union(asked.select("segment", F.lit(1), none("string"), none("binary"), none(f"array<{kind}>"), none("array<bigint>"), "wid", "n", "steps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, have, ids, ends, step = None, {}, None, None, None
+        names = ["segment", "place", "doc_id", "n_words", "n_hit", "wid", "start", "end"]
+
+        def documents() -> pa.RecordBatch:
+            """The documents of the segment that ends."""
+            n = np.diff(np.append(0, ends))
+            hit = np.append(0, np.cumsum(np.cumsum(step[:-1]) > 0))
+            columns = [np.full(len(n), now), np.arange(len(n)), None, n, hit[ends] - hit[ends - n]]
+            return pa.RecordBatch.from_arrays([ids if c is None else pa.array(c.astype(np.int64)) for c in columns] + [pa.nulls(len(n), pa.int64())] * 3, names)
+
+        for batch in batches:
+            segments = batch.column("segment").to_numpy()
+            for s in np.flatnonzero(np.append(True, segments[1:] != segments[:-1])).tolist() if len(segments) else ():
+                stop = int(np.searchsorted(segments, segments[s], side="right"))
+                part = batch.slice(s, stop - s)
+                if segments[s] != now:
+                    if ids is not None:
+                        yield documents()
+                    now, have, ids = segments[s], {}, None
+                table = part.filter(pa.compute.equal(part.column("what"), 0))
+                for term, postings, doc_ids, n in zip(*[table.column(c) for c in ("term", "postings", "doc_ids", "doc_words")], strict=True):
+                    if term.as_py() == DIRECTORY:
+                        ids, ends = doc_ids.values, np.cumsum(n.values.to_numpy())
+                        step = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, dtype=np.int32)
+                    else:
+                        have[term.as_py()] = np.frombuffer(postings.as_buffer(), dtype=np.int32)
+                found = []
+                asks = part.filter(pa.compute.equal(part.column("what"), 1))
+                for wid, length, steps in zip(*[asks.column(c).to_pylist() for c in ("wid", "n", "steps")], strict=True):
+                    if within is None:
+                        starts = _phrase(have, [(x["offset"], x["term"]) for x in steps]).astype(np.int64)
+                        spans = np.stack([starts, starts + length], axis=1)
+                    else:
+                        spans = _near(have, sorted({x["term"] for x in steps}), within)
+                    if len(spans):
+                        doc = np.searchsorted(ends, spans[:, 0], side="right")
+                        inside = spans[:, 1] <= ends[np.minimum(doc, len(ends) - 1)]
+                        found.append((np.full(int(inside.sum()), wid), doc[inside], spans[inside]))
+                if found:
+                    wid, doc, spans = (np.concatenate([f[k] for f in found]) for k in range(3))
+                    np.add.at(step, spans[:, 0], 1)
+                    np.add.at(step, spans[:, 1], -1)
+                    begin = np.append(0, ends)[doc]
+                    columns = [np.full(len(doc), now), doc, None, None, None, wid, spans[:, 0] - begin, spans[:, 1] - begin]
+                    kinds = [pa.int64(), pa.int64(), ids.type, *[pa.int64()] * 5]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), t) if c is None else pa.array(c.astype(np.int64)) for c, t in zip(columns, kinds, strict=True)], names)
+        if ids is not None:
+            yield documents()
+
+    dealt = both.repartition("segment").sortWithinPartitions("segment", "what")
+    found = stage(dealt.mapInArrow(run, f"segment long, place long, doc_id {kind}, n_words long, n_hit long, wid long, start long, end long"), "matches")
+    for df in (terms, planned):
+        unstage(df)
+    return found
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, within: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, items (ids of the items that match, sorted as strings), contaminated (hits are a twentieth of the words or more).
+
+    One row for each row of ``docs``, repeated ones too. Null and empty texts have no words and are clean. Items without an id
+    count as hits and are not listed; repeated items count once. An empty table of documents or items gives no row, or no hits. Other columns are ignored.
     """
-    spark = index.sparkSession
-    queries = stage(windows(items, id_col, text_col), "query-items")
-    words = queries.select(F.explode("words").alias("term")).distinct()
-    n_terms, n_words = words.count(), queries.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    wanted = words.union(spark.createDataFrame([(DIRECTORY,)], "term string"))
-    lists = index.join(F.broadcast(wanted) if n_terms <= BROADCAST_TERMS else wanted, "term", "left_semi")
-    counts = lists.groupBy("term").agg(F.sum(F.length("postings") / 4).cast("long").alias("n"))
-
-    blocks, n_blocks = [], max(1, -(-n_words // BLOCK_WORDS))
-    for b in range(n_blocks):
-        block = queries.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == b)
-        rarity = dict(counts.join(block.select(F.explode("words").alias("term")).distinct(), "term", "left_semi").collect())
-        found: dict[tuple[str, ...], list[str]] = {}
-        for item, ws in block.collect():
-            for i in range(max(1, len(ws) - window + 1)):
-                found.setdefault(tuple(ws[i : i + window]), []).append(item)
-        # windows with a word that no document has can't match
-        plan = [(len(w), sorted(enumerate(w), key=lambda x: (rarity[x[1]], x[0])), sorted(set(at))) for w, at in found.items() if all(t in rarity for t in w)]
-        blocks.append(spark.sparkContext.broadcast(plan))
-
-    def run(table: pa.Table) -> pa.Table:
-        have = {t: np.frombuffer(p.as_buffer(), dtype=np.int32) for t, p in zip(table["term"].to_pylist(), table["postings"], strict=True) if t != DIRECTORY}
-        names = table.filter(pa.compute.equal(table["term"], DIRECTORY))
-        ids, n = names["doc_ids"].combine_chunks().flatten(), names["doc_words"].combine_chunks().flatten().to_numpy()
-        ends = np.cumsum(n)
-        step, items_of = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, dtype=np.int32), [set() for _ in n]
-        for held in blocks:
-            for length, order, at in held.value:
-                if order[0][1] not in have:
-                    continue
-                if within is None:
-                    starts = _phrase(have, order).astype(np.int64)
-                    spans = np.stack([starts, starts + length], axis=1) if len(starts) else ()
-                else:
-                    spans = _near(have, sorted({t for _, t in order}), within)
-                if not len(spans):
-                    continue
-                doc = np.searchsorted(ends, spans[:, 0], side="right")
-                inside = spans[:, 1] <= ends[doc]
-                np.add.at(step, spans[inside, 0], 1)
-                np.add.at(step, spans[inside, 1], -1)
-                for d in np.unique(doc[inside]):
-                    items_of[d].update(at)
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) > 0)])
-        n_hit = hit[ends] - hit[ends - n]
-        return pa.table({"doc_id": ids, "n_words": n, "n_hit": n_hit.astype(np.int64), "items": pa.array([sorted(x) for x in items_of], pa.list_(pa.string()))})
-
-    return lists.select("segment", "term", "postings", "doc_ids", "doc_words").groupBy("segment").applyInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items, contaminated (hits are a twentieth of the words or more)."""
-    found = search(build_index(docs, id_col, text_col), items, window)
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    index = build_index(docs, id_col, text_col)
+    named, of_items = windows(items, window, item_col, item_text_col)
+    found = search(index, named, within)
+    unstage(index)
+    met = found.filter("wid is not null").select("segment", "place", "wid").distinct().join(of_items, "wid")
+    listed = stage(met.groupBy("segment", "place").agg(F.sort_array(F.collect_set("item")).alias("items")), "document-items")
+    out = found.filter("wid is null").join(few(listed, listed.count()), ["segment", "place"], "left")
+    items_of = F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    return out.select("doc_id", "n_words", "n_hit", items_of, ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, all columns kept, whatever their names. Rows that repeat id and text go or stay together; null ids are ids like others."""
+    key, bad = free_name(docs, "key"), free_name(docs, "bad")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col), F.xxhash64(text_col), F.length(text_col)))
+    rejected = contamination(keyed, items, window, id_col=key, text_col=text_col).filter("contaminated").select(F.col("doc_id").alias(bad)).distinct()
+    rejected = stage(rejected, "contaminated")
+    return keyed.join(few(rejected, rejected.count()), F.col(key).eqNullSafe(F.col(bad)), "left_anti").select(*docs.columns)
 
 
 ORACLE = rf"""

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 
 import public_tokenizers
@@ -14,6 +15,7 @@ from geoloom.llm import byte_bpe, decontaminate, simhash
 from geoloom.llm.components import components
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, source string, fp string, term string"
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -121,6 +123,12 @@ def test_simhash_against_all_pairs(spark, monkeypatch, block):
     assert [rows[i].component_id for i in range(len(texts))] == brute_components(fps)
 
 
+def test_simhash_ids_of_any_type_and_hot_fingerprints(spark):
+    rows = [(f"d{i:04d}" if i % 7 else None, "same words here" if i % 2 else None) for i in range(2000)]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string").withColumns({"low": F.lit(1), "n": F.lit(2)})).collect()
+    assert len(out) == 2000 and {(r.fingerprint == "0" * 16, r.component_id) for r in out} == {(False, "d0001"), (True, "d0002")}
+
+
 def test_simhash_links_random_close_fingerprints(spark):
     rng = random.Random(1)
     fps = [rng.getrandbits(64) for _ in range(60)]
@@ -160,25 +168,69 @@ def brute_contamination(texts, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("block_words, segment", [(1_000_000, 2 << 20), (20, 300)])
-def test_contamination_against_brute_force(spark, monkeypatch, block_words, segment):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+@pytest.mark.parametrize("segment, kind", [(2 << 20, "long"), (300, "string")])
+def test_contamination_against_brute_force(spark, monkeypatch, segment, kind):
     monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", segment)
     rng = random.Random(2)
     words = [f"t{k}" for k in range(12)] + ["É", "the"]
-    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 13, 14, 20])))) for k in range(12)] + [(12, ""), (13, None), (2, "zz yy"), (14, "The-T1")]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 13, 14, 20])))) for k in range(12)] + [(12, ""), (13, None), (2, "zz yy"), (14, "The-T1"), (14, "the t1")]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(30)] + [None, "", "..."]
     texts += [f"{a} {i} {a}" for a in ("x y", "") for _, i in items]
-    docs = spark.createDataFrame([(i, t, "s", "f", "t") for i, t in enumerate(texts)], DOCS)
-    rows = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert [(rows[i].n_words, rows[i].n_hit, rows[i]["items"]) for i in range(len(texts))] == brute_contamination(texts, items)
+    docs = spark.createDataFrame([(f"d{i:03d}" if kind == "string" else i, t, "s", 1, 2) for i, t in enumerate(texts)], f"doc_id {kind}, text string, term string, n_words int, segment int")
+    rows = sorted(decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert [(r.n_words, r.n_hit, r["items"]) for r in rows] == brute_contamination(texts, items)
+
+
+def test_items_without_an_id_count_as_hits(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d"), (2, "d"), (None, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c"), (7, "c")], "item_id long, text string")
+    rows = sorted((r.doc_id or 0, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items).collect())
+    assert rows == [(0, 2, ["7"]), (1, 2, ["7"]), (2, 0, []), (2, 0, [])]
+    left = decontaminate.remove_contaminated(docs.withColumns({"_key": F.lit("k"), "_bad": F.lit("b")}), items)
+    assert sorted(map(tuple, left.collect())) == [(2, "d", "k", "b")] * 2
 
 
-def test_proximity(spark):
-    texts = ["a x b y c", "c b a", "a b x x x x c", "b c", "a", "a a b c c"]
+def test_proximity_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 150)
+    rng = random.Random(5)
+    texts = ["a x b y c", "c b a", "a b x x x x c", "b c", "a", "a a b c c"] + [" ".join(rng.choice("abcdx") for _ in range(rng.randrange(40))) for _ in range(40)]
     docs = spark.createDataFrame([(i, t, "s", "f", "t") for i, t in enumerate(texts)], DOCS)
-    found = decontaminate.search(decontaminate.build_index(docs), spark.createDataFrame([(1, "a b c")], "item_id long, text string"), within=5)
-    assert {r.doc_id for r in found.collect() if r["items"]} == {0, 1, 5}
+    items = ["a b c", "d", "b b d"]
+    named, of_items = decontaminate.windows(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), 13)
+    found = decontaminate.search(decontaminate.build_index(docs), named, within=5)
+    ids = {(r.segment, r.place): r.doc_id for r in found.filter("wid is null").collect()}
+    got = {(ids[r.segment, r.place], r.item, r.start, r.end) for r in found.filter("wid is not null").join(of_items, "wid").collect()}
+    want = set()
+    for i, text in enumerate(texts):
+        w = text.split()
+        for k, item in enumerate(items):
+            terms = set(item.split())
+            for end in range(len(w)):
+                start = max((s for s in range(end + 1) if terms <= set(w[s : end + 1])), default=None)
+                if w[end] in terms and start is not None and end - start < 5:
+                    want.add((i, str(k), start, end + 1))
+    assert got == want and {i for i, k, _, _ in got if k == "0"} >= {0, 1, 5}
+
+
+def test_long_pieces_and_the_tree(reference):
+    bpe, rng = byte_bpe.load(PATH), random.Random(1)
+    for k in range(400):
+        some = rng.choice([b"-", b"-=", b"ab", b"etaoin", bytes(range(97, 123)), bytes(range(256)), b" \n"])
+        data = bytes(rng.choice(some) for _ in range(rng.choice([5, 17, 33, 70, 130, 300, 1000])))
+        assert bpe.encode(data) == bpe.leaf(data) == reference._core_bpe.encode_single_piece(data) and bpe.decode(bpe.encode(data)) == data
+    for data in (b"-" * 1_000_001, b"-=-" * 100_000, b" " * 777_777):
+        begin = time.monotonic()
+        assert bpe.encode(data) == reference._core_bpe.encode_single_piece(data) and time.monotonic() - begin < 10
+
+
+def test_round_trip_of_very_long_texts(spark, reference):
+    texts = ["-" * 500_000, "word " * 200_000, " " * 300_000 + "x"]
+    rows = {r.doc_id: r for r in byte_bpe.round_trip(spark.createDataFrame(list(zip("abc", texts)), "doc_id string, text string"), PATH).collect()}
+    for k, text in zip("abc", texts):
+        bpe = byte_bpe.load(PATH)
+        ids = [i for m in regex.finditer(public_tokenizers.PATTERN, text) for i in bpe.encode(m[0].encode())]
+        assert rows[k].n_tokens == len(ids) and rows[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert rows[k].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_empty_tables(spark):
