@@ -1,16 +1,18 @@
 """Quality rules: counts within each document, and lines that too many documents of a host share.
 
-DataFrame functions only. Counts come from arrays within the row, so they move nothing. Lines travel
-as 64-bit hashes: (host and line, document) pairs are made distinct, counted by line with map-side
-sums, and only lines above the limit return to their documents. Documents that are exact copies
-count once, so a copied document doesn't turn its own lines into boilerplate.
+DataFrame functions only. One reading of the texts writes each document's counts and the hashes of
+its different lines; the rest moves hashes. (host and line, document) pairs are made distinct, counted
+by line with map-side sums, and only lines above the limit return to their documents, whose texts lose them. Documents that are exact copies
+count once, so a copied document doesn't turn its own lines into boilerplate. Lines are told apart by 64 bits of hash, documents by 128.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.shared import HEAVY, few, free_name, heavy_join, stage
+
 BLANKS = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\f\r"
 #: A line is boilerplate if over so many different documents of its host have it.
@@ -44,27 +46,79 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def line_hash(host: Column, line: Column) -> Column:
+    """Hash of a normalised line of a host."""
+    return F.xxhash64(host, line)
+
+
+def normal(line: Column) -> Column:
+    return F.lower(F.regexp_replace(F.btrim(line, F.lit(BLANK_CHARS)), BLANKS, " "))
+
+
+def _rows(docs: DataFrame, text_col: str, host_col: str, keep: dict[str, Column]) -> DataFrame:
+    """``keep``, _t, _host and _doc (128-bit hash of both)."""
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("_t"), F.coalesce(F.col(host_col).cast("string"), F.lit("\x00")).alias("_host"))
+    return rows.withColumn("_doc", F.struct(F.xxhash64("_host", "_t").alias("a"), F.xxhash64(F.lit(1), "_host", "_t").alias("b")))
+
+
+def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_documents: int) -> tuple[DataFrame, DataFrame]:
+    """Stored: a row for each row of ``docs`` (doc_id, _doc, counts, _line_words), and the boilerplate (_doc, lines: hashes, removed: words, n: rows) of each different document that has any."""
+    rows = base_counts(_rows(docs, text_col, host_col, {"doc_id": F.col(id_col)}))
+    sizes = F.transform("_lines", lambda x: F.size(F.split(x, " ")))
+    rows = rows.withColumns({"_hl": F.transform("_lines", lambda x: line_hash(F.col("_host"), x)), "_n": sizes})
+    rows = stage(rows.select("doc_id", "_doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_hl", "_n"), "line-hashes")
+    pairs = rows.select("_doc", F.explode(F.arrays_zip("_hl", "_n")).alias("x")).select("_doc", F.col("x._hl").alias("hl"), F.col("x._n").alias("n"))
+    pairs = pairs.groupBy("hl", "_doc").agg(F.max("n").alias("n"))
+    counted = stage(pairs.groupBy("hl").agg(F.count("*").alias("n")).filter(F.col("n") > max_documents), "common-lines")
+    # a common line may be in a third of all documents
+    removed = heavy_join(pairs, counted.select("hl", F.lit(True).alias("_common")), "hl", counted, "n") if counted.count() > HEAVY else pairs.join(F.broadcast(counted.select("hl")), "hl")
+    removed = removed.groupBy("_doc").agg(F.collect_set("hl").alias("lines"), F.sum("n").alias("removed"))
+    copies = rows.groupBy("_doc").agg(F.count("*").alias("n"))
+    return rows, stage(removed.join(copies, "_doc"), "boilerplate")
+
+
+def judge(rows: DataFrame, gone: DataFrame, max_removed: float) -> DataFrame:
+    """Verdict of every row of ``measure``."""
+    line_words = F.aggregate("_n", F.lit(0), lambda s, x: s + x)
+    narrow = rows.select("doc_id", "_doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", line_words.alias("_line_words"))
+    n = gone.count()
+    touched = narrow.join(few(gone.select("_doc"), n), "_doc", "left_semi")
+    touched = heavy_join(touched, gone.select("_doc", F.col("removed").cast("long").alias("n_removed_words")), "_doc", gone.select("_doc", "n"), "doc_id")
+    whole = narrow.join(few(gone.select("_doc"), n), "_doc", "left_anti").withColumn("n_removed_words", F.lit(0).cast("long"))
+    out = whole.union(touched.select(*whole.columns))
+    out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    depleted = F.col("n_removed_words") > max_removed * F.col("_line_words")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS_PER_HOST, max_removed: float = MAX_REMOVED_SHARE) -> DataFrame:
     """Counts and verdict for every row: doc_id, the five counts, n_removed_words, base_failed, kept.
 
     Null and empty texts have no words and fail. A null host is a host of its own. Rows that repeat
-    id, text and host get the same answer each. Ids may be null. Other columns are ignored.
+    id, text and host get the same answer each. Ids may be null. An empty table gives an empty one. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), F.coalesce(F.col(host_col).cast("string"), F.lit("\x00")).alias("_host"))
-    counted = base_counts(rows.withColumn("_doc", F.xxhash64("_host", "_t")))
-    n_line_words = F.aggregate("_lines", F.lit(0), lambda s, x: s + F.size(F.split(x, " ")))
-    counted = counted.select("doc_id", "_doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", n_line_words.alias("_line_words"))
-
-    split = rows.select(F.xxhash64("_host", "_t").alias("_doc"), "_host", F.explode(F.split("_t", "\n")).alias("_line"))
-    split = split.select("_doc", "_host", F.lower(F.regexp_replace(F.btrim("_line", F.lit(BLANK_CHARS)), BLANKS, " ")).alias("_line")).filter("_line <> ''")
-    lines = split.select("_doc", F.xxhash64("_host", "_line").alias("_hl"), F.size(F.split("_line", " ")).alias("_n")).groupBy("_hl", "_doc").agg(F.max("_n").alias("_n"))
-    common = lines.groupBy("_hl").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > max_documents).select("_hl")
-    removed = lines.join(common, "_hl", "left_semi").groupBy("_doc").agg(F.sum("_n").alias("_removed"))
-
-    out = counted.join(removed, "_doc", "left").withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)).cast("long"))
-    out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    depleted = F.col("n_removed_words") > max_removed * F.col("_line_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"))
+    rows, gone = measure(docs, id_col, text_col, host_col, max_documents)
+    return judge(rows, gone, max_removed).drop("_doc", "_line_words")
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS_PER_HOST, max_removed: float = MAX_REMOVED_SHARE) -> DataFrame:
+    """The rows that ``apply_rules`` keeps, with all their columns, their texts without the lines that too many documents of their host share.
+
+    Other lines, blank ones too, stay as they are. Columns may have any names.
+    """
+    rows, gone = measure(docs, id_col, text_col, host_col, max_documents)
+    bad = stage(judge(rows, gone, max_removed).filter("not kept").select("_doc").distinct(), "rejected-documents")
+    doc, host, bad_doc, lines_doc, lines = (free_name(docs, x) for x in ("doc", "host", "bad_doc", "lines_doc", "lines"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumn(host, F.coalesce(F.col(host_col).cast("string"), F.lit("\x00")))
+    keyed = keyed.withColumn(doc, F.struct(F.xxhash64(host, text).alias("a"), F.xxhash64(F.lit(1), host, text).alias("b")))
+    kept = keyed.join(few(bad.select(F.col("_doc").alias(bad_doc)), bad.count()), F.col(doc) == F.col(bad_doc), "left_anti")
+    n = gone.count()
+    gone = gone.select(F.col("_doc").alias(lines_doc), F.col("lines").alias(lines))
+    changed = kept.join(few(gone.select(lines_doc), n), F.col(doc) == F.col(lines_doc), "left_semi").join(gone, F.col(doc) == F.col(lines_doc))
+    own = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains(lines, line_hash(F.col(host), normal(x)))), "\n")
+    whole = kept.join(few(gone.select(lines_doc), n), F.col(doc) == F.col(lines_doc), "left_anti").select(*docs.columns)
+    return whole.union(changed.select(*[own.alias(c) if c == text_col else F.col(c) for c in docs.columns]))
 
 
 ORACLE = rf"""

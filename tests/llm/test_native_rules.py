@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 from geoloom.llm import license_scan, quality_rules
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, source string, label string"
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -85,6 +86,19 @@ def test_shared_lines_deplete_but_copies_do_not(spark):
     assert all(out[i].kept and not out[i].n_removed_words for i in [*range(100, 103), *range(200, 209)])
 
 
+def test_clean_texts_lose_shared_lines(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"Footer  line\n{own(i)}\n\nfooter LINE\nend{i}", None if i % 2 else "host", "l") for i in range(12)]
+    rows += [(50, own(3), "host", "l"), (None, f"{own(4)}\nfooter line", "other", "l"), (51, None, "host", "l")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"_doc": F.lit(1), "_lines": F.lit(2), "_host": F.lit(3), "n": F.lit(4)})
+    out = quality_rules.clean(docs, max_documents=4)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {i: f"{own(i)}\n\nend{i}" for i in range(12)} | {50: own(3), None: f"{own(4)}\nfooter line"}
+    judged = {r.doc_id: r for r in quality_rules.apply_rules(docs, max_documents=4).collect()}
+    assert {k for k, r in judged.items() if r.kept} == set(got) and all(judged[i].n_removed_words == 2 for i in range(12))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert license_scan.scan(docs).count() == 0 and quality_rules.apply_rules(docs).count() == 0
