@@ -7,11 +7,38 @@ from geoloom.llm import license_scan
 DOCS = "doc_id long, text string"
 
 
+def shortest(tree):
+    """A short text that a parsed regex matches, and what its look-aheads ask for behind it."""
+    text, tail = "", ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            text += chr(arg)
+        elif op == "ANY":
+            text += "z"
+        elif op == "IN":
+            kind, value = arg[0]
+            text += {"CATEGORY_DIGIT": "0", "CATEGORY_NOT_SPACE": "q"}[str(value)] if str(kind) == "CATEGORY" else chr(value[0] if str(kind) == "RANGE" else value)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, _, inner = arg
+            text += "".join(shortest(inner)[0] for _ in range(low))
+        elif op == "SUBPATTERN":
+            inner = shortest(arg[-1])
+            text, tail = text + inner[0], tail + inner[1]
+        elif op == "BRANCH":
+            text += shortest(arg[1][0])[0]
+        elif op == "ASSERT":
+            tail = shortest(arg[1])[0]
+        else:
+            raise ValueError(op)
+    return text, tail
+
+
 def own_match(regex):
-    """The shortest text that the rule's regex matches."""
-    text = re.sub(r"\(\?:[^()]*\)[?*]|\(\?= \)|\[sc\](?=e)", lambda m: "s" if m[0] == "[sc]" else "", regex)
-    assert re.search(regex, f"{text} "), regex
-    return text.strip()
+    """A short text that the rule's regex matches."""
+    text = "".join(shortest(re._parser.parse(regex))).strip()
+    assert re.search(regex, f" {text} "), (regex, text)
+    return text
 
 
 def labels(text):
@@ -38,3 +65,24 @@ def test_short_forms_without_the_word_license(spark):
     texts = {"Released under Apache 2.0": "apache", "MPL 2.0": "mpl", "BSD 3-Clause": "bsd", "GFDL 1.3": "gfdl", "EPL 1.0": "epl", "OFL 1.1": "ofl", "SPDX-License-Identifier: PSF-2.0": "python", "SPDX-License-Identifier: MS-PL": "ms-pl", "no such thing": ""}
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
     assert {list(texts)[r.doc_id]: r.labels for r in license_scan.scan(docs).collect()} == texts
+
+
+def test_notices_in_files(spark):
+    texts = {
+        "/* Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n */": "apache",
+        "// See https://opensource.org/licenses/MIT": "mit",
+        "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.": "mpl",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files": "mit",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted": "bsd",
+        "GPL v2 with Classpath exception": "gpl,gpl-classpath-exception",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    assert {list(texts)[r.doc_id]: r.labels for r in license_scan.scan(docs).collect()} == texts
+
+
+def test_many_copies_and_null_texts(spark):
+    rows = [(i, "MIT License" if i % 3 else None) for i in range(3000)] + [(None, "MIT License")] * 2
+    docs = spark.createDataFrame(rows, DOCS)
+    out = license_scan.scan(docs).collect()
+    assert len(out) == len(rows) and all((r.labels, r.n_base) == (("mit", 1) if r.doc_id is None or r.doc_id % 3 else ("", 0)) for r in out)
