@@ -11,8 +11,10 @@ can hold a repeated string. Neighbouring strings that own the same core make one
 3. The margins of all contexts of a longer core form one text. Its suffix array, by grouping, puts
    equal strings side by side; those that agree over the string's length are repeated.
 
-A longer core with more contexts than one group may hold has its strings counted by digest instead,
-with sums before the shuffle: the same answer for groups of any size. All hashes have 64 bits.
+A longer core with more contexts than one suffix array should hold has its strings, each once for
+each batch that sees it, dealt out over several groups by their bytes; equal strings stay together, and
+every group is sorted the same way. Texts are told apart by 128 bits of hash. Contexts are equal if both the
+64-bit hashes of their core and of their bytes are; strings of a longer core are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -25,16 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.shared import ODD, SPREAD, chunks, mix, powers, stage, text_bytes, unstage, whole_groups
+from geoloom.llm.shared import ODD, SPREAD, chunks, few, heavy_join, mix, powers, stage, text_bytes, unstage, whole_groups
 from geoloom.llm.suffix_groups import _ranges, suffix_arrays
 
 LENGTH, CORE = 200, 100
 BAND = 26
 CHUNK_BYTES = 2 << 20
-#: Contexts that one suffix array takes at most.
+#: Contexts or strings that one suffix array should take at most.
 GROUP_LIMIT = 4096
-#: Keys of documents that are broadcast at most, 8 bytes each; beyond, they are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
 POSITION_BITS = 22
 
 def contexts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -227,25 +227,33 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _spans(np.repeat(table["dk"].to_numpy()[row], starts[row])[hit], (np.repeat(table["start"].to_numpy()[row], starts[row]) + offset)[hit])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each string of contexts of a large group: digest, document, start, need."""
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as of ``_bands``, one for each string of the contexts of large groups, dealt over ``parts`` groups by their bytes.
+
+    A string that a batch has twice is decided (done); one row of it goes on, for other batches to meet.
+    """
+    names = [c.split()[0] for c in BANDED.split(", ")] + ["done"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
     for batch in batches:
-        out = []
-        for key, dk, start, n, need, width, left, right in zip(*[batch.column(c).to_pylist() for c in ("key2", "dk", "start", "starts", "need", "width", "left", "right")], strict=True):
+        seen: dict[tuple[int, bytes, bytes], list[tuple[int, int, bool, int, int]]] = {}
+        for key, dk, start, n, need, width, left, right, parts in zip(*[batch.column(c).to_pylist() for c in ("key2", "dk", "start", "starts", "need", "width", "left", "right", "parts")], strict=True):
             for i in range(n):
                 tail = left[i:]
-                out.append((xxhash.xxh64_intdigest(tail + b"\0" + right[: width - 1 - len(tail)], (key + len(tail)) & (2**64 - 1)) - (1 << 63), dk, start + i, need))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["digest", "dk", "start", "need"])
-
-
-def _join_few(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on dk with a stored table of keys, broadcast while it is small."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "dk", how)
+                seen.setdefault((key, tail, right[: width - 1 - len(tail)]), []).append((dk, start + i, need, width, parts))
+        rows: list[tuple] = []
+        for (key, tail, right), at in seen.items():
+            digest = xxhash.xxh64_intdigest(tail + b"\0" + right, (key + len(tail)) & (2**64 - 1))
+            again = len(at) > 1
+            dk, start, need, width, parts = at[0]
+            group = xxhash.xxh64_intdigest(f"{key} {digest % parts}") - (1 << 63)
+            rows.append((group, digest - (1 << 63), dk, start, 1, need and not again, width, tail, right, False))
+            if again:
+                rows += [(group, 0, dk, start, 1, need, width, b"", b"", True) for dk, start, need, _, _ in at]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names)
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """(dk, s, e): byte ranges, which may overlap, covered by repeated strings; texts (dk, _t) are all different."""
+    """Stored (dk, ranges): sorted byte ranges (s, e), which may overlap, covered by repeated strings; texts (dk, _t) are all different."""
     found = texts.mapInArrow(_occurrences, OCCURRENCE)
     # one row of each context and chunk meets at its key; the rest, known to be repeated, are dealt evenly
     meeting = F.when(F.col("seen") == LATER, F.xxhash64("dk", "at")).otherwise(F.col("key"))
@@ -254,21 +262,24 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     ranges = shared.filter("same").select("dk", p.alias("s"), (p + F.shiftright("at", 7).bitwiseAND(F.lit(127)) + LENGTH - 1).alias("e"))
 
     leads = shared.filter("lead")
-    several = leads.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    wanted = stage(leads.join(several, "key", "left_semi").groupBy("dk").agg(F.collect_list(F.struct("at", "same")).alias("wanted")), "wanted")
-    banded = _join_few(texts, wanted.select("dk"), "left_semi").join(wanted, "dk").select("dk", "_t", "wanted").mapInArrow(_bands, BANDED)
-    banded = stage(banded, "bands")
-    unstage(wanted)
+    several = stage(leads.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-cores")
+    wanted = heavy_join(leads, several.select("key"), "key", several, "at")  # one core may have very many contexts
+    wanted = stage(wanted.groupBy("dk").agg(F.collect_list(F.struct("at", "same")).alias("wanted")), "wanted")
+    held = texts.join(few(wanted.select("dk"), wanted.count()), "dk", "left_semi")
+    banded = stage(held.join(wanted, "dk").select("dk", "_t", "wanted").mapInArrow(_bands, BANDED), "bands")
     sizes = banded.groupBy("key2").agg(F.count("*").alias("n"), F.max("need").alias("any_need")).filter("n > 1 and any_need").select("key2", "n")
-    met = banded.join(sizes, "key2")
-    small = met.filter(F.col("n") <= GROUP_LIMIT).drop("n").repartition("key2").sortWithinPartitions("key2", "ctx2").mapInArrow(_sorted_groups, "dk long, s long, e long")
-    large = met.filter(F.col("n") > GROUP_LIMIT).drop("n").mapInArrow(_digests, "digest long, dk long, start long, need boolean")
-    twice = large.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    rest = large.join(twice, "digest", "left_semi").filter("need").select("dk", F.col("start").alias("s"), (F.col("start") + LENGTH).alias("e"))
-    return ranges.union(small).union(rest)
-
-
-MERGED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    sizes = stage(sizes, "band-sizes")
+    parts = F.ceil(F.col("n") * BAND / GROUP_LIMIT).cast("int")
+    met = heavy_join(banded, sizes.select("key2", F.when(F.col("n") > GROUP_LIMIT, parts).alias("parts")), "key2", sizes, "dk")
+    columns = [c.split()[0] for c in BANDED.split(", ")]
+    strings = stage(met.filter("parts is not null").select(*columns, "parts").mapInArrow(_strings, f"{BANDED}, done boolean"), "strings")
+    groups = met.filter("parts is null").select(*columns).union(strings.filter("not done").select(*columns))
+    found = groups.repartition("key2").sortWithinPartitions("key2", "ctx2").mapInArrow(_sorted_groups, "dk long, s long, e long")
+    decided = strings.filter("done and need").select("dk", F.col("start").alias("s"), (F.col("start") + LENGTH).alias("e"))
+    out = stage(ranges.union(found).union(decided).groupBy("dk").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("ranges")), "ranges")
+    for df in (shared, several, wanted, banded, sizes, strings):
+        unstage(df)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +299,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(data[end:])
             out.append((doc_id, len(data), removed, spans, b"".join(kept)))
         columns = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        kinds = (batch.column("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,20 +308,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts are empty. Texts shorter than ``LENGTH`` bytes lose nothing. Rows with equal texts,
     repeated rows included, are each other's repeats: from ``LENGTH`` bytes on, nothing of them is
-    kept. Texts of any length are read whole, the longest in overlapping pieces. Null ids are kept.
+    kept. Texts of any length are read whole, the longest in overlapping pieces. Ids may have any type; null ids are kept. An empty
+    table gives an empty one. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("dk", F.xxhash64("_t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    rows = rows.withColumns({"dk": F.xxhash64("_t"), "_d2": F.xxhash64(F.lit(1), "_t")})
     n_bytes = F.octet_length("_t").cast("long")
+    known = stage(rows.filter(n_bytes >= LENGTH).groupBy("dk", "_d2").agg(F.count("*").alias("n")), "different-texts")
+    clash = stage(known.groupBy("dk").agg(F.count("*").alias("_k")).filter("_k > 1").select(F.col("dk").alias("_clash")), "clashes")
+    n_clash = clash.count()
+    if n_clash:  # different texts with one 64-bit hash go by their second hash
+        other = lambda df: df.join(few(clash, n_clash), F.col("dk") == F.col("_clash"), "left").withColumn("dk", F.when(F.col("_clash").isNull(), F.col("dk")).otherwise(F.xxhash64("dk", "_d2"))).drop("_clash")
+        rows, known = other(rows), other(known)
     long = rows.filter(n_bytes >= LENGTH)
-    copied = stage(long.groupBy("dk").agg(F.count("*").alias("n")).filter("n > 1").select("dk"), "copied")
-    single = _join_few(long, copied, "left_anti").select("dk", "_t")
-    copies = _join_few(long, copied, "left_semi").select("dk", "_t")
-    texts = single.union(copies.dropDuplicates(["dk"]))
-    ranges = repeated_ranges(texts).groupBy("dk").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("ranges"))
-    ranges = stage(ranges, "ranges")
+    copied = stage(known.filter("n > 1").select("dk"), "copied")
+    n_copied = copied.count()
+    single = long.join(few(copied, n_copied), "dk", "left_anti").select("dk", "_t")
+    copies = long.join(few(copied, n_copied), "dk", "left_semi").select("dk", "_t")
+    ranges = repeated_ranges(single.union(copies.dropDuplicates(["dk"])))
     partly = stage(ranges.select("dk").join(copied, "dk", "left_anti"), "partly")
-    gone = _join_few(long, copied, "left_semi").select("doc_id", n_bytes.alias("n_bytes"), n_bytes.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
-    whole = _join_few(_join_few(rows, partly, "left_anti"), copied, "left_anti")
+    n_partly = partly.count()
+    gone = long.join(few(copied, n_copied), "dk", "left_semi").select("doc_id", n_bytes.alias("n_bytes"), n_bytes.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    whole = rows.join(few(partly, n_partly), "dk", "left_anti").join(few(copied, n_copied), "dk", "left_anti")
     whole = whole.select("doc_id", n_bytes.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_t").cast("binary").alias("kept"))
-    cut = _join_few(long, partly, "left_semi").join(ranges, "dk").select("doc_id", "_t", "ranges").mapInArrow(_cut, MERGED)
+    kind = dict(rows.dtypes)["doc_id"]
+    cut = long.join(few(partly, n_partly), "dk", "left_semi").join(ranges, "dk").select("doc_id", "_t", "ranges").mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     return whole.union(gone).union(cut)

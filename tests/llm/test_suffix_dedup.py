@@ -52,3 +52,17 @@ def test_removed_bytes_against_brute_force(spark, monkeypatch, limit, chunk):
 
 def test_nothing(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_clashing_hashes_string_ids_and_extra_columns(spark, monkeypatch):
+    """Texts whose 64-bit hashes are equal stay apart."""
+    real, rng = suffix_dedup.F.xxhash64, random.Random(2)
+    monkeypatch.setattr(suffix_dedup.F, "xxhash64", lambda *c: suffix_dedup.F.lit(7).cast("long") if len(c) == 1 and isinstance(c[0], str) and c[0] == "_t" else real(*c))
+    text = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+    passage = text(300)
+    texts = [text(400), text(100) + passage, passage + text(250), text(300)]
+    texts += [texts[3], None, "short"]
+    docs = spark.createDataFrame([(None if i == 6 else f"d{i}", t, i, i) for i, t in enumerate(texts)], "name string, body string, dk long, ranges long")
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, "name", "body").collect()}
+    for i, want in enumerate(brute(texts)):
+        assert rows[None if i == 6 else f"d{i}"] == want, i
