@@ -23,17 +23,17 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.shared import chunks, text_bytes
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Pieces up to so many bytes are leaves of the tree.
 LEAF_BYTES = 16
 #: Ids up to so many are leaves of the decoding tree.
 LEAF_IDS = 64
 #: Windows over so many bytes are merged through a heap.
 LONG_BYTES = 64
-#: Different pieces whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Different pieces whose ids a task remembers, and pairs that a worker does.
+REMEMBERED, REMEMBERED_PAIRS = 150_000, 50_000
 #: Blocks of long pieces that a worker remembers, of up to so many bytes in all.
-BLOCK_MEMORY = 16 << 20
+BLOCK_MEMORY = 1 << 20
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 
 
@@ -96,7 +96,7 @@ class BytePairs:
     def stable(self, a: int, b: int) -> bool:
         found = self.pair_is_stable.get((a, b))
         if found is None:
-            if len(self.pair_is_stable) > REMEMBERED:
+            if len(self.pair_is_stable) > REMEMBERED_PAIRS:
                 self.pair_is_stable.clear()
             found = self.pair_is_stable[a, b] = self.leaf(self.tokens[a] + self.tokens[b]) == [a, b]
         return found
@@ -289,8 +289,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         for part in chunks(batches, "_t", CHUNK_BYTES):
             ids, at = encode_texts(part.column("_t"), bpe.encode, memory)
-            whole = ids.tolist()
-            decoded = [hashlib.sha256(bpe.decode(whole[a:b])).hexdigest() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            decoded = [hashlib.sha256(bpe.decode(ids[a:b].tolist())).hexdigest() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(listed(ids, at), pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -72,8 +72,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = token_shards.write_shards(_table(spark, sf_dir, "documents"), new_path(spark, "shards"), key=20_240_229)
-    return token_shards.read_shards(shards).select("slot", "shard", "byte_offset", F.sha2("ids", 256).alias("ids_sha256"))
+    tokens = token_shards.Tokens(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    shards, index = token_shards.write_shards(_table(spark, sf_dir, "documents"), new_path(spark, "shards"), tokens, key=20_240_229)
+    records = token_shards.read_shards(shards).select("slot", "shard", "byte_offset", F.sha2("ids", 256).alias("ids_sha256"))
+    return records.join(index, "slot").select("slot", "shard", "byte_offset", "ids_sha256", "doc_ids", "starts")
 
 
 @_query
