@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.shared import chunks, text_bytes
+from geoloom.llm.shared import chunks, releasing, text_bytes
 
 CHUNK_BYTES = 1 << 20
 #: Pieces up to so many bytes are leaves of the tree.
@@ -248,6 +248,7 @@ def encode_texts(column: pa.Array, encode_piece: Callable[[bytes], list[int]], m
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row, without special tokens; null and empty texts have no ids."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memory = load(path), {}
         for part in chunks(batches, "_t", CHUNK_BYTES):
@@ -260,6 +261,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, data binary): the bytes of every row's ids; null ids decode to nothing."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
@@ -277,6 +279,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
     import hashlib
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memory = load(path), {}
         spoken = pa.array([f"{i}," for i in range(max(bpe.tokens) + 1)], pa.large_string())

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.shared import LETTERS_DIGITS, LOWER, chunks, cut, few, free_name, stage, text_bytes, unstage, word_bounds
+from geoloom.llm.shared import LETTERS_DIGITS, LOWER, chunks, cut, few, free_name, releasing, stage, text_bytes, unstage, word_bounds
 
 SEGMENT_BYTES = 2 << 20
 DIRECTORY = ""
@@ -51,6 +51,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for k, part in enumerate(chunks(batches, "_t", SEGMENT_BYTES)):
@@ -132,6 +133,7 @@ def search(index: DataFrame, named: DataFrame, within: int | None = None) -> Dat
     held = lists.select("segment", F.lit(0).alias("what"), "term", "postings", "doc_ids", "doc_words", none("long").alias("wid"), none("int").alias("n"), none("array<struct<count:long,offset:int,term:string>>").alias("steps"))
     both = held.union(asked.select("segment", F.lit(1), none("string"), none("binary"), none(f"array<{kind}>"), none("array<bigint>"), "wid", "n", "steps"))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, have, ids, ends, step = None, {}, None, None, None
         names = ["segment", "place", "doc_id", "n_words", "n_hit", "wid", "start", "end"]

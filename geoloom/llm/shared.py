@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -35,8 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 _shipped: set[str] = set()
 
 
+#: Bytes of text in one Arrow batch; Python cuts texts to chunks of about a megabyte anyway.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, as ``--py-files`` would, once for each application."""
+    """Send this package to the executors, as ``--py-files`` would, once for each application, and keep Arrow batches of long texts small."""
+    if not spark.sparkContext.getConf().contains(BATCH_KEY):  # an application's own setting stays
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
@@ -109,6 +117,21 @@ def heavy_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, b
     return near.join(far, [key, "_salt"], how).drop("_salt")
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving the memory it freed back to the system at its task's end, as Python workers live on for other stages."""
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+                trim.malloc_trim(0)
+
+    return inner
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """256 flags, true for the byte values of the closed ranges."""
     flags = np.zeros(256, dtype=bool)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.shared import ODD, SPREAD, chunks, few, heavy_join, mix, powers, stage, text_bytes, unstage, whole_groups
+from geoloom.llm.shared import ODD, SPREAD, chunks, few, heavy_join, mix, powers, releasing, stage, text_bytes, unstage, whole_groups
 from geoloom.llm.suffix_groups import _ranges, suffix_arrays
 
 LENGTH, CORE = 200, 100
@@ -88,6 +88,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nda
 ONLY, FIRST, LATER = 0, 1, 2
 
 
+@releasing
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for dk, raw, at, base in pieces(batches):
         text, p, run, offset, core, whole = contexts(raw, at)
@@ -103,6 +104,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OCCURRENCE = "key long, ctx long, dk long, at long, seen tinyint"
 
 
+@releasing
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose key occurs again, with same (its ctx too) and lead (first of its ctx).
 
@@ -143,6 +145,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BANDED = "key2 long, ctx2 long, dk long, start long, starts int, need boolean, width int, left binary, right binary"
 
 
+@releasing
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Margins and longer core of each band of each wanted context of a text."""
     names = [c.split()[0] for c in BANDED.split(", ")]
@@ -178,6 +181,7 @@ def _spans(dk: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(dk[first]), pa.array(start[first]), pa.array(start[last] + LENGTH)], ["dk", "s", "e"])
 
 
+@releasing
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated strings of whole groups of equal key2, rows sorted by key2 and ctx2."""
     for table in whole_groups(batches, "key2"):
@@ -227,6 +231,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _spans(np.repeat(table["dk"].to_numpy()[row], starts[row])[hit], (np.repeat(table["start"].to_numpy()[row], starts[row]) + offset)[hit])
 
 
+@releasing
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows as of ``_bands``, one for each string of the contexts of large groups, dealt over ``parts`` groups by their bytes.
 
@@ -282,6 +287,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     return out
 
 
+@releasing
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from geoloom.llm.byte_bpe import count_ids, encode_texts, load
-from geoloom.llm.shared import chunks, stage, text_bytes
+from geoloom.llm.shared import chunks, releasing, stage, text_bytes
 
 ROUNDS = 6
 CHUNK_BYTES = 8 << 20
@@ -108,6 +108,7 @@ def sequence_rows(rows: DataFrame, tokens: Tokens, stride: int, count_only: bool
     kind = rows.schema["doc_id"].dataType.simpleString()
     ids_kind = pa.int64()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if np.iinfo(tokens.dtype).max < tokens.pad_id:
             raise ValueError(f"{tokens.dtype} is too narrow for ids up to {tokens.pad_id}")
@@ -201,6 +202,7 @@ def write_shards(docs: DataFrame, folder: str, tokens: Tokens, stride: int = 409
     made = made.filter(F.when(F.col("n").isNull(), F.lit(True)).when(F.coalesce(same, F.lit(False)), F.lit(False)).otherwise(changed))
     made = made.select(slot_of_number(F.col("start") + F.col("k")).alias("slot"), "data", "doc_ids", "starts").withColumn("shard", F.floor(F.col("slot") / per_shard))
 
+    @releasing
     def shard_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pa.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
@@ -242,6 +244,7 @@ def read_shards(shards: DataFrame, stride: int = 4096, dtype: str = "uint16", st
     """(shard, slot, byte_offset, ids binary) of all records from slot ``start`` on, each shard read in sequence."""
     width = stride * np.dtype(dtype).itemsize
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, first, n, file in zip(*[batch.column(c).to_pylist() for c in ("shard", "first_slot", "n_sequences", "file")], strict=True):

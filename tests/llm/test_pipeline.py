@@ -51,3 +51,19 @@ def test_stages_take_effect(spark, folder):
     assert {r.doc_id for r in out.collect()} == set(fourth)
     digests = {r.doc_id: r.decoded_sha256 for r in out.collect()}
     assert digests == {r.doc_id: r.h for r in now.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).collect()}
+
+
+def test_stages_on_nothing_and_on_repeated_rows(spark, folder):
+    path, docs, _ = folder
+    now = spark.read.parquet(f"{path}/documents.parquet")
+    extra = now.withColumns({"_key": F.lit("k"), "_gone": F.lit("g"), "_n_lines": F.lit(5)})
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        assert step(spark, now.limit(0), path).count() == 0, name
+        out = step(spark, extra, path)
+        assert out.columns == extra.columns and {(r._key, r._gone, r._n_lines) for r in out.collect()} == {("k", "g", 5)}
+    rng = random.Random(9)
+    a, b = words(rng, 80), words(rng, 80)
+    rows = [(1, a), (5, a), (5, b), (9, b + " x"), (7, a), (7, a), (None, b)]
+    repeated = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, repeated, path).collect()]
+    assert sorted(left) == [(1, a), (5, b)]
