@@ -1,4 +1,8 @@
-"""From raw documents to checked token digests, in five stages; each stage's rows are written and read again."""
+"""From raw documents to checked token digests, in five stages; each stage's rows are written and read again.
+
+Every stage takes null and empty texts, null and repeated ids, repeated rows, further columns of any name and empty tables; each
+docstring says what becomes of them. All but the last return the columns that they were given.
+"""
 
 from __future__ import annotations
 
@@ -8,44 +12,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import byte_bpe, decontaminate, line_dedup, rule_ensemble, shingle_dedup
+from geoloom.llm import byte_bpe, decontaminate, line_dedup, rule_ensemble, simhash
 from geoloom.llm.shared import ship_package, stage
 
-#: Rejected keys are broadcast up to this number, 8 bytes each; beyond, they are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
-
-
-def _without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
-    rejected = stage(rejected.select(key).distinct(), "rejected")
-    few = rejected.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(rejected) if few else rejected, key, "left_anti")
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble accepts."""
+    """Documents that the rule ensemble accepts. Null and empty texts are scored like others; repeated rows share their fate."""
     return rule_ensemble.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier line of the corpus matches; n_chars follows the text."""
+    """All documents, without lines that an earlier line of the corpus matches; n_chars follows the text.
+
+    Earlier is by doc_id, null first. Null texts stay null; rows that repeat id and text lose the same lines. Documents may become empty, none goes.
+    """
     left = line_dedup.remove_lines(docs, counts=None)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least id of each group of near-duplicates: Jaccard similarity of 0.8 or more on shingles of five words."""
-    return shingle_dedup.remove_near_duplicates(docs)
+    """The row of least id of each group of near-duplicates: Jaccard similarity of 0.8 or more on shingles of five words.
+
+    Rows are judged, not ids: rows that share an id but not the text may both stay, of equal rows one stays. Null ids come last. Texts without
+    words, null ones too, are one group.
+    """
+    return simhash.remove_near_duplicates(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
-    return _without(keyed, found.filter("contaminated").select(F.col("doc_id").alias("_key")), "_key").select(*docs.columns)
+    """Documents that aren't contaminated by the benchmark. Null and empty texts have no words and stay; rows that repeat id and text go together."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of every document's token ids and of the text that they decode to."""
+    """Digests of every document's token ids and of the text that they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256. Null texts have no ids; each row has its own answer."""
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
