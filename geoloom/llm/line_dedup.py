@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from geoloom.llm.shared import BROADCAST_ROWS, LOWER, NOT_BLANK, SPREAD, chunks, few, free_name, heavy_join, mix, powers, stage, text_bytes, unstage, whole_groups, word_bounds
+from geoloom.llm.shared import BROADCAST_ROWS, LOWER, NOT_BLANK, SPREAD, chunks, few, free_name, heavy_join, mix, powers, releasing, stage, text_bytes, unstage, whole_groups, word_bounds
 
 CHUNK_BYTES = 1 << 20
 SIMILARITY = 0.8
@@ -34,15 +34,21 @@ HOT_SETS = 2048
 GROUP_SETS = 1 << 16
 #: Groups up to this size are compared by size, all at once; larger ones from the oldest set on.
 SMALL_GROUP = 1024
+#: Groups are compared together up to about so many pairs.
+BLOCK_PAIRS = 1 << 20
 #: Oldest possible matches that a set sends on from each group in the first round.
 OLDEST = 2
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+#: Random values of the bytes once A-Z are lower-cased.
+SPREAD_LOWER = SPREAD[LOWER]
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = SPREAD) -> np.ndarray:
     """64-bit hash of each byte range: a polynomial of the bytes' random values, mixed with the length."""
     up, down = powers(len(raw))
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(SPREAD[raw] * up[: len(raw)], out=total[1:])
+    np.cumsum(values[raw] * up[: len(raw)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -54,7 +60,6 @@ class LineSets:
 
     def __init__(self, column: pa.Array, classes: np.ndarray | None = None) -> None:
         raw, at = text_bytes(column)
-        raw = LOWER[raw]
         starts, ends, _ = word_bounds(raw, at, NOT_BLANK)
         breaks = np.flatnonzero(raw == 0x0A)
         # a line begins at each text and after each break
@@ -65,7 +70,7 @@ class LineSets:
         first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(at) - 1))])[:-1]
         number = np.arange(len(order)) - first[text]
         line = np.searchsorted(begin[order], starts, side="right") - 1
-        words = word_hashes(raw, starts, ends)
+        words = word_hashes(raw, starts, ends, SPREAD_LOWER)
         rarity = np.zeros(len(words), np.uint8) if classes is None else classes[(words % np.uint64(BUCKETS)).astype(np.int64)]
         by = None
         if len(number) < 1 << 20:  # line, class and hash fit one number to sort by, but for the hash's lowest bits
@@ -119,12 +124,14 @@ def line_table(rows: DataFrame) -> DataFrame:
     """
     kind = rows.schema["id"].dataType.simpleString()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, id_type = np.zeros(BUCKETS, dtype=np.uint32), np.zeros(0, np.uint64), None
+        total, seen, id_type = np.zeros(BUCKETS, dtype=np.uint16), np.zeros(0, np.uint64), None
         for part in chunks(batches, "text", CHUNK_BYTES):
             sets = LineSets(part.column("text"))
             fresh, seen = sets.first_seen(seen)
-            np.add.at(total, (sets.words[sets.spread(fresh)] % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))
+            place, n = np.unique((sets.words[sets.spread(fresh)] % np.uint64(BUCKETS)).astype(np.int32), return_counts=True)
+            total[place] = np.minimum(total[place] + n, 65535)
             take, n = pa.array(sets.text), len(sets.lo)
             id_type = part.column("id").type
             yield _arrow(id=part.column("id").take(take), th=part.column("th").take(take), line=sets.number, lo=sets.lo, hi=sets.hi, part=_nulls(n, pa.int32()), offsets=_nulls(n, pa.binary()), counts=_nulls(n, pa.binary()))
@@ -132,7 +139,7 @@ def line_table(rows: DataFrame) -> DataFrame:
         if len(used):
             edge = np.flatnonzero(np.append(True, used[1:] // SLICE != used[:-1] // SLICE))
             bounds = pa.py_buffer((2 * np.append(edge, len(used))).astype(np.int32))
-            packed = [pa.Array.from_buffers(pa.binary(), len(edge), [None, bounds, pa.py_buffer(x.astype(np.uint16))]) for x in (used % SLICE, np.minimum(total[used], 65535))]
+            packed = [pa.Array.from_buffers(pa.binary(), len(edge), [None, bounds, pa.py_buffer(x.astype(np.uint16))]) for x in (used % SLICE, total[used])]
             long = _nulls(len(edge), pa.int64())
             yield _arrow(id=_nulls(len(edge), id_type), th=long, line=long, lo=long, hi=long, part=(used[edge] // SLICE).astype(np.int32), offsets=packed[0], counts=packed[1])
 
@@ -153,6 +160,7 @@ def most_of(classes: np.ndarray) -> np.ndarray:
 def rarity_classes(table: DataFrame) -> np.ndarray:
     """Class of each bucket's count: ``BUCKETS`` bytes."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(SLICE, dtype=np.int64)
         done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([classes_of(total).tobytes()], pa.binary())], ["part", "classes"])
@@ -186,6 +194,7 @@ def age_code(rows: DataFrame) -> Column:
 def prefix_rows(rows: DataFrame, classes, t: float) -> DataFrame:
     """(key, age, lo, size << 32 | room, parity, parity2) where sets can have their first common word; room: words that can still be common."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, oldest = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for part in chunks(batches, "text", CHUNK_BYTES):
@@ -265,22 +274,37 @@ class Met:
         out[ok[apart <= (x + y - 2 * need)[ok]]] = True
         return out
 
-    def pairs(self, t: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(younger, older) rows that are possible; of groups over ``SMALL_GROUP``, enough of the oldest for each younger row."""
+    def blocks(self) -> Iterator[np.ndarray]:
+        """First rows of consecutive groups, of up to about ``BLOCK_PAIRS`` pairs together; large groups come alone."""
         edge = np.flatnonzero(np.append(True, self.group[1:] != self.group[:-1])) if len(self.group) else np.zeros(0, np.int64)
         length = np.diff(np.append(edge, len(self.group)))
+        edge, length = edge[length > 1], length[length > 1]
+        for alone in edge[length > SMALL_GROUP]:
+            yield np.array([alone])
+        edge, length = edge[length <= SMALL_GROUP], length[length <= SMALL_GROUP]
+        block = np.cumsum(length * length) // BLOCK_PAIRS
+        at = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(edge) else edge
+        yield from np.split(edge, at[1:]) if len(edge) else ()
+
+    def pairs(self, edge: np.ndarray, t: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(younger, older) rows that are possible, of the groups that start at ``edge``; of a group over ``SMALL_GROUP``, enough of the oldest for each younger row."""
+        length = np.searchsorted(self.group, self.group[edge], side="right") - edge
         found = []
-        todo = np.flatnonzero(np.repeat((length > 1) & (length <= SMALL_GROUP), length))
-        last = np.repeat(edge + length, length) - 1
-        lag = 0
-        while len(todo):
-            lag += 1
-            todo = todo[todo + lag <= last[todo]]
-            todo = todo[self.size[todo] >= t * self.size[todo + lag] - 1e-9]
-            ok = todo[self.possible(todo, todo + lag, t)]
-            if len(ok):
-                found.append((ok, ok + lag))
-        for s, n in zip(edge[length > SMALL_GROUP].tolist(), length[length > SMALL_GROUP].tolist(), strict=True):
+        if length[0] <= SMALL_GROUP:
+            last = np.repeat(edge + length, length) - 1
+            todo = np.arange(len(last)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(edge, length)
+            lag = 0
+            while len(todo):
+                lag += 1
+                inside = todo + lag <= last
+                todo, last = todo[inside], last[inside]
+                inside = self.size[todo] >= t * self.size[todo + lag] - 1e-9
+                todo, last = todo[inside], last[inside]
+                ok = todo[self.possible(todo, todo + lag, t)]
+                if len(ok):
+                    found.append((ok, ok + lag))
+        else:
+            s, n = int(edge[0]), int(length[0])
             rows = s + np.argsort(self.age[s : s + n], kind="stable")
             left, hits = np.arange(n), np.zeros(n, np.int64)
             for k in range(n - 1):
@@ -308,25 +332,31 @@ def meet(rows: DataFrame, t: float, most: int | None, asked: bool = False) -> Da
     else key is null; groups with such sets also pass on their own rows, as (new: lo, old: null, key, age, size, parity, parity2).
     """
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
             met = Met(table, asked)
-            new, old = met.pairs(t, most)
-            if asked:
-                new, old = new[met.asked[new]], old[met.asked[new]]
-            by = np.lexsort((met.lo[old], met.age[old], new))
-            new, old = new[by], old[by]
-            at = np.flatnonzero(np.append(True, new[1:] != new[:-1])) if len(new) else new
-            n = np.diff(np.append(at, len(new)))
-            rank = np.arange(len(new)) - np.repeat(at, n)
-            many = np.repeat(n > 2 * most, n) if most else np.zeros(len(new), dtype=bool)
-            keep = ~many | (rank < most) if most else ~many
-            new, old, many = new[keep], old[keep], many[keep]
-            long = pa.nulls(len(new), pa.int64())
-            yield _arrow(new=met.lo[new], old=met.lo[old], key=pa.array(met.key[new], mask=~many), age=long, size=long, parity=long, parity2=long)
-            if many.any():
-                whole = np.flatnonzero(np.isin(met.group, met.group[new[many]]))
-                yield _arrow(new=met.lo[whole], old=pa.nulls(len(whole), pa.int64()), key=met.key[whole], age=met.age[whole], size=met.size[whole] << 32 | met.room[whole], parity=met.p[whole], parity2=met.q[whole])
+            for edge in met.blocks():
+                yield from chosen(met, *met.pairs(edge, t, most))
+
+    def chosen(met: Met, new: np.ndarray, old: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if asked:
+            new, old = new[met.asked[new]], old[met.asked[new]]
+        if not len(new):
+            return
+        by = np.lexsort((met.lo[old], met.age[old], new))
+        new, old = new[by], old[by]
+        at = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
+        n = np.diff(np.append(at, len(new)))
+        rank = np.arange(len(new)) - np.repeat(at, n)
+        many = np.repeat(n > 2 * most, n) if most else np.zeros(len(new), dtype=bool)
+        keep = ~many | (rank < most) if most else ~many
+        new, old, many = new[keep], old[keep], many[keep]
+        long = pa.nulls(len(new), pa.int64())
+        yield _arrow(new=met.lo[new], old=met.lo[old], key=pa.array(met.key[new], mask=~many), age=long, size=long, parity=long, parity2=long)
+        if many.any():
+            whole = np.flatnonzero(np.isin(met.group, met.group[new[many]]))
+            yield _arrow(new=met.lo[whole], old=pa.nulls(len(whole), pa.int64()), key=met.key[whole], age=met.age[whole], size=met.size[whole] << 32 | met.room[whole], parity=met.p[whole], parity2=met.q[whole])
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, PAIR)
 
@@ -341,6 +371,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, t: float) -> Da
     found = docs.join(few(places.select("_id", "_th"), n), same, "left_semi").join(places, same).select("id", "th", "text", "wanted")
     kind = docs.schema["id"].dataType.simpleString()
 
+    @releasing
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The wanted sets and their words."""
         for part in chunks(batches, "text", CHUNK_BYTES):
