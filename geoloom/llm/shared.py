@@ -6,7 +6,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 from pathlib import Path
 
@@ -219,6 +219,20 @@ def cut(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
 
 
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each range of length n, end to end."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def merged(keys: Iterable[np.ndarray], numbers: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, ascending, and the sum of each one's numbers."""
+    keys, numbers = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *numbers])
+    by = np.argsort(keys, kind="stable")
+    keys, numbers = keys[by], numbers[by]
+    lead = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[lead], np.add.reduceat(numbers, lead) if len(lead) else numbers
+
+
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
 
