@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.shared import chunks, releasing, stage
+from geoloom.llm.shared import chunks, releasing, stage, unsliced
 
 CHUNK_BYTES = 4 << 20
 BUCKETS, RUN = 10_000, 3
@@ -27,7 +27,7 @@ NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def run_buckets(column: pa.Array, buckets: int = BUCKETS, run: int = RUN) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Words of each text, and for each length of runs from 1 to ``run`` the bucket and the text of every run."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")), NOT_WORDS)
+    lists = pc.split_pattern_regex(pc.ascii_lower(unsliced(column)), NOT_WORDS)
     words = pc.list_flatten(lists)
     text = np.repeat(np.arange(len(column)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     there = pc.greater(pc.binary_length(words), 0)  # before a first and after a last separator

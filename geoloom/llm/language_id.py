@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.shared import ODD, chunks, cut, merged, mix, releasing, stage, text_bytes, unstage
+from geoloom.llm.shared import ODD, chunks, cut, merged, mix, releasing, stage, text_bytes, unsliced, unstage
 
 CHUNK_BYTES = 2 << 20
 LONGEST_GRAM = 5
@@ -56,7 +56,7 @@ class Words:
 
 
 def words_of(column: pa.Array) -> Words:
-    raw, at = text_bytes(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")))
+    raw, at = text_bytes(pc.utf8_lower(unsliced(column)))
     place = np.flatnonzero((raw & 0xC0) != 0x80)  # of each character
     code = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     letter, member = (table[code] for table in letters())

@@ -161,6 +161,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def unsliced(column: pa.Array) -> pa.Array:
+    """The texts as a string array of its own; null counts as empty. Arrow's ``ascii_lower`` misreads slices of longer arrays."""
+    raw, at = text_bytes(column)
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(at.copy()), pa.py_buffer(raw))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``max_bytes`` of text, or one longer row."""
     for batch in batches:

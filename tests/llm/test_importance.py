@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from geoloom.llm import importance
 from pyspark.sql import functions as F
@@ -59,6 +60,14 @@ def test_every_row_equals_plain_python(spark, rows):
     assert sum(r[4] is not None for r in want) > 5
 
 
+def test_slices_of_longer_columns(rows):
+    column = pa.array([t for _, t in rows])
+    for begin, n in ((0, 50), (37, 200), (300, 106)):
+        part = column.slice(begin, n)
+        got, want = importance.run_buckets(part), importance.run_buckets(pa.array(part.to_pylist()))
+        assert all((x == y).all() for a, b in zip([(got[0], got[0]), *got[1]], [(want[0], want[0]), *want[1]], strict=True) for x, y in zip(a, b, strict=True))
+
+
 def test_ties_nulls_and_repeats(spark):
     text = " ".join(["same words"] * 15)
     rows = [("b", text), ("b", text), (None, text), ("a", None), *[(f"id-{k}", text) for k in range(60)]]
