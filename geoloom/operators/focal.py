@@ -90,16 +90,16 @@ def resample_stride(cells: DataFrame, stride: int, value: str, prefer: Column |
     return placed.join(first, ["_bx", "_by"]).select("x", "y", C("_v").alias(value))
 
 
-def smooth_bed(cells: DataFrame, min_cost: int = 100, min_max_cost: int = 110) -> DataFrame:
+def smooth_bed(cells: DataFrame, min_cost: int = 100, min_max_cost: int = 110, width: str = "cost") -> DataFrame:
     """(x, y, bed): deep cells of wide components take the rounded mean of themselves and their 8 neighbours in the component, held below the water.
 
-    ``cells``: x, y, comp, cost, cliff, floor, water.
+    ``cells``: x, y, comp, cost, cliff, floor, water. A component is wide by its greatest ``width``; a cell without a cost isn't deep.
     """
     by_comp = cells.select("x", "y", C("comp"), C("floor"), offsets(SQUARE, "dx", "dy", "k").alias("o")).select((C("x") - C("o.dx")).alias("x"), (C("y") - C("o.dy")).alias("y"), "comp", "floor")
     means = by_comp.groupBy("x", "y", "comp").agg((F.sum("floor") / F.count("*")).alias("mean"))
-    wide = cells.groupBy("comp").agg(F.max("cost").alias("_most")).filter(C("_most") > min_max_cost).select("comp", F.lit(True).alias("_wide"))
+    wide = cells.groupBy("comp").agg(F.max(width).alias("_most")).filter(C("_most") > min_max_cost).select("comp", F.lit(True).alias("_wide"))
     out = cells.join(means, ["x", "y", "comp"]).join(wide, "comp", "left")
-    deep = (C("cost") > min_cost) & ~C("cliff") & F.coalesce("_wide", F.lit(False))
+    deep = F.coalesce(C("cost") > min_cost, F.lit(False)) & ~C("cliff") & F.coalesce("_wide", F.lit(False))
     return out.select("x", "y", F.when(deep, F.least(F.floor(C("mean") + 0.5), C("water") - 1)).otherwise(C("floor")).cast("bigint").alias("bed"))
 
 

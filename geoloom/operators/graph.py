@@ -3,21 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.operators.ranges import carried, neighbors
+from geoloom.operators.ranges import EIGHT, carried, neighbors
 from geoloom.operators.storage import drop_stored, stored
 
 C = F.col
-STRIP = 1024
-
-
-def runs(cells: DataFrame, part: list[str], order: str) -> DataFrame:
-    """Adds run_start: the first position of the unbroken stretch of ``order`` values that the row is in."""
-    gap = C(order) - F.row_number().over(Window.partitionBy(*part).orderBy(order))
-    return cells.withColumn("_g", gap).withColumn("run_start", F.min(order).over(Window.partitionBy(*part, "_g"))).drop("_g")
 
 
 def merge_labels(edges: DataFrame) -> DataFrame:
@@ -39,20 +32,93 @@ def merge_labels(edges: DataFrame) -> DataFrame:
             return links.select(C("a").alias("node"), C("b").alias("root")).union(links.select("b", "b").distinct())
 
 
-def components(cells: DataFrame, width: int) -> DataFrame:
-    """Adds comp: the row-major number (x + y * width) of the first cell of the 4-connected component.
-
-    Cells join into runs along rows first, so only runs, not cells, take part in the merging. Rows are
-    cut into strips, which bounds the window of a run; runs link across strips like across rows.
+#: Side of the blocks whose cells one task labels, and blocks a side whose borders one task joins.
+BLOCK, SUPER = 1024, 16
+
+
+class Forest:
+    """Union-find over numbers below n, by path halving; the least number of a set is its root."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Join a[k] to b[k] for every k; the root of every number."""
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            i, j = self.find(i), self.find(j)
+            if i != j:
+                self.parent[max(i, j)] = min(i, j)
+        return np.array([self.find(i) for i in range(len(self.parent))], np.int64)
+
+
+def label_block(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """Of each cell, the row-major number of the first cell of its 4-connected component among these cells."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    by = np.lexsort((x, y))
+    x, y = x[by], y[by]
+    starts = np.ones(len(x), bool)
+    starts[1:] = (y[1:] != y[:-1]) | (x[1:] - x[:-1] > 1)
+    run = np.cumsum(starts) - 1  # unbroken stretches of a row, in row-major order
+    side = int(x.max() - x.min()) + 2
+    key = (y - y.min()) * side + (x - x.min())
+    at = np.searchsorted(key, key + side)
+    under = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + side)
+    pairs = np.unique(np.stack([run[under], run[at[under]]]), axis=1)
+    root = Forest(int(run[-1]) + 1).join(*pairs)
+    first = np.flatnonzero(starts)
+    out = np.empty(len(x), np.int64)
+    out[by] = (y[first] * width + x[first])[root[run]]
+    return out
+
+
+def components(cells: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
+    """Adds comp: the row-major number (x + y * width, for x from 0 to width - 1) of the first cell of the 4-connected component.
+
+    A task labels the cells of a block. Labels that touch across block borders are joined by one task for each square of ``SUPER`` blocks, and what
+    touches across those squares by star rounds, so the rounds see border labels of large squares only.
     """
-    placed = runs(cells.withColumn("_strip", F.floor(C("x") / STRIP)), ["y", "_strip"], "x").withColumn("_run", C("run_start") + C("y") * width).drop("run_start")
-    placed = stored(placed)
-    key = placed.select("x", "y", C("_run").alias("b"))
-    under = placed.select("x", (C("y") + 1).alias("y"), C("_run").alias("a")).join(key, ["x", "y"]).select("a", "b").distinct()
-    beside = placed.filter(F.pmod("x", F.lit(STRIP)) == STRIP - 1).select((C("x") + 1).alias("x"), "y", C("_run").alias("a")).join(key, ["x", "y"]).select("a", "b")
-    roots = merge_labels(under.union(beside)).withColumnRenamed("node", "_run")
-    out = placed.join(roots, "_run", "left").withColumn("comp", F.coalesce("root", "_run"))
-    return out.drop("_run", "root", "_strip")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
+    at = lambda c, size: F.floor(C(c) / size)
+
+    def label(table: pa.Table) -> pa.Table:
+        table = table.drop_columns(["_bx", "_by"])
+        labels = label_block(table["x"].to_numpy(), table["y"].to_numpy(), width)
+        return table.append_column("_label", pa.array(labels))
+
+    placed = stored(cells.withColumns({"_bx": at("x", block), "_by": at("y", block)}).groupBy("_bx", "_by").applyInArrow(label, f"{kinds}, _label long"))
+    # cells at the right and lower border of a block, and the cells beyond it
+    last, first = (lambda c: F.pmod(c, F.lit(block)) == block - 1), (lambda c: F.pmod(c, F.lit(block)) == 0)
+    edges = None
+    for c, dx, dy in (("x", 1, 0), ("y", 0, 1)):
+        here = placed.filter(last(c)).select((C("x") + dx).alias("x"), (C("y") + dy).alias("y"), C("_label").alias("a"))
+        beyond = placed.filter(first(c)).select("x", "y", C("_label").alias("b"))
+        met = here.join(beyond, ["x", "y"]).select("a", "b", *[at(v, block * SUPER).alias(f"_s{v}") for v in "xy"], F.pmod(c, F.lit(block * SUPER)).alias("_in")).withColumn("_outer", C("_in") == 0).drop("_in").distinct()
+        edges = met if edges is None else edges.union(met)
+    edges = stored(edges)
+
+    def join(table: pa.Table) -> pa.Table:
+        nodes, places = np.unique(np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()]), return_inverse=True)
+        root = Forest(len(nodes)).join(places[: len(table)], places[len(table) :])
+        return pa.table({"_label": nodes, "_up": nodes[root]})
+
+    inner = edges.filter(~C("_outer")).groupBy("_sx", "_sy").applyInArrow(join, "_label long, _up long")
+    outer = edges.filter(C("_outer")).select("a", "b")
+    if outer.isEmpty():
+        roots = inner.withColumnRenamed("_up", "root")
+    else:
+        inner = stored(inner)
+        up = lambda c: F.coalesce(C(f"_up_{c}"), C(c)).alias(c)
+        raised = outer.join(inner.select(C("_label").alias("a"), C("_up").alias("_up_a")), "a", "left").join(inner.select(C("_label").alias("b"), C("_up").alias("_up_b")), "b", "left")
+        top = stored(merge_labels(raised.select(up("a"), up("b"))))
+        own = outer.select(C("a").alias("_label")).union(outer.select("b")).distinct().join(inner, "_label", "left_anti").withColumn("_up", C("_label"))
+        roots = inner.union(own).join(top.withColumnRenamed("node", "_up"), "_up", "left").select("_label", F.coalesce("root", "_up").alias("root"))
+    return placed.join(roots, "_label", "left").withColumn("comp", F.coalesce("root", "_label")).select(*cells.columns, "comp")
 
 
 def number_components(labelled: DataFrame) -> DataFrame:
@@ -135,40 +201,43 @@ def allocate(cells: DataFrame, sources: DataFrame, limit: int, block: int = 512)
     """(x, y, cost, source): least cost over ``cells`` from sources (x, y, source), sides 10, corners 14, from 10 on, up to limit * 10.
 
     Of equal costs the lowest source wins. Each block gets the cells within ``limit`` of it, so its own
-    cells' answers don't depend on any other block. Sources are cells or stand beside them.
+    cells' answers don't depend on any other block. Sources are cells or stand beside them. A task takes cells from buckets
+    by cost, lowest first, and settles each once, so its work follows the cells that are reached.
     """
     marks = cells.select("x", "y", F.lit(True).alias("open"), F.lit(0).cast("bigint").alias("source")).union(sources.select("x", "y", F.lit(False), "source"))
     span = lambda c: F.explode(F.sequence(F.floor((C(c) - limit) / block), F.floor((C(c) + limit) / block)))
     copies = marks.select("*", span("x").alias("bx")).select("*", span("y").alias("by"))
 
-    def relax(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        far = np.int64(1) << 62
-        x0, y0 = int(key[0]) * block - limit - 1, int(key[1]) * block - limit - 1
-        side = block + 2 * limit + 2
-        x, y = rows["x"].to_numpy(np.int64) - x0, rows["y"].to_numpy(np.int64) - y0
-        open_, best = np.zeros((side, side), bool), np.full((side, side), far)
-        is_open = rows["open"].to_numpy(bool)
-        open_[y[is_open], x[is_open]] = True
-        src = rows[~is_open]
-        if len(src):
-            # sources as their ranks in the block, so that any number of theirs fits beside the cost
-            names, rank = np.unique(src["source"].to_numpy(np.int64), return_inverse=True)
-            np.minimum.at(best, (y[~is_open], x[~is_open]), (np.int64(10) << 40) + rank)
-        while True:
-            after = best.copy()
-            for dx, dy, w in ((1, 0, 10), (-1, 0, 10), (0, 1, 10), (0, -1, 10), (1, 1, 14), (1, -1, 14), (-1, 1, 14), (-1, -1, 14)):
-                moved = np.full_like(best, far)
-                moved[max(dy, 0) : side + min(dy, 0), max(dx, 0) : side + min(dx, 0)] = best[max(-dy, 0) : side + min(-dy, 0), max(-dx, 0) : side + min(-dx, 0)] + (np.int64(w) << 40)
-                after = np.where(open_, np.minimum(after, moved), after)
-            after = np.where((after >> 40) > limit * 10, best, after)
-            if (after == best).all():
-                break
-            best = after
-        found = np.argwhere((best < far) & open_)
-        own = (found[:, 1] + x0 >= key[0] * block) & (found[:, 1] + x0 < (key[0] + 1) * block) & (found[:, 0] + y0 >= key[1] * block) & (found[:, 0] + y0 < (key[1] + 1) * block)
-        found = found[own]
-        value = best[found[:, 0], found[:, 1]]
-        source = names[value & ((1 << 40) - 1)] if len(found) else value
-        return pd.DataFrame({"x": found[:, 1] + x0, "y": found[:, 0] + y0, "cost": value >> 40, "source": source})
-
-    return copies.groupBy("bx", "by").applyInPandas(relax, "x long, y long, cost long, source long")
+    def settle(table: pa.Table) -> pa.Table:
+        x, y, is_open = (table[c].to_numpy() for c in ("x", "y", "open"))
+        bx, by = table["bx"][0].as_py() * block, table["by"][0].as_py() * block
+        side = np.int64(block + 2 * limit + 3)  # one more than the cells of a row, so that steps don't wrap around
+        key = (y - (by - limit - 1)) * side + (x - (bx - limit - 1))
+        nodes, place = np.unique(key, return_inverse=True)
+        open_ = np.zeros(len(nodes), bool)
+        open_[place[is_open]] = True
+        # sources as their ranks in the block, so that any number of theirs fits beside the cost
+        names, rank = np.unique(table["source"].to_numpy()[~is_open], return_inverse=True)
+        best = np.full(len(nodes), np.int64(1) << 62)
+        np.minimum.at(best, place[~is_open], (np.int64(10) << 40) + rank)
+        buckets = {10: [np.unique(place[~is_open])]}
+        for cost in range(10, limit * 10 + 1, 2):  # steps are 10 and 14
+            if cost not in buckets:
+                continue
+            now = np.unique(np.concatenate(buckets.pop(cost)))
+            now = now[best[now] >> 40 == cost]
+            for dx, dy, step in EIGHT:
+                if cost + step > limit * 10:
+                    continue
+                aim = nodes[now] + dy * side + dx
+                at = np.minimum(np.searchsorted(nodes, aim), len(nodes) - 1)
+                value = best[now] + (np.int64(step) << 40)
+                better = (nodes[at] == aim) & open_[at] & (value < best[at])
+                if better.any():
+                    np.minimum.at(best, at[better], value[better])
+                    buckets.setdefault(cost + step, []).append(at[better])
+        x, y = nodes % side + bx - limit - 1, nodes // side + by - limit - 1
+        own = open_ & (best < np.int64(1) << 62) & (x >= bx) & (x < bx + block) & (y >= by) & (y < by + block)
+        return pa.table({"x": x[own], "y": y[own], "cost": best[own] >> 40, "source": names[best[own] & ((1 << 40) - 1)] if own.any() else best[own]})
+
+    return copies.groupBy("bx", "by").applyInArrow(settle, "x long, y long, cost long, source long")

@@ -11,11 +11,12 @@ from geoloom.operators import focal as f
 from geoloom.operators import graph as g
 from geoloom.operators import ranges as r
 from geoloom.operators import sampling as m
+from geoloom.operators import water as wt
 from geoloom.operators import windows as w
 from geoloom.plans.fixtures import fixture, oracle, rules
 from geoloom.plans.join_queries import CLASS, CODE, layer
 from geoloom.plans.registry import query
-from geoloom.plans.scalar_queries import ramp_sql
+from geoloom.plans.scalar_queries import ramp_sql, seed_sql
 from geoloom.sources.tiles import pack_tiles
 from geoloom.streaming import requests
 
@@ -383,6 +384,39 @@ def water_surface(spark: SparkSession, d: str) -> DataFrame:
     return both.select("x", "y", "is_ocean", "surface", s.water_floor(C("elev_m"), C("surface"), C("is_ocean"), F.lit(False), depth).alias("floor"))
 
 
+def _blend_sql(kind: str, ocean: str, distance: int) -> str:
+    """CTEs: land lowered towards one kind of water, as b{kind} (x, y, h)."""
+    near = "(values (1,0),(-1,0),(0,1),(0,-1)) as o(dx, dy)"
+    return f"""s{kind} as materialized (select so.x, so.y, min(wa.id) as src from wlv wa, {near}, soft so where wa.is_ocean = {ocean} and so.x = wa.x+dx and so.y = wa.y+dy group by so.x, so.y),
+ r{kind} as (select x, y, 10 as cost, src from s{kind} union select so.x, so.y, r.cost + case when dx <> 0 and dy <> 0 then 14 else 10 end, r.src from r{kind} r, (values (1,0),(-1,0),(0,1),(0,-1),(1,1),(1,-1),(-1,1),(-1,-1)) as o(dx, dy), soft so where so.x = r.x+dx and so.y = r.y+dy and r.cost + case when dx <> 0 and dy <> 0 then 14 else 10 end <= {distance * 10}),
+ n{kind} as (select x, y, min(cost)::bigint as cost, arg_min(src, cost::bigint*100000000 + src) as src from r{kind} group by x, y),
+ b{kind} as (select n.x, n.y, floor(wa.level + n.cost/10.0::double/{distance}*(so.elev_m - wa.level) + 0.5)::bigint as h, so.elev_m from n{kind} n join soft so on so.x = n.x and so.y = n.y join wlv wa on wa.id = n.src)"""
+
+
+EIGHT_SQL = "(values (1,0),(-1,0),(0,1),(0,-1),(1,1),(1,-1),(-1,1),(-1,-1)) as o(dx, dy)"
+REGION = f"""rvd as (select comp, cells, greatest(max_x-min_x+1, max_y-min_y+1) as lo, least(max_x-min_x+1, max_y-min_y+1) as th, high from st),
+ rvf as (select comp, high, lo >= 20 and th <= 16 and lo/th >= 3 and not (lo/th < 4.5 and th >= 12 and cells/(lo*th) >= 0.6) as river from rvd),
+ wlv as materialized (select lab.x, lab.y, lab.elev_m, lab.id, lab.comp, is_ocean, case when is_ocean then 0 when river then least(spill, rvf.high) else spill end::bigint as level from lab join oc using (comp) join rvf using (comp)),
+ dry as materialized (select x, y, elev_m from cells where not ({WATER})),
+ ce as materialized (select a.x as wx, a.y as wy, d.x, d.y from wlv a, (values (1,0),(-1,0),(0,1),(0,-1)) as o(dx, dy), dry d where d.x = a.x+dx and d.y = a.y+dy and d.elev_m - a.level >= 5),
+ soft as materialized (select * from dry where not exists (select 1 from ce where ce.x = dry.x and ce.y = dry.y)),
+ inl as materialized (select * from wlv where not is_ocean), sho as (select a.x, a.y from inl a where (select count(*) from inl b where (b.x = a.x and abs(b.y-a.y) = 1) or (b.y = a.y and abs(b.x-a.x) = 1)) < 4),
+ de as (select x, y, 10 as cost from sho union select a.x, a.y, de.cost + case when dx <> 0 and dy <> 0 then 14 else 10 end from de, {EIGHT_SQL}, inl a where a.x = de.x+dx and a.y = de.y+dy and de.cost + case when dx <> 0 and dy <> 0 then 14 else 10 end <= 150),
+ dc as (select x, y, min(cost)::bigint as cost from de group by x, y), qs as (select x as sx, y as sz, x, y from inl), sd as ({seed_sql("qs", 5, "x, y")}),
+ fb as materialized (select a.*, dc.cost, coalesce(dc.cost, 150)/10.0 as d, sd.seed, exists (select 1 from ce where ce.wx = a.x and ce.wy = a.y) as cliff from inl a left join dc on dc.x = a.x and dc.y = a.y join sd on sd.x = a.x and sd.y = a.y),
+ bed as materialized (select *, case when cliff then least(elev_m, level-1) else level - case when d <= 5 then 1 when d <= 8 then 3 when d <= 10 then 4 else least(30, 3 + (seed%4+4)%4 + floor((d-10)/6)::bigint) end end::bigint as floor from fb),
+ wide as (select comp from bed where not cliff group by comp having max(coalesce(cost, 150)) > 110),
+ mb as (select a.x, a.y, floor(sum(b.floor)/count(*) + 0.5)::bigint as mean from bed a join bed b on b.comp = a.comp and abs(b.x-a.x) <= 1 and abs(b.y-a.y) <= 1 group by a.x, a.y),
+ {_blend_sql("1", "false", 3)}, {_blend_sql("2", "true", 2)}"""
+
+
+@query("water_region", oracle(f"+ {COMP}, {STATS}, {SPILL}, {SEEDS}, {FLAGS}, {OCEAN}, {REGION} select bed.x, bed.y, 1::bigint as kind, level as water, case when cost > 100 and not cliff and comp in (select comp from wide) then least(mean, level-1) else floor end::bigint as terrain from bed join mb on mb.x = bed.x and mb.y = bed.y union all select x, y, 2, level, least(elev_m, level-1) from wlv where is_ocean union all select x, y, 0, h, h from (select d.x, d.y, case when b2.h < d.elev_m then b2.h when b1.h < d.elev_m then b1.h else d.elev_m end as h from dry d left join b1 on b1.x = d.x and b1.y = d.y left join b2 on b2.x = d.x and b2.y = d.y)", "cells"))
+def water_region(spark: SparkSession, d: str) -> DataFrame:
+    """Kind, water level and ground of every cell, with rivers, cliffs, beds and lowered shores."""
+    lab, comps = judged(spark, d)
+    return wt.water_region(cells(spark, d), lab, comps, 128)
+
+
 COLUMN = f"q as (select x, y, cover, elev_m, cover = 0 and elev_m <= 0 as oc, {CODE} as code from cells), sl as (select a.x, a.y, max(abs(b.elev_m - a.elev_m)) as slope from cells a join cells b on (b.x = a.x and abs(b.y - a.y) in (0, 4)) or (b.y = a.y and abs(b.x - a.x) = 4) group by all), kp as (select c.x, c.y, min(greatest(-30, b.base-1)) as cap from cells c join boxes b on c.x between b.min_x and b.max_x and c.y between b.min_y and b.max_y where b.kind <> 0 group by all)"
 
 

@@ -67,13 +67,10 @@ def test_blocks_of_any_size_give_one_distance(spark):
                 assert abs(cost[x + dx, y + dy] - c) <= w
 
 
-def test_strips_do_not_show(spark, monkeypatch):
+def test_blocks_of_components_do_not_show(spark):
     cells = fixture(spark, SF, "cells").filter("cover = 80")
-    whole = sorted((r.x, r.y, r.comp) for r in graph.components(cells, 128).select("x", "y", "comp").collect())
-    monkeypatch.setattr(graph, "STRIP", 7)
-    cut = [(r.x, r.y, r.comp) for r in graph.components(cells, 128).select("x", "y", "comp").collect()]
-    group = lambda rows: sorted(sorted((x, y) for x, y, c in rows if c == k) for k in {c for _, _, c in rows})
-    assert group(whole) == group(cut)
+    whole, cut = (sorted((r.x, r.y, r.comp) for r in graph.components(cells, 128, block).select("x", "y", "comp").collect()) for block in (1024, 7))
+    assert whole == cut
 
 
 def test_majority_keeps_uniform_cells(spark):
