@@ -92,9 +92,9 @@ def format_turns(turns: DataFrame, path: str, pattern: str, template: Template =
             made = [turn_ids(path, pattern, template, r or "", t or "", loss_roles) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("conv_id", "turn", "role_key", "text_key")], pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int8()))], ["conv_id", "turn", "role_key", "text_key", "ids", "loss_mask"])
 
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("*", F.col("role").alias("role_key"), F.col("text").alias("text_key"))
-    made = rows.mapInArrow(run, "conv_id long, turn long, role_key string, text_key string, ids array<int>, loss_mask array<tinyint>")
+    made = rows.mapInArrow(run, f"conv_id {dict(rows.dtypes)['conv_id']}, turn long, role_key string, text_key string, ids array<int>, loss_mask array<tinyint>")
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role_key", "text_key")
     before = F.coalesce(F.sum(F.size("ids")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return made.select("conv_id", "turn", F.row_number().over(order).alias("place"), (before + 1).cast("long").alias("token_start"), "ids", "loss_mask")
@@ -117,8 +117,9 @@ def read_back(formatted: DataFrame, path: str, pattern: str, template: Template
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load(path, pattern)
         first = enc.max_token_value + 1
-        out, now, state = [], None, None
+        out, now, state, id_type = [], None, None, None
         for batch in batches:
+            id_type = batch.column("conv_id").type
             ids_list, mask_list = batch.column("ids"), batch.column("loss_mask")
             for k, conv in enumerate(batch.column("conv_id").to_pylist()):
                 if state is None or conv != now:
@@ -134,15 +135,15 @@ def read_back(formatted: DataFrame, path: str, pattern: str, template: Template
                 state[2] += len(lost)
                 state[3].update(lost.encode())
                 state[4] += len(role) + len(text) + len(template.turn) + len(template.header_end) + len(template.end)
-            yield packed(out)
+            yield packed(out, id_type)
             out = []
         if state is not None:
-            yield packed([(now, state)])
+            yield packed([(now, state)], id_type)
 
-    def packed(rows: list) -> pa.RecordBatch:
+    def packed(rows: list, id_type: pa.DataType) -> pa.RecordBatch:
         columns = list(zip(*[(c, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]) for c, s in rows], strict=True)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     ordered = formatted.select("conv_id", "place", "ids", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "place")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(run, f"conv_id {dict(formatted.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -157,3 +157,10 @@ def test_compiled_rules_against_plain_evaluation(spark):
     assert taken.columns == docs.columns and sorted(r.doc_id for r in taken.collect()) == sorted(i for i, r in scores.items() if r.predicted)
     plan = taken._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") <= 2  # each statistic once, not in every rule
+
+
+def test_conversations_with_ids_of_text(spark):
+    turns = spark.createDataFrame([("c-17", 0, "user", "hi"), ("c-17", 1, "assistant", "yes"), (None, 0, "assistant", "no")], "conv_id string, turn long, role string, text string")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_format.read_back(chat_format.format_turns(turns, path, pattern), path, pattern).collect()}
+    assert out == {"c-17": (2, 3), None: (1, 2)}
