@@ -71,7 +71,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docu
     pairs = pairs.groupBy("hl", "_doc").agg(F.max("n").alias("n"))
     counted = stage(pairs.groupBy("hl").agg(F.count("*").alias("n")).filter(F.col("n") > max_documents), "common-lines")
     # a common line may be in a third of all documents
-    removed = heavy_join(pairs, counted.select("hl", F.lit(True).alias("_common")), "hl", counted, "n") if counted.count() > HEAVY else pairs.join(F.broadcast(counted.select("hl")), "hl")
+    removed = heavy_join(pairs, counted.select("hl", F.lit(True).alias("_common")), "hl", counted, "_doc") if counted.count() > HEAVY else pairs.join(F.broadcast(counted.select("hl")), "hl")
     removed = removed.groupBy("_doc").agg(F.collect_set("hl").alias("lines"), F.sum("n").alias("removed"))
     copies = rows.groupBy("_doc").agg(F.count("*").alias("n"))
     return rows, stage(removed.join(copies, "_doc"), "boilerplate")

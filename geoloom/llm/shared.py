@@ -102,8 +102,8 @@ def free_name(df: DataFrame, base: str) -> str:
 HEAVY, LEAST_HEAVY = 4096, 256
 
 
-def heavy_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """Join on column ``key``, rows of heavy keys dealt out by column ``by`` and met by copies of their key's few right rows.
+def heavy_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, by: str | list[str], how: str = "inner") -> DataFrame:
+    """Join on column ``key``, rows of heavy keys dealt out by the columns ``by``, which must tell a key's rows apart, and met by copies of their key's few right rows.
 
     ``counts`` has key and n, the left rows of each key. Null keys meet nothing.
     """
@@ -112,7 +112,7 @@ def heavy_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, b
     heavy = counts.filter(F.col("n") > most).select(F.col(key).alias("_heavy"), F.ceil(F.col("n") / most).cast("int").alias("_salts"))
     heavy = F.broadcast(stage(heavy, "heavy-keys"))  # up to HEAVY rows
     salts = F.coalesce("_salts", F.lit(1))
-    near = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_heavy", "_salts")
+    near = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", F.pmod(F.xxhash64(*([by] if isinstance(by, str) else by)), salts).cast("int")).drop("_heavy", "_salts")
     far = right.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_heavy", "_salts")
     return near.join(far, [key, "_salt"], how).drop("_salt")
 

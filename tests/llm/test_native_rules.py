@@ -3,7 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from geoloom.llm import license_scan, quality_rules
+from geoloom.llm import license_scan, quality_rules, shared
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, source string, label string"
@@ -102,3 +102,16 @@ def test_clean_texts_lose_shared_lines(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert license_scan.scan(docs).count() == 0 and quality_rules.apply_rules(docs).count() == 0
+
+
+def test_hot_lines_are_dealt_by_document(spark, monkeypatch):
+    """With few rows to a heavy key, the salted join gives what the broadcast one does."""
+    rows = [(i, f"shared line of the host\nown line {i} " + "x y z " * 20, f"h{i % 2}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, quality_rules.apply_rules(docs).collect()))
+    monkeypatch.setattr(quality_rules, "HEAVY", 0)
+    monkeypatch.setattr(shared, "LEAST_HEAVY", 8)
+    assert sorted(map(tuple, quality_rules.apply_rules(docs).collect())) == want and any(r[6] for r in want)
+    pairs = spark.range(1000).select(F.lit(1).alias("hl"), F.struct(F.col("id").alias("a"), F.col("id").alias("b")).alias("_doc"))
+    salts = pairs.select(F.pmod(F.xxhash64("_doc"), F.lit(125)).alias("s")).groupBy("s").count().agg(F.max("count")).first()[0]
+    assert salts < 40  # of 1,000 rows of one key, dealt over 125 salts
