@@ -268,7 +268,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
 
     leads = shared.filter("lead")
     several = stage(leads.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-cores")
-    wanted = heavy_join(leads, several.select("key"), "key", several, "at")  # one core may have very many contexts
+    wanted = heavy_join(leads, several.select("key"), "key", several, ["dk", "at"])  # one core may have very many contexts
     wanted = stage(wanted.groupBy("dk").agg(F.collect_list(F.struct("at", "same")).alias("wanted")), "wanted")
     held = texts.join(few(wanted.select("dk"), wanted.count()), "dk", "left_semi")
     banded = stage(held.join(wanted, "dk").select("dk", "_t", "wanted").mapInArrow(_bands, BANDED), "bands")
