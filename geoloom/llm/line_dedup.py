@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -181,14 +181,14 @@ def rarity_classes(table: DataFrame) -> np.ndarray:
     return out
 
 
-def age_code(rows: DataFrame) -> Column:
-    """A long that doesn't fall as the id rises, null first; the exact order is asked where it matters."""
-    kind = rows.schema["id"].dataType.simpleString()
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return F.coalesce(F.col("id").cast("long"), F.lit(-(2**63)))
-    if kind == "string":
-        return F.coalesce(F.conv(F.rpad(F.hex(F.encode(F.col("id"), "UTF-8").substr(1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
-    return F.lit(0).cast("long")
+def with_ages(rows: DataFrame) -> DataFrame:
+    """Adds age, a long that rises with the id, null first: whole ids themselves, of others the place in their order.
+
+    Ids that aren't whole numbers take one more shuffle of the texts, by ranges of ids. Equal ids have equal ages or, in ranges, ages by hash of the text.
+    """
+    if rows.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return rows.withColumn("age", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))))
+    return rows.repartitionByRange("id", "th").sortWithinPartitions("id", "th").withColumn("age", F.monotonically_increasing_id())
 
 
 def prefix_rows(rows: DataFrame, classes, t: float) -> DataFrame:
@@ -286,6 +286,20 @@ class Met:
         at = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(edge) else edge
         yield from np.split(edge, at[1:]) if len(edge) else ()
 
+    def asked_pairs(self, edge: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(younger, older) rows that are possible for the asked rows of one group, some ``BLOCK_PAIRS`` comparisons at a time."""
+        s = int(edge[0])
+        every = np.arange(s, int(np.searchsorted(self.group, self.group[s], side="right")))
+        asked = every[self.asked[every]]
+        step = max(1, BLOCK_PAIRS // len(every))
+        for k in range(0, len(asked), step):
+            new = np.repeat(asked[k : k + step], len(every))
+            old = np.tile(every, len(asked[k : k + step]))
+            may = (self.age[old] <= self.age[new]) & (old != new)
+            new, old = new[may], old[may]
+            ok = self.possible(new, old, t)
+            yield new[ok], old[ok]
+
     def pairs(self, edge: np.ndarray, t: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(younger, older) rows that are possible, of the groups that start at ``edge``; of a group over ``SMALL_GROUP``, enough of the oldest for each younger row."""
         length = np.searchsorted(self.group, self.group[edge], side="right") - edge
@@ -337,7 +351,11 @@ def meet(rows: DataFrame, t: float, most: int | None, asked: bool = False) -> Da
         for table in whole_groups(batches, "key"):
             met = Met(table, asked)
             for edge in met.blocks():
-                yield from chosen(met, *met.pairs(edge, t, most))
+                if asked and len(edge) == 1:
+                    for new, old in met.asked_pairs(edge, t):
+                        yield from chosen(met, new, old)
+                else:
+                    yield from chosen(met, *met.pairs(edge, t, most))
 
     def chosen(met: Met, new: np.ndarray, old: np.ndarray) -> Iterator[pa.RecordBatch]:
         if asked:
@@ -407,7 +425,7 @@ def similar_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     sets = stage(lines.groupBy("lo", "hi").agg(F.min(F.struct("id", "th", "line")).alias("low"), F.count("*").alias("n")), "line-set-ages")
     counted = rarity_classes(table)
     classes = docs.sparkSession.sparkContext.broadcast(counted)
-    found = stage(meet(prefix_rows(docs.withColumn("age", age_code(docs)), classes, t), t, OLDEST), "line-pairs")
+    found = stage(meet(prefix_rows(with_ages(docs), classes, t), t, OLDEST), "line-pairs")
     pairs = stage(found.filter("old is not null").select("new", "old").distinct(), "different-pairs")
     dead = verified(docs, sets, pairs, t)
     # sets with other possible matches than those that failed meet them all
@@ -425,7 +443,7 @@ def similar_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     gone = sets.select("lo", "hi", "low", "n").join(dead.withColumn("dead", F.lit(True)), ["lo", "hi"], "left").filter("n > 1 or dead")
     gone = gone.select(F.struct("lo", "hi").alias("set"), "low", "n", F.coalesce("dead", F.lit(False)).alias("dead"))
     lines = lines.select(F.struct("lo", "hi").alias("set"), "id", "th", "line")
-    found = heavy_join(lines, gone.drop("n"), "set", gone.select("set", "n"), "th")
+    found = heavy_join(lines, gone.drop("n"), "set", gone.select("set", "n"), ["id", "th", "line"])
     out = stage(found.filter(F.col("dead") | (F.struct("id", "th", "line") > F.col("low"))).select("id", "th", "line").distinct(), "similar-lines")
     for df in (table, sets, rest):
         unstage(df)

@@ -4,6 +4,8 @@ import datetime
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from geoloom.llm import line_dedup
 
@@ -85,3 +87,24 @@ def test_hot_word_and_long_line(spark):
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], DOCS)
     out = {r.doc_id: r.text for r in line_dedup.remove_lines(docs).collect()}
     assert out == brute(rows, 0.8, 1)
+
+
+def test_many_alike_lines_with_ids_of_one_beginning(spark):
+    """Ages of such ids tell them apart, so the oldest lines decide at once."""
+    words = [f"s{k}" for k in range(20)]
+    rows = [(f"document-{i:08}", " ".join([*words, f"own{i}"])) for i in range(1500)]
+    docs = spark.createDataFrame([*rows[::-1]], "doc_id string, text string").repartition(6)
+    out = {r.doc_id: r.text for r in line_dedup.remove_lines(docs).collect()}
+    assert {i for i, t in out.items() if t} == {"document-00000000"}
+
+
+def test_asked_rows_of_a_large_group_meet_all_older_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    n = 400
+    parity = np.zeros(n, np.uint64)
+    table = pa.table({"key": np.zeros(n, np.int64), "age": rng.permutation(n), "lo": np.arange(n), "size": rng.integers(8, 14, n) << 32 | 14, "parity": parity, "parity2": parity, "asked": rng.random(n) < 0.1})
+    met = line_dedup.Met(table, True)
+    monkeypatch.setattr(line_dedup, "BLOCK_PAIRS", 1000)
+    got = {(int(i), int(j)) for a, b in met.asked_pairs(np.array([0]), 0.8) for i, j in zip(a, b, strict=True)}
+    want = {(i, j) for i in range(n) for j in range(n) if met.asked[i] and met.age[j] < met.age[i] and met.possible(np.array([i]), np.array([j]), 0.8)[0]}
+    assert got == want and want
