@@ -105,6 +105,22 @@ def test_recall_of_segments():
         assert np.mean(found) >= least, (t, np.mean(found))
 
 
+def test_unrelated_sets_that_meet_form_no_families(spark):
+    """With short segments most sets have a false link within 20 of 64 bits, as they would in a very large corpus; none is left after all bits are compared."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(8, 80))) for _ in range(1500)]
+    words = texts[7].split()
+    texts += [" ".join(words[:-1]), "p q r s t u v w", "p q r s t u v w x"]  # 4 of 5 shingles: a small set
+    rows = spark.createDataFrame(list(enumerate(texts)), "set_id long, _t string").repartition(4)
+    indexed = simhash.segment_values(rows, 5, 8, 60, 0.8).cache()
+    met = simhash.segment_links(indexed, 8, 60, 20)
+    assert met.select("u").union(met.select("v")).distinct().count() > 1000
+    left = {tuple(sorted((r.u, r.v))) for r in simhash.near_links(met, indexed, 8, 60, 0.8).collect()}
+    assert (7, 1500) in left and left <= {(7, 1500), (1501, 1502)}
+    pairs = spark.createDataFrame([(1501, 1502)], "u long, v long")
+    assert simhash.near_links(pairs, indexed, 8, 60, 0.8).count() == 1
+
+
 def test_majority_words_against_plain_sums():
     rng = np.random.default_rng(1)
     sizes = np.array([1, 2, 255, 256, 900, 3])
