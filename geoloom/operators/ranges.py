@@ -78,11 +78,22 @@ def bins(low: str, high: str, size: int) -> Column:
     return F.explode(F.sequence(F.floor(C(low) / size), F.floor(C(high) / size)))
 
 
-def apply_box_caps(cells: DataFrame, boxes: DataFrame, min_y: int, height: str = "elev_m", bin_size: int = 16) -> DataFrame:
-    """Cells under the kept boxes lowered to one below the lowest box; lowered tells where."""
-    binned = boxes.select("min_x", "max_x", "min_y", "max_y", F.greatest(F.lit(min_y), C("base") - 1).alias("_cap"), bins("min_x", "max_x", bin_size).alias("_bx")).withColumn("_by", bins("min_y", "max_y", bin_size))
-    placed = cells.withColumns({"_bx": F.floor(C("x") / bin_size), "_by": F.floor(C("y") / bin_size)})
-    caps = placed.select("x", "y", "_bx", "_by").join(binned, ["_bx", "_by"]).filter("x between min_x and max_x and y between min_y and max_y").groupBy("x", "y").agg(F.min("_cap").alias("cap"))
+def apply_box_caps(cells: DataFrame, boxes: DataFrame, min_y: int, height: str = "elev_m") -> DataFrame:
+    """Cells under the kept boxes lowered to one below the lowest box; lowered tells where.
+
+    A box lies in the quadtree level whose nodes are at least as wide and high as it is, where it touches four nodes at most, and cells look up
+    the node that holds them at every level that has boxes (every other power of two). So a box of any size is four rows.
+    """
+    side = F.greatest(C("max_x") - C("min_x"), C("max_y") - C("min_y")) + 1
+    level = F.greatest(F.lit(4), 2 * F.ceil(F.log2(side.cast("double")) / 2)).cast("int")
+    ranked = boxes.filter("min_x <= max_x and min_y <= max_y").select("min_x", "max_x", "min_y", "max_y", F.greatest(F.lit(min_y), C("base") - 1).alias("_cap"), level.alias("_level"))
+    levels = sorted(r[0] for r in ranked.select("_level").distinct().collect())  # up to 30
+    node = lambda c, at: F.shiftright(C(c).cast("bigint"), at)
+    spread = lambda low, high: F.explode(F.sequence(F.call_function("shiftright", C(low).cast("bigint"), C("_level")), F.call_function("shiftright", C(high).cast("bigint"), C("_level"))))
+    binned = ranked.select("*", spread("min_x", "max_x").alias("_bx")).withColumn("_by", spread("min_y", "max_y"))
+    nodes = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), node("x", n).alias("_bx"), node("y", n).alias("_by")) for n in levels])) if levels else F.lit(None).cast("struct<_level:int,_bx:bigint,_by:bigint>")
+    placed = cells.select("x", "y", nodes.alias("_n")).select("x", "y", "_n.*")
+    caps = placed.join(binned, ["_level", "_bx", "_by"]).filter("x between min_x and max_x and y between min_y and max_y").groupBy("x", "y").agg(F.min("_cap").alias("cap"))
     out = cells.join(caps, ["x", "y"], "left")
     return out.withColumns({"lowered": F.coalesce(C("cap") < C(height), F.lit(False)), height: F.least(C(height), "cap")}).drop("cap")
 
@@ -160,17 +171,32 @@ def viewport_tiles(df: DataFrame, key: str, cam_x: Column, cam_y: Column, width:
     return rows.select(key, F.explode("_xs").alias("x"), "_ys").select(key, "x", F.explode("_ys").alias("y"))
 
 
-def filter_by_rules(ids: DataFrame, rules: DataFrame, col: str = "id") -> DataFrame:
-    """Ids that no switched-off rule names: kind equals, prefix or contains, with a pattern. Null ids stay.
+def named_by_rules(ids: DataFrame, rules: DataFrame, col: str = "id") -> DataFrame:
+    """(_id): the different ids that a rule names: kind equals, prefix or contains, with a pattern.
 
     Ids meet rules on the first three letters of a pattern (all of them, if it is shorter), which stand
-    somewhere in the id; so rules may be many, and no id meets all of them.
+    somewhere in the id; so rules may be many, and no id meets all of them. Empty patterns, which name every id or only the empty one, are asked once for all ids.
     """
     names = ids.select(C(col).alias("_id")).filter("_id is not null").distinct()
-    off = rules.select("kind", "pattern", F.substring("pattern", 1, 3).alias("_gram")).distinct()
+    empty = rules.filter("pattern = ''").agg(F.coalesce(F.bool_or(C("kind").isin("prefix", "contains")), F.lit(False)).alias("_all"), F.coalesce(F.bool_or(C("kind") == "equals"), F.lit(False)).alias("_none"))
+    plain = names.crossJoin(F.broadcast(empty)).filter("_all or (_none and _id = '')").select("_id")  # one row
+    off = rules.filter("pattern <> ''").select("kind", "pattern", F.substring("pattern", 1, 3).alias("_gram")).distinct()
     length = F.length("_id")
     starts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))), lambda i: F.substring(C("_id"), i, F.lit(n)))
-    grams = names.select("_id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), starts(1), starts(2), starts(3)))).alias("_gram"))
+    grams = names.select("_id", F.explode(F.array_distinct(F.concat(starts(1), starts(2), starts(3)))).alias("_gram"))
     match = ((C("kind") == "equals") & (C("_id") == C("pattern"))) | ((C("kind") == "prefix") & F.startswith("_id", "pattern")) | ((C("kind") == "contains") & F.contains("_id", "pattern"))
-    named = grams.join(off, "_gram").filter(match).select("_id").distinct()
-    return ids.join(named, C(col) == C("_id"), "left_anti")
+    return grams.join(off, "_gram").filter(match).select("_id").union(plain).distinct()
+
+
+def filter_by_rules(ids: DataFrame, rules: DataFrame, col: str = "id") -> DataFrame:
+    """Ids that no switched-off rule names. Null ids stay."""
+    return ids.join(named_by_rules(ids, rules, col), C(col) == C("_id"), "left_anti")
+
+
+def filter_sets_by_rules(members: DataFrame, rules: DataFrame, key: str, col: str = "id") -> DataFrame:
+    """The rows (key, id) of sets of which no member is named by a switched-off rule: one named member takes its whole set. Null members name nothing.
+
+    Ids are judged once each, however many sets hold them; the keys of named members then leave with all their rows.
+    """
+    gone = members.join(named_by_rules(members, rules, col), C(col) == C("_id")).select(C(key).alias("_gone")).distinct()
+    return members.join(gone, C(key).eqNullSafe(C("_gone")), "left_anti")

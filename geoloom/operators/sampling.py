@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,11 +91,59 @@ def offsets(table: list[tuple[int, ...]], *names: str) -> Column:
     return F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in table]))
 
 
+#: Least side of the blocks in which nearest pixels are searched.
+SEARCH_BLOCK = 256
+
+
+def nearest_in_rows(px: np.ndarray, py: np.ndarray, cx: np.ndarray, cy: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each point, the place of its nearest cell within r (-1: none), the squared distance, and the scan order in the disk.
+
+    Cells are sorted by row and column. A row's nearest cells on either side of a point are found by one search, so a point takes time in
+    proportion to r, not to the disk. Rows come in scan order and the left side first, so the first of equally near cells stays.
+    """
+    side = int(max(px.max(), cx.max()) - min(px.min(), cx.min())) + 2 * r + 2
+    left, top = min(px.min(), cx.min()) - r, min(py.min() - r, cy.min())
+    keys = (cy - top) * side + (cx - left)
+    best, at, k = np.full(len(px), r * r + 1), np.full(len(px), -1), np.zeros(len(px), np.int64)
+    for dy in range(-r, r + 1):
+        aim = (py + dy - top) * side + (px - left)
+        here = np.searchsorted(keys, aim)  # the first cell at or after the point
+        for found in (here - 1, here):
+            ok = (found >= 0) & (found < len(keys))
+            cell = np.where(ok, found, 0)
+            dx = cx[cell] - px
+            d = dx * dx + dy * dy
+            nearer = ok & (cy[cell] == py + dy) & (d < best)
+            best, at = np.where(nearer, d, best), np.where(nearer, cell, at)
+            k = np.where(nearer, (dy + r) * (2 * r + 1) + dx + r, k)
+    return at, best, k
+
+
 def nearest_valid(points: DataFrame, cells: DataFrame, r: int, value: str = "v", key: str = "point_id") -> DataFrame:
-    """(key, value): the nearest pixel within r that isn't 0; the first in scan order of those as near."""
-    near = points.select(key, "x", "y", offsets(disk(r), "dx", "dy", "d", "k").alias("o")).select(key, (C("x") + C("o.dx")).alias("x"), (C("y") + C("o.dy")).alias("y"), F.struct("o.d", "o.k").alias("_o"))
-    hits = near.join(cells.filter(C(value) != 0).select("x", "y", C(value).alias("_v")), ["x", "y"])
-    best = hits.groupBy(key).agg(F.min_by("_v", "_o").alias("value"))
+    """(key, value): the nearest pixel within r that isn't 0; the first in scan order of those as near.
+
+    A task gets the different places asked for in a block and the valid pixels of the block and r around it; blocks without points get none.
+    """
+    block = max(SEARCH_BLOCK, 2 * r)
+    places = points.select(C("x").cast("bigint").alias("x"), C("y").cast("bigint").alias("y")).filter("x is not null and y is not null").distinct()
+    own = places.withColumns({"bx": F.floor(C("x") / block), "by": F.floor(C("y") / block)})
+    span = lambda c: F.explode(F.sequence(F.floor((C(c) - r) / block), F.floor((C(c) + r) / block)))
+    valid = cells.filter(C(value) != 0).select(C("x").cast("bigint").alias("x"), C("y").cast("bigint").alias("y"), C(value).alias("_v"))
+    around = valid.select("*", span("x").alias("bx")).select("*", span("y").alias("by")).join(own.select("bx", "by").distinct(), ["bx", "by"], "left_semi")
+
+    def search(asked: pa.Table, there: pa.Table) -> pa.Table:
+        there = there.sort_by([("y", "ascending"), ("x", "ascending")])
+        px, py = (asked[c].to_numpy() for c in "xy")
+        if len(there) and len(asked):
+            at, d, k = nearest_in_rows(px, py, *(there[c].to_numpy() for c in "xy"), r)
+        else:
+            at, d, k = (np.full(len(px), -1) for _ in range(3))
+        hit = at >= 0
+        return pa.table({"x": px[hit], "y": py[hit], "_v": there["_v"].take(pa.array(at[hit], pa.int64())), "_d": d[hit], "_k": k[hit]})
+
+    kind = valid.schema["_v"].dataType.simpleString()
+    near = own.groupBy("bx", "by").cogroup(around.groupBy("bx", "by")).applyInArrow(search, f"x long, y long, _v {kind}, _d long, _k long")
+    best = points.select(key, "x", "y").join(near, ["x", "y"]).groupBy(key).agg(F.min_by("_v", F.struct("_d", "_k")).alias("value"))
     return points.select(key).distinct().join(best, key, "left")
 
 

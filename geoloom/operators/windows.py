@@ -84,14 +84,17 @@ def nth_smallest(df: DataFrame, key: list[str], value: str, k: int) -> DataFrame
 def top_places(places: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k best places of each query (q_id, text): names that start with it, then shorter, then by name and id.
 
-    Names and texts, lower-cased, meet on the first three letters of the text, or all of a shorter
-    one. An empty text finds nothing.
+    Each different text is answered once, lower-cased, from a table of k places for each prefix; queries then look their text up. Every
+    task keeps k places of a prefix before they meet (Spark's window group limit), so a prefix of half of all names isn't one task.
+    An empty text finds nothing.
     """
-    first = lambda c, n: F.substring(F.lower(c), 1, n)
-    named = places.select("*", F.explode(F.array_distinct(F.array(*[first("name", n) for n in (1, 2, 3)]))).alias("_k"))
-    met = named.join(queries.filter("text <> ''").withColumn("_k", first("text", 3)), "_k").filter(F.startswith(F.lower("name"), F.lower("text")))
-    order = Window.partitionBy("q_id").orderBy(F.length("name"), "name", "place_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(C("rank") <= k).select("q_id", "rank", "place_id", "name")
+    wanted = queries.select(F.lower("text").alias("_p")).filter("_p <> ''").distinct()
+    longest = wanted.agg(F.max(F.length("_p"))).first()[0] or 0
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("name"), F.lit(longest))), lambda n: F.substring(F.lower("name"), F.lit(1), n)))
+    named = places.filter(F.length("name") > 0).select("place_id", "name", prefixes.alias("_p")).join(wanted, "_p", "left_semi")
+    order = Window.partitionBy("_p").orderBy(F.length("name"), "name", "place_id")
+    table = named.withColumn("rank", F.row_number().over(order)).filter(C("rank") <= k)
+    return queries.select("q_id", F.lower("text").alias("_p")).join(table, "_p").select("q_id", "rank", "place_id", "name")
 
 
 def order_tiles(df: DataFrame) -> DataFrame:

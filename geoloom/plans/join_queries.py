@@ -262,6 +262,15 @@ def rule_filter_ids(spark: SparkSession, d: str) -> DataFrame:
     return r.filter_by_rules(ids, off)
 
 
+@query("rule_filter_sets", "with m as (select l_orderkey as k, p_type as id from lineitem join part on p_partkey = l_partkey), g as (select distinct k from m where id = 'nothing' or starts_with(id, 'PROMO BRUSHED') or contains(id, 'NICKEL')) select k, count(*) as members from m where k not in (select k from g) group by k")
+def rule_filter_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Orders none of whose parts is switched off, with their lines."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(C("p_partkey").alias("l_partkey"), C("p_type").alias("id"))
+    members = spark.read.parquet(f"{d}/lineitem.parquet").select(C("l_orderkey").alias("k"), "l_partkey").join(part, "l_partkey").select("k", "id")
+    off = spark.createDataFrame([("equals", "nothing"), ("prefix", "PROMO BRUSHED"), ("contains", "NICKEL")], "kind string, pattern string")
+    return r.filter_sets_by_rules(members, off, "k").groupBy("k").agg(F.count("*").alias("members"))
+
+
 @query("sink_tiles", oracle("select 0::bigint as z, x//16 as tx, y//16 as ty, count(*) as n from cells group by all", "cells"))
 def sink_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Writes the tiles of the elevation layer, and returns what a reader finds."""
