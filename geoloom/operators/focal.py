@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.constants import NO_COVER, WATER_COVER
-from geoloom.operators.sampling import disk, offsets
+from geoloom.operators.sampling import offsets
 
 C = F.col
 SQUARE = [(dx, dy, k) for k, (dy, dx) in enumerate((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1))]
@@ -34,19 +38,98 @@ def focal_majority(cells: DataFrame, value: str = "cover") -> DataFrame:
     return out.filter("own is not null").select("x", "y", F.when(C("own").isin(NO_COVER, WATER_COVER), C("own")).otherwise(C("best")).alias(value))
 
 
-def focal_mode(cells: DataFrame, r: int = 2, value: str = "koppen", legacy: bool = False) -> DataFrame:
-    """Most frequent non-zero code of the disk; of equals the centre's, else the lowest. None: null (``legacy``: 1)."""
-    seen = spread(cells, disk(r), value)
-    votes = seen.groupBy("x", "y", "v").agg(F.count("*").alias("n"), F.bool_or("here").alias("here"))
-    rank = F.struct("n", "here", (-C("v")).alias("v"))
-    out = votes.groupBy("x", "y").agg(F.max_by(F.when(C("v") != 0, C("v")), F.when(C("v") != 0, rank)).alias(value), F.bool_or("here").alias("is_cell"))
-    return out.filter("is_cell").select("x", "y", F.coalesce(value, F.lit(1)).alias(value) if legacy else value)
+#: Least side of the blocks whose neighbourhoods one task counts.
+COUNT_BLOCK = 256
+
 
+def class_counts(x: np.ndarray, y: np.ndarray, codes: np.ndarray, k: int, r: int, round_: bool):
+    """For each class 0 to k - 1: how often it stands around every place of the cells' box, and how often at the place itself.
 
-def focal_histogram(cells: DataFrame, value: str = "cover") -> DataFrame:
-    """(x, y, v, n): class counts of the 3x3 square of each cell."""
-    seen = spread(cells, SQUARE, value).groupBy("x", "y", "v").agg(F.count("*").alias("n"))
-    return seen.join(cells.select("x", "y"), ["x", "y"], "left_semi")
+    Running counts along a row give any stretch of it by one difference, so a square costs each cell the same for any radius
+    (its rows are summed the same way), and a disk one difference for each of its rows.
+    """
+    x, y = x - x.min() + r, y - y.min() + r
+    high, wide = int(y.max()) + r + 1, int(x.max()) + r + 1
+    for code in range(k):
+        here = np.zeros((high, wide), np.int32)
+        mine = codes == code
+        np.add.at(here, (y[mine], x[mine]), 1)
+        run = np.zeros((high, wide + 1), np.int32)
+        np.cumsum(here, axis=1, out=run[:, 1:])
+        if round_:
+            around = np.zeros((high - 2 * r, wide - 2 * r), np.int32)
+            for dy in range(-r, r + 1):
+                half = math.isqrt(r * r - dy * dy)
+                rows = run[r + dy : high - r + dy]
+                around += rows[:, r + half + 1 : wide - r + half + 1] - rows[:, r - half : wide - r - half]
+        else:
+            rows = run[:, 2 * r + 1 :] - run[:, : wide - 2 * r]
+            down = np.vstack([np.zeros((1, rows.shape[1]), np.int32), np.cumsum(rows, axis=0, dtype=np.int32)])
+            around = down[2 * r + 1 :] - down[: high - 2 * r]
+        yield around, here[r : high - r, r : wide - r]
+
+
+def in_blocks(cells: DataFrame, r: int, value: str, block: int):
+    """The cells (x, y, v) of each block and of r around it, grouped by block."""
+    span = lambda c: F.explode(F.sequence(F.floor((C(c) - r) / block), F.floor((C(c) + r) / block)))
+    at = cells.select(C("x").cast("bigint").alias("x"), C("y").cast("bigint").alias("y"), C(value).alias("v")).filter("x is not null and y is not null")
+    return at.select("*", span("x").alias("bx")).select("*", span("y").alias("by")).groupBy("bx", "by")
+
+
+def own_places(table: pa.Table, block: int) -> tuple[np.ndarray, ...]:
+    """x and y of a group's rows, and the places in their box (row, column) of the different cells of the block itself."""
+    x, y = table["x"].to_numpy(), table["y"].to_numpy()
+    bx, by = table["bx"][0].as_py(), table["by"][0].as_py()
+    own = (x // block == bx) & (y // block == by)
+    at = np.unique(np.stack([y[own] - y.min(), x[own] - x.min()]), axis=1)
+    return x, y, at[0], at[1]
+
+
+def focal_mode(cells: DataFrame, r: int = 2, value: str = "koppen", legacy: bool = False, block: int = COUNT_BLOCK) -> DataFrame:
+    """Most frequent non-zero code of the disk; of equals the centre's, else the lowest. None: null (``legacy``: 1).
+
+    A task counts a block with r around it; nulls count as no code, repeated cells as often as they stand there.
+    """
+    block = max(block, 2 * r)
+    kind = cells.schema[value].dataType.simpleString()
+
+    def count(table: pa.Table) -> pa.Table:
+        x, y, i, j = own_places(table, block)
+        v = table["v"].combine_chunks()
+        kinds = np.unique(v.drop_null().to_numpy(zero_copy_only=False))
+        kinds = kinds[kinds != 0]
+        filled = v.fill_null(0).to_numpy(zero_copy_only=False)
+        codes = np.where(filled == 0, -1, np.searchsorted(kinds, filled))
+        best, at_centre, which = np.zeros(len(i), np.int64), np.zeros(len(i), bool), np.full(len(i), -1)
+        for code, (around, here) in enumerate(class_counts(x, y, codes, len(kinds), r, True)):
+            n, centre = around[i, j], here[i, j] > 0
+            more = (n > best) | ((n == best) & (n > 0) & centre & ~at_centre)  # codes rise, so the lowest of equals stays
+            best, at_centre, which = np.where(more, n, best), np.where(more, centre, at_centre), np.where(more, code, which)
+        mode = pa.array(kinds, v.type).take(pa.array(which, pa.int64(), mask=which < 0))
+        return pa.table({"x": j + x.min(), "y": i + y.min(), value: mode})
+
+    out = in_blocks(cells, r, value, block).applyInArrow(count, f"x long, y long, {value} {kind}")
+    return out.withColumn(value, F.coalesce(value, F.lit(1)).cast(kind)) if legacy else out
+
+
+def focal_histogram(cells: DataFrame, value: str = "cover", r: int = 1, block: int = COUNT_BLOCK) -> DataFrame:
+    """(x, y, v, n): class counts of the square of each cell, r to every side; null is a class of its own."""
+    block = max(block, 2 * r)
+    kind = cells.schema[value].dataType.simpleString()
+
+    def count(table: pa.Table) -> pa.Table:
+        x, y, i, j = own_places(table, block)
+        named = table["v"].combine_chunks().dictionary_encode("encode")
+        codes = named.indices.to_numpy(zero_copy_only=False)
+        parts = []
+        for code, (around, _) in enumerate(class_counts(x, y, codes, len(named.dictionary), r, False)):
+            n = around[i, j].astype(np.int64)
+            some = n > 0
+            which = np.full(int(some.sum()), code)
+            parts.append(pa.table({"x": j[some] + x.min(), "y": i[some] + y.min(), "v": named.dictionary.take(pa.array(which)), "n": n[some]}))
+        return pa.concat_tables(parts)
+
+    return in_blocks(cells, r, value, block).applyInArrow(count, f"x long, y long, v {kind}, n long")
 
 
 def focal_slope(cells: DataFrame, step: int = 4, value: str = "elev_m") -> DataFrame:
