@@ -77,7 +77,7 @@ NOTICES = (
     ("mit", "noninfringement", r" the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement(?= )"),
     ("mit", "mit", r" (?:released|distributed|available|provided|published|covered) under (?:the )?(?:terms of )?(?:the )?mit(?: x11)?(?: style)? licen[sc]e(?= )"),
     ("mit", "mit", r" dual licen[sc]ed under (?:the )?mit (?:and|or) (?:the )?(?:apache|gpl|bsd)(?= )"),
-    ("mit-0", "hereby", r" permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction(?= the software is provided| including the rights)"),
+    ("mit-0", "hereby", r" permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is(?: without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement)?(?= )"),
     ("x11", "consortium", r" except as contained in this notice the name of the x consortium shall not be used in advertising(?= )"),
     ("bsd", "redistribution", r" redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?(?= )"),
     ("bsd", "redistributions", r" redistributions of source code must retain the above copyright notice(?: this list of conditions and the following disclaimer)?(?= )"),
