@@ -9,14 +9,15 @@ from geoloom.functions import scalar as s
 from geoloom.functions.scalar import climate_code
 from geoloom.operators import focal as f
 from geoloom.operators import graph as g
+from geoloom.operators import levels as lv
 from geoloom.operators import ranges as r
 from geoloom.operators import sampling as m
 from geoloom.operators import water as wt
 from geoloom.operators import windows as w
 from geoloom.plans.fixtures import fixture, oracle, rules
-from geoloom.plans.join_queries import CLASS, CODE, layer
+from geoloom.plans.join_queries import CLASS, CODE, SALT, SITES, layer, sites
 from geoloom.plans.registry import query
-from geoloom.plans.scalar_queries import ramp_sql, seed_sql
+from geoloom.plans.scalar_queries import SHARE_SQL, TINT_SQL, ramp_sql, seed_sql
 from geoloom.sources.tiles import pack_tiles
 from geoloom.streaming import requests
 
@@ -447,3 +448,42 @@ def lod_table(spark: SparkSession, d: str) -> DataFrame:
     quick = cover.join(cells(spark, d).select("x", "y", "elev_m"), ["x", "y"]).select("x", "y", s.quick_water(C("cover"), C("elev_m")).alias("q"))
     layers = F.array(F.struct(F.lit(0).cast("bigint").alias("k"), (C("q.terrain") + 64).alias("h")), F.struct(F.lit(1).cast("bigint").alias("k"), (C("q.water") - C("q.terrain")).alias("h")))
     return w.stack_layers(quick.select("x", "y", F.explode(layers).alias("l")).select("x", "y", "l.*"), ["x", "y"], "k", "h", 200).select("x", "y", "k", "lo", "hi")
+
+
+SQUARES = f"{SITES}, pw as (select level, 1::bigint << level as side from (select unnest(range(1, 5)) as level)), cl as (select c.*, s.site_id from cells c left join s on s.sx = c.x and s.sz = c.y), gr as (select level, x//side as x0, y//side as y0, count(*) as cells, floor(sum(elev_m)/count(*))::bigint as elev_m, first(cover order by cover <> 80, y, x) as cover, first(koppen order by cover <> 80, y, x) as koppen, count(site_id) as n_sites, min(site_id) as site_id from cl, pw group by level, x0, y0), q as (select *, {CODE} as code, cover = 0 and elev_m <= 0 as oc, cover in (80, 95) or (cover = 0 and elev_m <= 0) as wet, greatest(elev_m+1, 0) as lv from gr)"
+
+
+def squares(spark: SparkSession, d: str) -> DataFrame:
+    """Four coarse levels of the cells, with the sites in their squares."""
+    base = cells(spark, d)
+    return lv.pyramid(base, 4, C("cover") == 80, ["cover", "koppen"], sites=sites(base, 8, 60, SALT))
+
+
+@query("lod_levels", oracle(f"+ {SQUARES} select level, x0 as x, y0 as y, cells, elev_m, {CLASS.format(o='oc', w='false')} as class, n_sites, site_id::bigint as site_id from q", "cells", "rules"))
+def lod_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Height, class and sites of the squares of every level."""
+    kinds = squares(spark, d).withColumns({"climate": climate_code(C("koppen")), "is_ocean": (C("cover") == 0) & (C("elev_m") <= 0)})
+    return m.classify(kinds, rules(spark)).select("level", "x", "y", "cells", "elev_m", "class", "n_sites", C("site_id").cast("bigint").alias("site_id"))
+
+
+@query("lod_layers", oracle(f"+ {SQUARES}, t as (select level, x0 as x, y0 as y, case when wet and not oc then least(elev_m, lv-25) else elev_m end as ground, case when wet then lv else elev_m end as water from q) select level, x, y, 0::bigint as k, 0::bigint as lo, least(200, ground+64)::bigint as hi from t where ground+64 > 0 union all select level, x, y, 1, greatest(0, least(200, ground+64)), least(200, greatest(0, ground+64) + water - ground) from t where water > ground and least(200, greatest(0, ground+64) + water - ground) > least(200, greatest(0, ground+64))", "cells"))
+def lod_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Ground and water layers of the squares of every level."""
+    return lv.level_layers(squares(spark, d), 64, 200)
+
+
+def _mix_sql(color: str, to: str, t: str) -> str:
+    return "(" + " + ".join(f"floor((({color} >> {k}) & 255) + ((({to} >> {k}) & 255) - (({color} >> {k}) & 255))*({t}) + 0.5)::bigint*{1 << k}" for k in (16, 8, 0)) + ")"
+
+
+COLORED = f"""nx as (select c.x, c.y, c.elev_m, coalesce(a.elev_m - c.elev_m, 0)/50.0::double as dx, coalesce(b.elev_m - c.elev_m, 0)/50.0::double as dy, first_value(c.cover) over (partition by c.x//4, c.y//4 order by c.y, c.x) as cover, first_value(c.koppen) over (partition by c.x//8, c.y//8 order by c.y, c.x) as koppen from cells c left join cells a on a.x = c.x+1 and a.y = c.y left join cells b on b.x = c.x and b.y = c.y+1),
+ cc as (select *, {CODE} as code from nx), gp as (select *, case when left(code, 1) in ('A', 'B', 'C', 'D', 'E') then ascii(code) - 64 else 0 end as grp from cc),
+ sh as (select *, case cover {" ".join(f"when {k} then {v}" for k, v in s.COVER_COLORS.items())} else {s.ROCK} end::bigint as base, case grp {TINT_SQL} end::bigint as tint, {SHARE_SQL} as share, greatest(abs(dx), abs(dy)) as slope, greatest(case when cover = 80 then 2 else 0 end, -elev_m)*1.0::double as deep from gp),
+ ts as (select *, case when grp = {s.POLAR} and share > 0 then least({s.TINT_MOST}::double, share + {s.POLAR_MORE}::double) else share end as t, least(1.0::double, greatest(0.0::double, (slope-1.2)/1.6)) as steep from sh),
+ td as (select *, case when t > 0 and tint is not null then {_mix_sql("base", "tint", "t")} else base end as tinted from ts)"""
+
+
+@query("preview_colors", oracle(f"+ {COLORED} select x, y, (case when cover in (0, 80) then {ramp_sql('deep', s.DEPTH_RAMP)} when cover = 70 then base else {_mix_sql('tinted', str(s.ROCK), 'steep')} end)::bigint as color, floor((0.45+0.55*greatest(0, (dx*0.4+0.8+dy*0.4)/sqrt(dx*dx+dy*dy+1)/sqrt(0.96)))*8+0.5)/8 as shade from td", "cells"))
+def preview_colors(spark: SparkSession, d: str) -> DataFrame:
+    """Colour and shade of every cell: water by depth, land by cover, climate and slope."""
+    return lv.preview(cells(spark, d), 50.0)
