@@ -2,9 +2,10 @@
 
 The index is cut into segments of bounded text. A segment has one row for each of its terms, with
 the term's word positions in the segment as a posting list, and one directory row naming its
-documents. Windows of the items are rows too. A window is joined to the segments that have its
+documents. Windows of the items are rows too, their terms numbered. A window is joined to the segments that have its
 rarest term, and travels to these only; there, lists shifted by each term's offset in the phrase are
-intersected, from the rarest term of the whole corpus on. Nothing passes through the driver but counts.
+intersected, from the rarest term of the whole corpus on. A rarest term that is in very many segments is
+dealt out by segment. Nothing passes through the driver but counts.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.shared import LETTERS_DIGITS, LOWER, chunks, cut, few, free_name, releasing, stage, text_bytes, unstage, word_bounds
+from geoloom.llm.shared import LETTERS_DIGITS, LOWER, chunks, cut, extent, few, free_name, heavy_join, is_few, releasing, stage, text_bytes, unstage, word_bounds
 
 SEGMENT_BYTES = 2 << 20
-DIRECTORY = ""
+DIRECTORY, NO_TERM = "", -1
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,8 +62,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stage(rows.mapInArrow(run, f"segment long, term string, postings binary, doc_ids array<{kind}>, doc_words array<bigint>"), "positions")
 
 
-def _phrase(lists: dict[str, np.ndarray], order: list[tuple[int, str]]) -> np.ndarray:
-    """Start positions of the phrase whose (offset, term) pairs come rarest first."""
+def _phrase(lists: dict[int, np.ndarray], order: list[tuple[int, int]]) -> np.ndarray:
+    """Start positions of the phrase whose (offset, code) pairs come rarest first."""
     for _, term in order:
         if term not in lists:
             return np.zeros(0, np.int32)
@@ -76,7 +77,7 @@ def _phrase(lists: dict[str, np.ndarray], order: list[tuple[int, str]]) -> np.nd
     return found
 
 
-def _near(lists: dict[str, np.ndarray], terms: list[str], within: int) -> np.ndarray:
+def _near(lists: dict[int, np.ndarray], terms: list[int], within: int) -> np.ndarray:
     """First positions of the spans of up to ``within`` words that have all terms, smallest span for each end."""
     if any(t not in lists for t in terms):
         return np.zeros((0, 2), np.int64)
@@ -106,12 +107,12 @@ def windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: st
     return named, stage(each.filter("item is not null").join(named, "words").select("wid", "item"), "window-items")
 
 
-def plans(named: DataFrame, counts: DataFrame) -> DataFrame:
-    """(wid, rare, n, steps) of the windows whose terms all occur: the rarest term, the window's length, (count, offset, term) rarest first."""
+def plans(named: DataFrame, counts: DataFrame, few_terms: bool) -> DataFrame:
+    """(wid, rare, n, offsets, codes) of the windows whose terms all occur: the code of the rarest term, the window's length, offsets and codes rarest first."""
     placed = named.select("wid", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
-    known = placed.join(counts.withColumnRenamed("n", "count"), "term")
-    steps = known.groupBy("wid", "n").agg(F.sort_array(F.collect_list(F.struct("count", "offset", "term"))).alias("steps"))
-    return steps.filter("size(steps) = n").select("wid", F.col("steps")[0]["term"].alias("rare"), "n", "steps")
+    known = placed.join(F.broadcast(counts) if few_terms else counts, "term")
+    steps = known.groupBy("wid", "n").agg(F.sort_array(F.collect_list(F.struct("count", "offset", "code"))).alias("steps"))
+    return steps.filter("size(steps) = n").select("wid", F.col("steps")[0]["code"].alias("rare"), "n", F.col("steps.offset").alias("offsets"), F.col("steps.code").alias("codes"))
 
 
 def search(index: DataFrame, named: DataFrame, within: int | None = None) -> DataFrame:
@@ -121,17 +122,26 @@ def search(index: DataFrame, named: DataFrame, within: int | None = None) -> Dat
     wherever all its words stand, in any order, inside ``within`` words. ``n_hit`` counts document
     words inside a match; start and end are words of the document. Matches cross no document. No windows, no matches.
     """
-    terms = stage(named.select(F.explode("words").alias("term")).distinct(), "query-terms")
-    wanted = terms.union(terms.sparkSession.createDataFrame([(DIRECTORY,)], "term string"))
-    lists = index.join(few(wanted, terms.count()), "term", "left_semi")
-    counts = lists.filter(F.col("term") != DIRECTORY).groupBy("term").agg(F.sum(F.length("postings") / 4).cast("long").alias("n"))
-    planned = stage(plans(named, counts), "window-plans")
+    terms = stage(named.select(F.explode("words").alias("term")).distinct().withColumn("code", F.monotonically_increasing_id()), "query-terms")
+    few_terms = is_few(*extent(terms, F.length("term") + 48))
+    wanted = terms.union(terms.sparkSession.createDataFrame([(DIRECTORY, NO_TERM)], "term string, code long"))
+    lists = index.join(F.broadcast(wanted) if few_terms else wanted, "term").drop("term")
+    held = lists.filter(F.col("code") != NO_TERM)
+    sums = held.groupBy("code").agg(F.sum(F.length("postings") / 4).cast("long").alias("count"), F.count("*").alias("segments"))
+    counts = stage(terms.join(sums, "code"), "term-counts")
+    planned = stage(plans(named, counts, few_terms), "window-plans")
     # a window goes to the segments of its rarest term
-    asked = lists.select("segment", F.col("term").alias("rare")).join(few(planned, planned.count()), "rare").select("segment", "wid", "n", "steps")
+    at, plan_size = held.select("segment", F.col("code").alias("rare")), extent(planned, 16 * F.col("n") + 128)
+    if is_few(*plan_size):
+        met = at.join(F.broadcast(planned), "rare")
+    else:
+        rarest = counts.select(F.col("code").alias("rare"), F.col("segments").alias("n")).join(planned.select("rare").distinct(), "rare", "left_semi")
+        met = heavy_join(at, planned, "rare", rarest, "segment")
+    asked = met.select("segment", "wid", "n", "offsets", "codes")
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
     none = lambda t: F.lit(None).cast(t)
-    held = lists.select("segment", F.lit(0).alias("what"), "term", "postings", "doc_ids", "doc_words", none("long").alias("wid"), none("int").alias("n"), none("array<struct<count:long,offset:int,term:string>>").alias("steps"))
-    both = held.union(asked.select("segment", F.lit(1), none("string"), none("binary"), none(f"array<{kind}>"), none("array<bigint>"), "wid", "n", "steps"))
+    stored = lists.select("segment", F.lit(0).alias("what"), "code", "postings", "doc_ids", "doc_words", none("long").alias("wid"), none("int").alias("n"), none("array<int>").alias("offsets"), none("array<long>").alias("codes"))
+    both = stored.union(asked.select("segment", F.lit(1), none("long"), none("binary"), none(f"array<{kind}>"), none("array<bigint>"), "wid", "n", "offsets", "codes"))
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,20 +165,20 @@ def search(index: DataFrame, named: DataFrame, within: int | None = None) -> Dat
                         yield documents()
                     now, have, ids = segments[s], {}, None
                 table = part.filter(pa.compute.equal(part.column("what"), 0))
-                for term, postings, doc_ids, n in zip(*[table.column(c) for c in ("term", "postings", "doc_ids", "doc_words")], strict=True):
-                    if term.as_py() == DIRECTORY:
+                for code, postings, doc_ids, n in zip(*[table.column(c) for c in ("code", "postings", "doc_ids", "doc_words")], strict=True):
+                    if code.as_py() == NO_TERM:
                         ids, ends = doc_ids.values, np.cumsum(n.values.to_numpy())
                         step = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, dtype=np.int32)
                     else:
-                        have[term.as_py()] = np.frombuffer(postings.as_buffer(), dtype=np.int32)
+                        have[code.as_py()] = np.frombuffer(postings.as_buffer(), dtype=np.int32)
                 found = []
                 asks = part.filter(pa.compute.equal(part.column("what"), 1))
-                for wid, length, steps in zip(*[asks.column(c).to_pylist() for c in ("wid", "n", "steps")], strict=True):
+                for wid, length, offsets, codes in zip(*[asks.column(c).to_pylist() for c in ("wid", "n", "offsets", "codes")], strict=True):
                     if within is None:
-                        starts = _phrase(have, [(x["offset"], x["term"]) for x in steps]).astype(np.int64)
+                        starts = _phrase(have, list(zip(offsets, codes, strict=True))).astype(np.int64)
                         spans = np.stack([starts, starts + length], axis=1)
                     else:
-                        spans = _near(have, sorted({x["term"] for x in steps}), within)
+                        spans = _near(have, sorted(set(codes)), within)
                     if len(spans):
                         doc = np.searchsorted(ends, spans[:, 0], side="right")
                         inside = spans[:, 1] <= ends[np.minimum(doc, len(ends) - 1)]
@@ -186,7 +196,7 @@ def search(index: DataFrame, named: DataFrame, within: int | None = None) -> Dat
 
     dealt = both.repartition("segment").sortWithinPartitions("segment", "what")
     found = stage(dealt.mapInArrow(run, f"segment long, place long, doc_id {kind}, n_words long, n_hit long, wid long, start long, end long"), "matches")
-    for df in (terms, planned):
+    for df in (terms, counts, planned):
         unstage(df)
     return found
 
@@ -203,7 +213,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, within: i
     unstage(index)
     met = found.filter("wid is not null").select("segment", "place", "wid").distinct().join(of_items, "wid")
     listed = stage(met.groupBy("segment", "place").agg(F.sort_array(F.collect_set("item")).alias("items")), "document-items")
-    out = found.filter("wid is null").join(few(listed, listed.count()), ["segment", "place"], "left")
+    out = found.filter("wid is null").join(few(listed, *extent(listed, F.length(F.array_join("items", ",")) + 16 * F.size("items") + 64)), ["segment", "place"], "left")
     items_of = F.coalesce("items", F.array().cast("array<string>")).alias("items")
     return out.select("doc_id", "n_words", "n_hit", items_of, ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 

@@ -12,7 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -81,13 +81,24 @@ def unstage(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-#: Tables of a few short columns are broadcast up to so many rows; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables of a few short columns are broadcast up to so many rows, tables of lists or texts also up to so many bytes; beyond, they are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
-def few(rows: DataFrame, n: int) -> DataFrame:
+def is_few(n: int, size: int = 0) -> bool:
+    """Whether ``n`` rows, of ``size`` bytes together where their width isn't fixed, may be broadcast."""
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def few(rows: DataFrame, n: int, size: int = 0) -> DataFrame:
     """The rows, broadcast if they are few."""
-    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if is_few(n, size) else rows
+
+
+def extent(rows: DataFrame, width: Column) -> tuple[int, int]:
+    """How many rows there are, and the sum of their ``width``."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0)).cast("long")).first()
+    return n, size
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -11,7 +11,7 @@ import pytest
 import regex
 import tiktoken
 import xxhash
-from geoloom.llm import byte_bpe, decontaminate, simhash
+from geoloom.llm import byte_bpe, decontaminate, shared, simhash
 from geoloom.llm.components import components
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -168,9 +168,12 @@ def brute_contamination(texts, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("segment, kind", [(2 << 20, "long"), (300, "string")])
-def test_contamination_against_brute_force(spark, monkeypatch, segment, kind):
+@pytest.mark.parametrize("segment, kind, wide", [(2 << 20, "long", False), (300, "string", False), (60, "long", True)])
+def test_contamination_against_brute_force(spark, monkeypatch, segment, kind, wide):
     monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", segment)
+    if wide:  # plans too large to broadcast, and rarest terms of more than two segments dealt out
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(shared, "LEAST_HEAVY", 2)
     rng = random.Random(2)
     words = [f"t{k}" for k in range(12)] + ["É", "the"]
     items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 13, 14, 20])))) for k in range(12)] + [(12, ""), (13, None), (2, "zz yy"), (14, "The-T1"), (14, "the t1")]
