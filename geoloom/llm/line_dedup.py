@@ -408,13 +408,13 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, t: float) -> Da
     whole = whole.select("lo", "hi", F.struct("id", "th", "line").alias("low"), "words")
     named = lambda w: whole.select(*[F.col(c).alias(f"{w}_{c}") for c in whole.columns])
     young = pairs.join(named("new"), F.col("new") == F.col("new_lo")).drop("new_lo")
-    count = pairs.groupBy("old").agg(F.count("*").alias("n"))
+    count = stage(pairs.groupBy("old").agg(F.count("*").alias("n")), "old-counts")
     both = heavy_join(young, named("old").withColumnRenamed("old_lo", "old"), "old", count, "new")
     common = F.size(F.array_intersect("new_words", "old_words"))
     like = common >= t * (F.size("new_words") + F.size("old_words") - common) - 1e-9
     dead = stage(both.filter(F.col("old_low") < F.col("new_low")).filter(like).select(F.col("new").alias("lo"), F.col("new_hi").alias("hi")).distinct(), "sets-gone")
-    unstage(stored)
-    unstage(places)
+    for df in (stored, places, count):
+        unstage(df)
     return dead
 
 
@@ -441,11 +441,11 @@ def similar_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
         dead = dead.union(verified(docs, sets, others, t)).distinct()
     unstage(found)
     gone = sets.select("lo", "hi", "low", "n").join(dead.withColumn("dead", F.lit(True)), ["lo", "hi"], "left").filter("n > 1 or dead")
-    gone = gone.select(F.struct("lo", "hi").alias("set"), "low", "n", F.coalesce("dead", F.lit(False)).alias("dead"))
+    gone = stage(gone.select(F.struct("lo", "hi").alias("set"), "low", "n", F.coalesce("dead", F.lit(False)).alias("dead")), "sets-to-thin")
     lines = lines.select(F.struct("lo", "hi").alias("set"), "id", "th", "line")
     found = heavy_join(lines, gone.drop("n"), "set", gone.select("set", "n"), ["id", "th", "line"])
     out = stage(found.filter(F.col("dead") | (F.struct("id", "th", "line") > F.col("low"))).select("id", "th", "line").distinct(), "similar-lines")
-    for df in (table, sets, rest):
+    for df in (table, sets, rest, gone):
         unstage(df)
     return out
 
