@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.constants import NO_COVER, WATER_COVER
 from geoloom.operators.sampling import offsets
+from geoloom.operators.storage import by_shuffle
 
 C = F.col
 SQUARE = [(dx, dy, k) for k, (dy, dx) in enumerate((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1))]
@@ -170,7 +171,7 @@ def resample_stride(cells: DataFrame, stride: int, value: str, prefer: Column |
     order = F.struct((~prefer if prefer is not None else F.lit(False)).alias("p"), C("y").alias("y"), C("x").alias("x"))
     placed = cells.withColumns(at)
     first = placed.groupBy("_bx", "_by").agg(F.min_by(value, order).alias("_v"))
-    return placed.join(first, ["_bx", "_by"]).select("x", "y", C("_v").alias(value))
+    return placed.join(by_shuffle(first), ["_bx", "_by"]).select("x", "y", C("_v").alias(value))
 
 
 def smooth_bed(cells: DataFrame, min_cost: int = 100, min_max_cost: int = 110, width: str = "cost") -> DataFrame:
@@ -181,7 +182,7 @@ def smooth_bed(cells: DataFrame, min_cost: int = 100, min_max_cost: int = 110, w
     by_comp = cells.select("x", "y", C("comp"), C("floor"), offsets(SQUARE, "dx", "dy", "k").alias("o")).select((C("x") - C("o.dx")).alias("x"), (C("y") - C("o.dy")).alias("y"), "comp", "floor")
     means = by_comp.groupBy("x", "y", "comp").agg((F.sum("floor") / F.count("*")).alias("mean"))
     wide = cells.groupBy("comp").agg(F.max(width).alias("_most")).filter(C("_most") > min_max_cost).select("comp", F.lit(True).alias("_wide"))
-    out = cells.join(means, ["x", "y", "comp"]).join(wide, "comp", "left")
+    out = cells.join(by_shuffle(means), ["x", "y", "comp"]).join(wide, "comp", "left")
     deep = F.coalesce(C("cost") > min_cost, F.lit(False)) & ~C("cliff") & F.coalesce("_wide", F.lit(False))
     return out.select("x", "y", F.when(deep, F.least(F.floor(C("mean") + 0.5), C("water") - 1)).otherwise(C("floor")).cast("bigint").alias("bed"))
 

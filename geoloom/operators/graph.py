@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.ranges import EIGHT, carried, neighbors
-from geoloom.operators.storage import drop_stored, stored
+from geoloom.operators.storage import by_shuffle, drop_stored, stored
 
 C = F.col
 
@@ -21,9 +21,9 @@ def merge_labels(edges: DataFrame) -> DataFrame:
         both = links.union(links.select(C("b").alias("a"), C("a").alias("b")))
         least = both.groupBy("a").agg(F.least(C("a"), F.min("b")).alias("m"))
         # all higher neighbours of a node link to the least around it, then each node's links to its least
-        up = both.join(least, "a").filter("b > a").select(C("b").alias("a"), C("m").alias("b")).filter("a <> b").distinct()
+        up = both.join(by_shuffle(least), "a").filter("b > a").select(C("b").alias("a"), C("m").alias("b")).filter("a <> b").distinct()
         low = up.groupBy("a").agg(F.min("b").alias("m"))
-        down = up.join(low, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).filter("a <> b").union(low.select("a", C("m").alias("b"))).distinct()
+        down = up.join(by_shuffle(low), "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).filter("a <> b").union(low.select("a", C("m").alias("b"))).distinct()
         after = stored(down)
         drop_stored(links)
         links = after
@@ -98,7 +98,7 @@ def components(cells: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
     for c, dx, dy in (("x", 1, 0), ("y", 0, 1)):
         here = placed.filter(last(c)).select((C("x") + dx).alias("x"), (C("y") + dy).alias("y"), C("_label").alias("a"))
         beyond = placed.filter(first(c)).select("x", "y", C("_label").alias("b"))
-        met = here.join(beyond, ["x", "y"]).select("a", "b", *[at(v, block * SUPER).alias(f"_s{v}") for v in "xy"], F.pmod(c, F.lit(block * SUPER)).alias("_in")).withColumn("_outer", C("_in") == 0).drop("_in").distinct()
+        met = here.join(by_shuffle(beyond), ["x", "y"]).select("a", "b", *[at(v, block * SUPER).alias(f"_s{v}") for v in "xy"], F.pmod(c, F.lit(block * SUPER)).alias("_in")).withColumn("_outer", C("_in") == 0).drop("_in").distinct()
         edges = met if edges is None else edges.union(met)
     edges = stored(edges)
 
@@ -114,11 +114,11 @@ def components(cells: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
     else:
         inner = stored(inner)
         up = lambda c: F.coalesce(C(f"_up_{c}"), C(c)).alias(c)
-        raised = outer.join(inner.select(C("_label").alias("a"), C("_up").alias("_up_a")), "a", "left").join(inner.select(C("_label").alias("b"), C("_up").alias("_up_b")), "b", "left")
+        raised = outer.join(by_shuffle(inner.select(C("_label").alias("a"), C("_up").alias("_up_a"))), "a", "left").join(by_shuffle(inner.select(C("_label").alias("b"), C("_up").alias("_up_b"))), "b", "left")
         top = stored(merge_labels(raised.select(up("a"), up("b"))))
-        own = outer.select(C("a").alias("_label")).union(outer.select("b")).distinct().join(inner, "_label", "left_anti").withColumn("_up", C("_label"))
-        roots = inner.union(own).join(top.withColumnRenamed("node", "_up"), "_up", "left").select("_label", F.coalesce("root", "_up").alias("root"))
-    return placed.join(roots, "_label", "left").withColumn("comp", F.coalesce("root", "_label")).select(*cells.columns, "comp")
+        own = outer.select(C("a").alias("_label")).union(outer.select("b")).distinct().join(by_shuffle(inner), "_label", "left_anti").withColumn("_up", C("_label"))
+        roots = inner.union(own).join(by_shuffle(top.withColumnRenamed("node", "_up")), "_up", "left").select("_label", F.coalesce("root", "_up").alias("root"))
+    return placed.join(by_shuffle(roots), "_label", "left").withColumn("comp", F.coalesce("root", "_label")).select(*cells.columns, "comp")
 
 
 def number_components(labelled: DataFrame) -> DataFrame:
@@ -146,9 +146,9 @@ def border_percentile(water: DataFrame, cells: DataFrame, p: float = 0.1) -> Dat
     """(comp, spill): height at sorted place floor(p * (n - 1)) of the land beside a component, once for each touching side; else the average."""
     sides = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
     near = water.select("comp", "x", "y", sides.alias("o")).select("comp", (C("x") + C("o.dx")).alias("x"), (C("y") + C("o.dy")).alias("y"))
-    land = cells.join(water.select("x", "y"), ["x", "y"], "left_anti").select("x", "y", C("elev_m").alias("h"))
+    land = cells.join(by_shuffle(water.select("x", "y")), ["x", "y"], "left_anti").select("x", "y", C("elev_m").alias("h"))
     # heights are few whole numbers: counting them first keeps a huge border from meeting in one task
-    heights = near.join(land, ["x", "y"]).groupBy("comp", "h").agg(F.count("*").alias("n"))
+    heights = near.join(by_shuffle(land), ["x", "y"]).groupBy("comp", "h").agg(F.count("*").alias("n"))
     order = Window.partitionBy("comp").orderBy("h")
     ranked = heights.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy("comp"))})
     spill = ranked.filter(C("upto") > F.floor(p * (C("all") - 1))).groupBy("comp").agg(F.min("h").alias("spill"))
@@ -179,21 +179,21 @@ def is_river(stats: DataFrame, min_length: int, max_width: int) -> DataFrame:
 
 def flood(labelled: DataFrame, seeds: DataFrame) -> DataFrame:
     """Cells of the components that hold a seed (x, y)."""
-    hit = labelled.join(seeds.select("x", "y"), ["x", "y"], "left_semi").select("comp").distinct()
+    hit = labelled.join(by_shuffle(seeds.select("x", "y")), ["x", "y"], "left_semi").select("comp").distinct()
     return labelled.join(hit, "comp", "left_semi")
 
 
 def shore_cells(water: DataFrame) -> DataFrame:
     """Water cells with a side that isn't water."""
     inner = neighbors(water, 4).groupBy("x", "y").agg(F.count("*").alias("n")).filter("n = 4")
-    return water.join(inner, ["x", "y"], "left_anti")
+    return water.join(by_shuffle(inner), ["x", "y"], "left_anti")
 
 
 def cliff_edges(water: DataFrame, land: DataFrame, threshold: int) -> DataFrame:
     """(x, y, is_water): both cells of each side where land stands ``threshold`` or more over the water level."""
     sides = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
     near = water.select(C("x").alias("wx"), C("y").alias("wy"), "level", sides.alias("o")).select("wx", "wy", "level", (C("wx") + C("o.dx")).alias("x"), (C("wy") + C("o.dy")).alias("y"))
-    high = near.join(land.select("x", "y", "h"), ["x", "y"]).filter(C("h") - C("level") >= threshold)
+    high = near.join(by_shuffle(land.select("x", "y", "h")), ["x", "y"]).filter(C("h") - C("level") >= threshold)
     return high.select("x", "y", F.lit(False).alias("is_water")).union(high.select("wx", "wy", F.lit(True))).distinct()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.constants import MANGROVE_COVER, NO_COVER, SNOW_COVER, WATER_COVER
 from geoloom.functions.scalar import upper_trim
+from geoloom.operators.storage import by_shuffle
 
 C = F.col
 
@@ -18,7 +19,7 @@ C = F.col
 def sample_nearest(points: DataFrame, tiles: DataFrame, size: int, out: str = "v", px: str = "x", py: str = "y") -> DataFrame:
     """Points with the value of their pixel; null outside and where a tile is missing."""
     keyed = points.withColumns({"_tx": F.floor(C(px) / size), "_ty": F.floor(C(py) / size), "_i": (F.pmod(F.floor(px), F.lit(size)) + F.pmod(F.floor(py), F.lit(size)) * size + 1).cast("int")})
-    found = keyed.join(tiles.select(C("tx").alias("_tx"), C("ty").alias("_ty"), C("values").alias("_values")), ["_tx", "_ty"], "left")
+    found = keyed.join(by_shuffle(tiles.select(C("tx").alias("_tx"), C("ty").alias("_ty"), C("values").alias("_values"))), ["_tx", "_ty"], "left")
     return found.withColumn(out, F.try_element_at("_values", "_i")).drop("_tx", "_ty", "_i", "_values")
 
 
@@ -41,7 +42,7 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, size: int, width: int,
             corners.append(F.struct(F.lit(True).alias("wide"), edge(C("_x0"), width, dx).alias("x"), edge(C("_y0"), height, dy).alias("y"), w.alias("w")))
             corners.append(F.struct(F.lit(False).alias("wide"), F.least(tile(C("_x0"), dx), F.lit(width - 1)).alias("x"), F.least(tile(C("_y0"), dy), F.lit(height - 1)).alias("y"), w.alias("w")))
     wanted = base.select(*own, F.explode(F.array(*corners)).alias("c")).select(*own, "c.*")
-    got = wanted.join(cells.select("x", "y", C(value).alias("_value")), ["x", "y"], "left")
+    got = wanted.join(by_shuffle(cells.select("x", "y", C(value).alias("_value"))), ["x", "y"], "left")
     sums = got.groupBy(*own).agg(*[f for wide in (True, False) for f in (F.sum(F.when(C("wide") == wide, C("w") * C("_value"))).alias(f"s{wide}"), F.count(F.when(C("wide") == wide, C("_value"))).alias(f"n{wide}"))])
     value = F.when(C("nTrue") == 4, C("sTrue")).when(C("nFalse") == 4, C("sFalse")).alias("value")
     return sums.select(key, value, F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).select(key, "value")
@@ -58,7 +59,7 @@ def sample_pyramid(points: DataFrame, fine: DataFrame, coarse: DataFrame, size:
 def sample_tristate(points: DataFrame, tiles: DataFrame, size: int, in_range: Column) -> DataFrame:
     """Land flag: null out of range, false where no tile is listed, else whether the pixel is positive."""
     keyed = points.withColumns({"_tx": F.floor(C("x") / size), "_ty": F.floor(C("y") / size), "_i": (F.pmod("x", F.lit(size)) + F.pmod("y", F.lit(size)) * size + 1).cast("int")})
-    found = keyed.join(tiles.select(C("tx").alias("_tx"), C("ty").alias("_ty"), C("values").alias("_values"), F.lit(True).alias("_listed")), ["_tx", "_ty"], "left")
+    found = keyed.join(by_shuffle(tiles.select(C("tx").alias("_tx"), C("ty").alias("_ty"), C("values").alias("_values"), F.lit(True).alias("_listed"))), ["_tx", "_ty"], "left")
     land = F.when(~in_range, F.lit(None).cast("boolean")).when(C("_listed").isNull(), F.lit(False)).otherwise(F.coalesce(F.try_element_at("_values", "_i") > 0, F.lit(False)))
     return found.withColumn("is_land", land).drop("_tx", "_ty", "_i", "_values", "_listed")
 
@@ -143,7 +144,7 @@ def nearest_valid(points: DataFrame, cells: DataFrame, r: int, value: str = "v",
 
     kind = valid.schema["_v"].dataType.simpleString()
     near = own.groupBy("bx", "by").cogroup(around.groupBy("bx", "by")).applyInArrow(search, f"x long, y long, _v {kind}, _d long, _k long")
-    best = points.select(key, "x", "y").join(near, ["x", "y"]).groupBy(key).agg(F.min_by("_v", F.struct("_d", "_k")).alias("value"))
+    best = points.select(key, "x", "y").join(by_shuffle(near), ["x", "y"]).groupBy(key).agg(F.min_by("_v", F.struct("_d", "_k")).alias("value"))
     return points.select(key).distinct().join(best, key, "left")
 
 

@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side that grows with the input, so that its join goes by shuffle and sort.
+
+    Spark takes a table for as large as its compressed files, and an exploded one for as large as before, so it would broadcast
+    millions of rows that it estimates under its threshold.
+    """
+    return df.hint("merge")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written to the folder that the cluster shares and read again, so that loops keep no lineage."""
     spark = df.sparkSession

@@ -11,7 +11,7 @@ from geoloom.functions import scalar as s
 from geoloom.operators.focal import smooth_bed
 from geoloom.operators.graph import allocate, cliff_edges, is_river, shore_cells
 from geoloom.operators.sampling import offsets
-from geoloom.operators.storage import drop_stored, stored
+from geoloom.operators.storage import by_shuffle, drop_stored, stored
 
 C = F.col
 DRY, INLAND, OCEAN = 0, 1, 2
@@ -38,7 +38,7 @@ def water_cells(labelled: DataFrame, judged: DataFrame, rules: WaterRules) -> Da
     """(x, y, elev_m, comp, ocean, level) of labelled water. A river lies no higher than its highest cell; other water lies at its component's surface."""
     rivers = is_river(judged, rules.river_length, rules.river_width)
     level = F.when(C("is_ocean"), F.lit(rules.sea)).when(C("river"), s.river_surface(C("surface"), C("high"))).otherwise(C("surface")).cast("bigint")
-    return labelled.select("x", "y", "elev_m", "comp").join(rivers.select("comp", C("is_ocean").alias("ocean"), level.alias("level")), "comp")
+    return labelled.select("x", "y", "elev_m", "comp").join(by_shuffle(rivers.select("comp", C("is_ocean").alias("ocean"), level.alias("level"))), "comp")
 
 
 def blended(water: DataFrame, land: DataFrame, distance: int, width: int) -> DataFrame:
@@ -46,9 +46,9 @@ def blended(water: DataFrame, land: DataFrame, distance: int, width: int) -> Dat
     half = 1 << (LEVEL_BITS - 1)
     source = F.shiftleft(C("y") * width + C("x"), LEVEL_BITS) + C("level") + half
     beside = water.select(source.alias("source"), "x", "y", offsets(SIDES, "dx", "dy").alias("o")).select((C("x") + C("o.dx")).alias("x"), (C("y") + C("o.dy")).alias("y"), "source")
-    shore = land.select("x", "y").join(beside.groupBy("x", "y").agg(F.min("source").alias("source")), ["x", "y"])
+    shore = land.select("x", "y").join(by_shuffle(beside.groupBy("x", "y").agg(F.min("source").alias("source"))), ["x", "y"])
     level = F.pmod(C("source"), F.lit(1 << LEVEL_BITS)) - half
-    near = allocate(land.select("x", "y"), shore, distance).join(land, ["x", "y"])
+    near = allocate(land.select("x", "y"), shore, distance).join(by_shuffle(land), ["x", "y"])
     return near.select("x", "y", s.shore_blend(C("cost"), level, C("elev_m"), distance).alias("h"), "elev_m").filter("h < elev_m").drop("elev_m")
 
 
@@ -62,27 +62,27 @@ def water_region(cells: DataFrame, labelled: DataFrame, judged: DataFrame, width
     """
     rules = rules or WaterRules()
     wet = stored(water_cells(labelled, judged, rules))
-    dry = cells.select("x", "y", "elev_m").join(wet.select("x", "y"), ["x", "y"], "left_anti")
+    dry = cells.select("x", "y", "elev_m").join(by_shuffle(wet.select("x", "y")), ["x", "y"], "left_anti")
     cliffs = stored(cliff_edges(wet, dry.withColumnRenamed("elev_m", "h"), rules.cliff))
     inland = wet.filter(~C("ocean"))
     shore = shore_cells(inland.select("x", "y")).select("x", "y", F.lit(0).cast("bigint").alias("source"))
     cost = allocate(inland.select("x", "y"), shore, rules.shore_limit).select("x", "y", "cost")
     edge = cliffs.filter("is_water").select("x", "y", F.lit(True).alias("_cliff"))
-    placed = wet.join(edge, ["x", "y"], "left").join(cost, ["x", "y"], "left").withColumn("cliff", F.coalesce("_cliff", F.lit(False)))
+    placed = wet.join(by_shuffle(edge), ["x", "y"], "left").join(by_shuffle(cost), ["x", "y"], "left").withColumn("cliff", F.coalesce("_cliff", F.lit(False)))
     reached = F.coalesce("cost", F.lit(rules.shore_limit * 10))
     floor = s.water_floor(C("elev_m"), C("level"), C("ocean"), C("cliff"), s.inland_depth(reached / 10.0, C("x"), C("y")))
     beds = stored(placed.select("x", "y", "comp", "ocean", "level", "cliff", "cost", floor.alias("floor"), F.when(~C("cliff"), reached).alias("width")))
     smooth = smooth_bed(beds.filter(~C("ocean")).withColumnRenamed("level", "water"), width="width")
-    lake = beds.filter(~C("ocean")).join(smooth, ["x", "y"]).select("x", "y", F.lit(INLAND).alias("kind"), C("level").alias("water"), C("bed").alias("terrain"))
+    lake = beds.filter(~C("ocean")).join(by_shuffle(smooth), ["x", "y"]).select("x", "y", F.lit(INLAND).alias("kind"), C("level").alias("water"), C("bed").alias("terrain"))
     sea = beds.filter("ocean").select("x", "y", F.lit(OCEAN).alias("kind"), C("level").alias("water"), C("floor").alias("terrain"))
-    soft = dry if rules.blend_cliffs else dry.join(cliffs.filter(~C("is_water")).select("x", "y"), ["x", "y"], "left_anti")
+    soft = dry if rules.blend_cliffs else dry.join(by_shuffle(cliffs.filter(~C("is_water")).select("x", "y")), ["x", "y"], "left_anti")
     soft = stored(soft)
     low = blended(inland, soft, rules.inland_blend, width).withColumnRenamed("h", "_inland") if rules.inland_blend > 0 else None
     lower = blended(wet.filter("ocean"), soft, rules.ocean_blend, width).withColumnRenamed("h", "_ocean") if rules.ocean_blend > 0 else None
     ground, heights = dry, [C("elev_m")]
     for name, table in (("_inland", low), ("_ocean", lower)):
         if table is not None:
-            ground, heights = ground.join(table, ["x", "y"], "left"), [C(name), *heights]
+            ground, heights = ground.join(by_shuffle(table), ["x", "y"], "left"), [C(name), *heights]
     height = F.coalesce(*heights).cast("bigint")
     shores = ground.select("x", "y", F.lit(DRY).alias("kind"), height.alias("water"), height.alias("terrain"))
     out = stored(lake.union(sea).union(shores).withColumn("kind", C("kind").cast("bigint")))
