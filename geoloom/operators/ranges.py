@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.sampling import offsets
-from geoloom.operators.storage import stored
+from geoloom.operators.storage import by_shuffle, stored
 
 C = F.col
 
@@ -34,7 +34,7 @@ def carried(nodes: DataFrame, what: str, by: tuple[str, ...] = (), bits: int | N
     above = carried(placed.groupBy(*by, C("_up").alias("k")).agg(one.alias("v")), what, by, bits - LEVEL_BITS)
     above = above.select(*by, C("k").alias("_up"), C("b").alias("_b"))
     both = F.coalesce("b", "_b") if what == "last" else F.coalesce("b", F.lit(0)) + F.coalesce("_b", F.lit(0))
-    return placed.join(above, [*by, "_up"]).withColumn("b", both).drop("_up", "_b")
+    return placed.join(by_shuffle(above), [*by, "_up"]).withColumn("b", both).drop("_up", "_b")
 
 
 def asof_lookup(ids: DataFrame, directory: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -93,8 +93,8 @@ def apply_box_caps(cells: DataFrame, boxes: DataFrame, min_y: int, height: str =
     binned = ranked.select("*", spread("min_x", "max_x").alias("_bx")).withColumn("_by", spread("min_y", "max_y"))
     nodes = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), node("x", n).alias("_bx"), node("y", n).alias("_by")) for n in levels])) if levels else F.lit(None).cast("struct<_level:int,_bx:bigint,_by:bigint>")
     placed = cells.select("x", "y", nodes.alias("_n")).select("x", "y", "_n.*")
-    caps = placed.join(binned, ["_level", "_bx", "_by"]).filter("x between min_x and max_x and y between min_y and max_y").groupBy("x", "y").agg(F.min("_cap").alias("cap"))
-    out = cells.join(caps, ["x", "y"], "left")
+    caps = placed.join(by_shuffle(binned), ["_level", "_bx", "_by"]).filter("x between min_x and max_x and y between min_y and max_y").groupBy("x", "y").agg(F.min("_cap").alias("cap"))
+    out = cells.join(by_shuffle(caps), ["x", "y"], "left")
     return out.withColumns({"lowered": F.coalesce(C("cap") < C(height), F.lit(False)), height: F.least(C(height), "cap")}).drop("cap")
 
 
@@ -102,15 +102,15 @@ def tiles_near(tiles: DataFrame, cells: DataFrame, size: int, pad: int) -> DataF
     """Tiles that have one of ``cells`` inside or within ``pad`` of them."""
     reach = cells.select(F.explode(F.sequence(F.floor((C("x") - pad) / size), F.floor((C("x") + pad) / size))).alias("tx"), "y")
     reach = reach.select("tx", F.explode(F.sequence(F.floor((C("y") - pad) / size), F.floor((C("y") + pad) / size))).alias("ty")).distinct()
-    return tiles.join(reach, ["tx", "ty"], "left_semi")
+    return tiles.join(by_shuffle(reach), ["tx", "ty"], "left_semi")
 
 
 def exclude_near(sites: DataFrame, cells: DataFrame, r: int) -> DataFrame:
     """Sites with none of ``cells`` in the square of radius r around them."""
     size = 2 * r + 1
     reach = sites.select("x", "y", bins_of("x", r, size).alias("_bx")).withColumn("_by", bins_of("y", r, size))
-    close = reach.join(cells.select(C("x").alias("_x"), C("y").alias("_y"), F.floor(C("x") / size).alias("_bx"), F.floor(C("y") / size).alias("_by")), ["_bx", "_by"]).filter((F.abs(C("x") - C("_x")) <= r) & (F.abs(C("y") - C("_y")) <= r))
-    return sites.join(close.select("x", "y").distinct(), ["x", "y"], "left_anti")
+    close = by_shuffle(reach).join(cells.select(C("x").alias("_x"), C("y").alias("_y"), F.floor(C("x") / size).alias("_bx"), F.floor(C("y") / size).alias("_by")), ["_bx", "_by"]).filter((F.abs(C("x") - C("_x")) <= r) & (F.abs(C("y") - C("_y")) <= r))
+    return sites.join(by_shuffle(close.select("x", "y").distinct()), ["x", "y"], "left_anti")
 
 
 def bins_of(c: str, r: int, size: int) -> Column:
@@ -124,10 +124,12 @@ def nearest_site(points: DataFrame, sites: DataFrame, size: int, key: str = "poi
     the first in scan order of the bins wins.
     """
     nine = [(dx, dz, k) for k, (dz, dx) in enumerate((dz, dx) for dz in (-1, 0, 1) for dx in (-1, 0, 1))]
-    wanted = points.select(key, "x", "y", offsets(nine, "dx", "dz", "k").alias("o")).select(key, "x", "y", (F.floor(C("x") / size) + C("o.dx")).alias("bx"), (F.floor(C("y") / size) + C("o.dz")).alias("bz"), "o.k")
-    met = wanted.join(sites, ["bx", "bz"]).withColumn("d", F.abs(C("x") - C("sx")) + F.abs(C("y") - C("sz"))).filter("d <= radius")
+    # sites are sent to the bins that see them: they are fewer than the points
+    seen = sites.select("*", offsets(nine, "dx", "dz", "k").alias("o")).select((C("bx") - C("o.dx")).alias("bx"), (C("bz") - C("o.dz")).alias("bz"), "site_id", "sx", "sz", "radius", "o.k")
+    placed = points.select(key, "x", "y", F.floor(C("x") / size).alias("bx"), F.floor(C("y") / size).alias("bz"))
+    met = placed.join(by_shuffle(seen), ["bx", "bz"]).withColumn("d", F.abs(C("x") - C("sx")) + F.abs(C("y") - C("sz"))).filter("d <= radius")
     best = met.groupBy(key).agg(F.min(F.struct("d", "k", "site_id")).alias("b")).select(key, C("b.site_id").alias("site_id"), C("b.d").alias("dist"))
-    return points.select(key).join(best, key, "left")
+    return points.select(key).join(by_shuffle(best), key, "left")
 
 
 def k_ring(keys: DataFrame, r: int) -> DataFrame:
@@ -150,7 +152,7 @@ def ancestor_fallback(keys: DataFrame, have: DataFrame, stop_zoom: int = 2) -> D
     ok = C("x").between(0, side - 1) & C("y").between(0, side - 1)
     up = keys.filter(ok).select("z", "x", "y", F.explode(F.sequence(F.lit(0), F.greatest(C("z") - stop_zoom, F.lit(0)).cast("int"))).alias("k"))
     up = up.select("z", "x", "y", (C("z") - C("k")).alias("az"), F.call_function("shiftright", "x", "k").alias("ax"), F.call_function("shiftright", "y", "k").alias("ay"))
-    met = up.join(have.select(C("z").alias("az"), C("x").alias("ax"), C("y").alias("ay")), ["az", "ax", "ay"])
+    met = by_shuffle(up).join(have.select(C("z").alias("az"), C("x").alias("ax"), C("y").alias("ay")), ["az", "ax", "ay"])
     return met.groupBy("z", "x", "y").agg(F.max(F.struct("az", "ax", "ay")).alias("b")).select("z", "x", "y", "b.*")
 
 
@@ -161,7 +163,7 @@ def neighbors(cells: DataFrame, k: int = 8) -> DataFrame:
     """(x, y, nx, ny, cost): pairs of cells that touch, at sides (k = 4) or also corners."""
     table = [o for o in EIGHT if k == 8 or o[2] == 10]
     out = cells.select("x", "y", offsets(table, "dx", "dy", "c").alias("o")).select("x", "y", (C("x") + C("o.dx")).alias("nx"), (C("y") + C("o.dy")).alias("ny"), C("o.c").alias("cost"))
-    return out.join(cells.select(C("x").alias("nx"), C("y").alias("ny")), ["nx", "ny"]).select("x", "y", "nx", "ny", "cost")
+    return by_shuffle(out).join(cells.select(C("x").alias("nx"), C("y").alias("ny")), ["nx", "ny"]).select("x", "y", "nx", "ny", "cost")
 
 
 def viewport_tiles(df: DataFrame, key: str, cam_x: Column, cam_y: Column, width: Column, height: Column, px: int = 256) -> DataFrame:
@@ -185,7 +187,7 @@ def named_by_rules(ids: DataFrame, rules: DataFrame, col: str = "id") -> DataFra
     starts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))), lambda i: F.substring(C("_id"), i, F.lit(n)))
     grams = names.select("_id", F.explode(F.array_distinct(F.concat(starts(1), starts(2), starts(3)))).alias("_gram"))
     match = ((C("kind") == "equals") & (C("_id") == C("pattern"))) | ((C("kind") == "prefix") & F.startswith("_id", "pattern")) | ((C("kind") == "contains") & F.contains("_id", "pattern"))
-    return grams.join(off, "_gram").filter(match).select("_id").union(plain).distinct()
+    return by_shuffle(grams).join(off, "_gram").filter(match).select("_id").union(plain).distinct()
 
 
 def filter_by_rules(ids: DataFrame, rules: DataFrame, col: str = "id") -> DataFrame:

@@ -11,6 +11,7 @@ from geoloom.functions import hashing as h
 from geoloom.functions import project as p
 from geoloom.operators import ranges as r
 from geoloom.operators import sampling as m
+from geoloom.operators.storage import by_shuffle
 from geoloom.plans.fixtures import fixture, oracle, rules
 from geoloom.plans.registry import query
 from geoloom.plans.scalar_queries import CODES, hash32_sql
@@ -210,7 +211,7 @@ def stratified_sites(spark: SparkSession, d: str) -> DataFrame:
 def site_radius_height(spark: SparkSession, d: str) -> DataFrame:
     cells = fixture(spark, d, "cells")
     params = F.broadcast(spark.createDataFrame([(10, 6, 3), (20, 2, 2), (30, 1, 4)], "cover int, tall int, wide int"))  # one row for each kind
-    placed = sites(cells, 8, 60, SALT).join(cells.select(C("x").alias("sx"), C("y").alias("sz"), "cover"), ["sx", "sz"]).join(params, "cover", "left")
+    placed = sites(cells, 8, 60, SALT).join(by_shuffle(cells.select(C("x").alias("sx"), C("y").alias("sz"), "cover")), ["sx", "sz"]).join(params, "cover", "left")
     return placed.select("site_id", C("cover").cast("bigint").alias("cover"), (F.coalesce("tall", F.lit(1)) + F.shiftrightunsigned(C("site_id").cast("int"), 16) % 4).cast("bigint").alias("height"), F.coalesce("wide", F.lit(1)).cast("bigint").alias("width"))
 
 
