@@ -14,6 +14,7 @@ from geoloom.operators import ranges as r
 from geoloom.operators import sampling as m
 from geoloom.operators import water as wt
 from geoloom.operators import windows as w
+from geoloom.operators.storage import by_shuffle
 from geoloom.plans.fixtures import fixture, oracle, rules
 from geoloom.plans.join_queries import CLASS, CODE, SALT, SITES, layer, sites
 from geoloom.plans.registry import query
@@ -77,7 +78,7 @@ def gate_tiles(spark: SparkSession, d: str) -> DataFrame:
 def resample_stride(spark: SparkSession, d: str) -> DataFrame:
     base = cells(spark, d)
     cover = f.resample_stride(base, 4, "cover", C("cover") == 80).withColumn("cover", C("cover").cast("bigint"))
-    return cover.join(f.resample_stride(base, 4, "elev_m"), ["x", "y"])
+    return cover.join(by_shuffle(f.resample_stride(base, 4, "elev_m")), ["x", "y"])
 
 
 @query("forward_diff", oracle("select x, y, coalesce(lead(elev_m) over (partition by y order by x) - elev_m, 0) as dx, coalesce(lead(elev_m) over (partition by x order by y) - elev_m, 0) as dy from cells", "cells"))
@@ -151,7 +152,7 @@ def seeds(spark: SparkSession, d: str, lab: DataFrame) -> DataFrame:
     land = cells(spark, d).filter(f"not ({WATER}) and elev_m <= 2").select("x", "y")
     sides = m.offsets([(1, 0), (-1, 0), (0, 1), (0, -1)], "dx", "dy")
     low = lab.filter("elev_m <= 2 and cover <> 0").select("comp", C("x").alias("sx"), C("y").alias("sy"), sides.alias("o"))
-    near = low.select("comp", "sx", "sy", (C("sx") + C("o.dx")).alias("x"), (C("sy") + C("o.dy")).alias("y")).join(land, ["x", "y"], "left_semi")
+    near = low.select("comp", "sx", "sy", (C("sx") + C("o.dx")).alias("x"), (C("sy") + C("o.dy")).alias("y")).join(by_shuffle(land), ["x", "y"], "left_semi")
     return near.select(C("sx").alias("x"), C("sy").alias("y"), "comp").distinct()
 
 
@@ -242,7 +243,7 @@ def cost_allocation(spark: SparkSession, d: str) -> DataFrame:
 def shore_blend(spark: SparkSession, d: str) -> DataFrame:
     base = cells(spark, d)
     level = base.select((C("y") * 128 + C("x")).alias("source"), C("elev_m").alias("level"))
-    near = land_near_water(spark, d).join(base.select("x", "y", "elev_m"), ["x", "y"]).join(level, "source")
+    near = land_near_water(spark, d).join(by_shuffle(base.select("x", "y", "elev_m")), ["x", "y"]).join(by_shuffle(level), "source")
     return near.select("x", "y", s.shore_blend(C("cost"), C("level"), C("elev_m"), 3).alias("h"))
 
 
@@ -293,7 +294,7 @@ def first_source(spark: SparkSession, d: str) -> DataFrame:
     base = cells(spark, d)
     sides = m.offsets([(1, 0), (-1, 0), (0, 1), (0, -1)], "dx", "dy")
     sent = base.filter("cover = 80").select(C("x").alias("wx"), C("y").alias("wy"), C("elev_m").alias("level"), sides.alias("o"))
-    met = sent.select((C("wx") + C("o.dx")).alias("x"), (C("wy") + C("o.dy")).alias("y"), "wx", "wy", "level").join(base.filter("cover <> 80").select("x", "y"), ["x", "y"], "left_semi")
+    met = sent.select((C("wx") + C("o.dx")).alias("x"), (C("wy") + C("o.dy")).alias("y"), "wx", "wy", "level").join(by_shuffle(base.filter("cover <> 80").select("x", "y")), ["x", "y"], "left_semi")
     return m.first_source(met, ["x", "y"], ["wy", "wx"]).select("x", "y", "level")
 
 
@@ -366,11 +367,11 @@ def surface_at_points(spark: SparkSession, d: str) -> DataFrame:
     """Ground, water floor, water level and target height at each point."""
     pts = fixture(spark, d, "points").select("point_id", "x", "y")
     lab = g.stored(labelled(spark, d))
-    wet = g.stored(pts.join(lab.select("x", "y", "comp"), ["x", "y"]).select("point_id", "comp"))
+    wet = g.stored(pts.join(by_shuffle(lab.select("x", "y", "comp")), ["x", "y"]).select("point_id", "comp"))
     asked = lab.join(wet.select("comp").distinct(), "comp", "left_semi")
     comps = judge(spark, d, asked)
-    level = wet.join(comps.select("comp", "is_ocean", "surface"), "comp").drop("comp")
-    at = pts.join(cells(spark, d).select("x", "y", "elev_m"), ["x", "y"]).join(level, "point_id", "left")
+    level = wet.join(by_shuffle(comps.select("comp", "is_ocean", "surface")), "comp").drop("comp")
+    at = pts.join(by_shuffle(cells(spark, d).select("x", "y", "elev_m")), ["x", "y"]).join(by_shuffle(level), "point_id", "left")
     floor = F.coalesce(F.when(C("surface").isNotNull(), s.water_floor(C("elev_m"), C("surface"), C("is_ocean"), F.lit(False), F.lit(1))), C("elev_m"))
     return at.select("point_id", C("elev_m").alias("terrain"), floor.alias("floor"), C("surface").alias("water"), (F.greatest(C("elev_m"), F.coalesce("surface", "elev_m")) + 1).alias("target"))
 
@@ -380,7 +381,7 @@ def water_surface(spark: SparkSession, d: str) -> DataFrame:
     """Every water cell with its kind, level and floor."""
     lab, comps = judged(spark, d)
     cost = distances(spark, d).select("x", "y", "cost")
-    both = lab.join(comps.select("comp", "is_ocean", "surface"), "comp").join(cost, ["x", "y"], "left")
+    both = lab.join(by_shuffle(comps.select("comp", "is_ocean", "surface")), "comp").join(by_shuffle(cost), ["x", "y"], "left")
     depth = s.inland_depth(F.coalesce("cost", F.lit(60)) / 10.0, C("x"), C("y"))
     return both.select("x", "y", "is_ocean", "surface", s.water_floor(C("elev_m"), C("surface"), C("is_ocean"), F.lit(False), depth).alias("floor"))
 
@@ -427,8 +428,8 @@ def column_table(spark: SparkSession, d: str) -> DataFrame:
     base = cells(spark, d)
     capped = r.apply_box_caps(base, fixture(spark, d, "boxes").filter("kind <> 0"), -30)
     kinds = base.select("x", "y", "cover", climate_code(C("koppen")).alias("climate"), ((C("cover") == 0) & (C("elev_m") <= 0)).alias("is_ocean"))
-    named = capped.select("x", "y", "elev_m", "lowered").join(m.classify(kinds, rules(spark)).select("x", "y", "class"), ["x", "y"])
-    return named.join(f.focal_slope(base), ["x", "y"]).select("x", "y", C("elev_m").alias("height"), F.when(C("lowered"), 0).otherwise(C("slope")).cast("bigint").alias("slope"), "class")
+    named = capped.select("x", "y", "elev_m", "lowered").join(by_shuffle(m.classify(kinds, rules(spark)).select("x", "y", "class")), ["x", "y"])
+    return named.join(by_shuffle(f.focal_slope(base)), ["x", "y"]).select("x", "y", C("elev_m").alias("height"), F.when(C("lowered"), 0).otherwise(C("slope")).cast("bigint").alias("slope"), "class")
 
 
 PREVIEW = f"pv as (select x, y, elev_m, coalesce(lead(elev_m) over (partition by y order by x) - elev_m, 0) as dx, coalesce(lead(elev_m) over (partition by x order by y) - elev_m, 0) as dy from cells), pz as (select *, elev_m*1.0::double as v, -elev_m*1.0::double as m from pv)"
@@ -445,7 +446,7 @@ def preview_table(spark: SparkSession, d: str) -> DataFrame:
 def lod_table(spark: SparkSession, d: str) -> DataFrame:
     """Ground and water layers of every cell at a coarse cover."""
     cover = f.resample_stride(cells(spark, d), 4, "cover", C("cover") == 80)
-    quick = cover.join(cells(spark, d).select("x", "y", "elev_m"), ["x", "y"]).select("x", "y", s.quick_water(C("cover"), C("elev_m")).alias("q"))
+    quick = cover.join(by_shuffle(cells(spark, d).select("x", "y", "elev_m")), ["x", "y"]).select("x", "y", s.quick_water(C("cover"), C("elev_m")).alias("q"))
     layers = F.array(F.struct(F.lit(0).cast("bigint").alias("k"), (C("q.terrain") + 64).alias("h")), F.struct(F.lit(1).cast("bigint").alias("k"), (C("q.water") - C("q.terrain")).alias("h")))
     return w.stack_layers(quick.select("x", "y", F.explode(layers).alias("l")).select("x", "y", "l.*"), ["x", "y"], "k", "h", 200).select("x", "y", "k", "lo", "hi")
 
