@@ -35,6 +35,8 @@ REMEMBERED, REMEMBERED_PAIRS = 150_000, 50_000
 #: Blocks of long pieces that a worker remembers, of up to so many bytes in all.
 BLOCK_MEMORY = 1 << 20
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
+#: Code points that are classed at once; surrogates are a whole number of such blocks.
+CODE_BLOCK = 0x800
 
 
 class BytePairs:
@@ -155,12 +157,14 @@ def load(path: str) -> BytePairs:
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """Class of each code point as the pattern sees it."""
-    every = "".join(map(chr, [*range(0xD800), *[0x3F] * 0x800, *range(0xE000, 0x110000)]))
     out = np.full(0x110000, OTHER, dtype=np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
-    out[0xD800:0xE000] = OTHER
+    for low in range(0, 0x110000, CODE_BLOCK):  # all at once take 120 MB of every worker
+        if 0xD800 <= low < 0xE000:
+            continue
+        every = "".join(map(chr, range(low, low + CODE_BLOCK)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                out[low + m.start() : low + m.end()] = kind
     return out
 
 
