@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.shared import chunks, releasing, stage, unsliced
+from geoloom.llm.shared import chunks, releasing, stage, unsliced, unstage
 
 CHUNK_BYTES = 4 << 20
 BUCKETS, RUN = 10_000, 3
@@ -105,11 +105,13 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("double")
     gumbel = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296)))
-    scored = rows.withColumn("score", F.col("weight") + gumbel)
+    # written before they are ranged: a range partitioning reads its rows twice, once to find its bounds
+    scored = stage(rows.withColumn("score", F.col("weight") + gumbel), "resample-scores")
     # ranges in the order of the ranks, written once so that a row keeps its place
     order = [F.desc("score"), F.asc("doc_id"), F.desc("weight")]
     ranges = scored.repartitionByRange(F.col("enough").desc(), *order).sortWithinPartitions(F.col("enough").desc(), *order)
     placed = stage(ranges.withColumn("_at", F.monotonically_increasing_id()), "resample-order")
+    unstage(scored)
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     parts = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.sum(F.col("enough").cast("long")).alias("n"))  # one row for each range
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

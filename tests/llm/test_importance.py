@@ -84,3 +84,17 @@ def test_empty_tables(spark):
 def test_one_very_long_text(spark):
     rows = [(1, "ab cd ef " * 60_000), (2, "x" * 300_000)]
     assert result(importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "cd ef")], "item_id long, text string"))) == brute(rows, ["cd ef"])
+
+
+def test_texts_are_read_twice_only(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('some words of text ', id) as text").mapInArrow(counted, "doc_id long, text string")
+    target = spark.createDataFrame([("some words",)], "text string")
+    assert len(importance.resample(docs, target).collect()) == 300
+    assert read.value == 600
