@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,36 +214,92 @@ def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return place[starts]
 
 
-def coded_pieces(column: pa.Array, encode_piece: Callable[[bytes], list[int]], memory: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-    """Text offsets, start of each piece, its code, and the ids of each code; a piece is encoded once while it is remembered."""
+#: Ids of different pieces, end to end, and how many each has.
+PieceEncoder = Callable[[pa.LargeBinaryArray], tuple[np.ndarray, np.ndarray]]
+
+
+def one_by_one(encode_piece: Callable[[bytes], list[int]], memory: dict[bytes, list[int]]) -> PieceEncoder:
+    """Each piece by ``encode_piece``, once while it is remembered."""
+
+    def run(pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        table: list[list[int]] = []
+        for piece in pieces.to_pylist():
+            ids = memory.get(piece)
+            if ids is None:
+                ids = encode_piece(piece)
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                memory[piece] = ids
+            table.append(ids)
+        lengths = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
+        return np.fromiter(chain.from_iterable(table), dtype=np.int32, count=int(lengths.sum())), lengths
+
+    return run
+
+
+#: The pattern of a library's encoder for ``in_bulk``.
+BETWEEN_ZEROS = r"[^\x00]+|\x00"
+#: Pieces up to so many bytes go to the library's encoder, whose time grows with the square of a run.
+LIBRARY_BYTES = 1000
+
+
+def in_bulk(library: tiktoken.Encoding, encode_long: Callable[[bytes], list[int]]) -> PieceEncoder:
+    """All pieces by one call of a library's encoder that cuts by ``BETWEEN_ZEROS``: they are laid out with a zero byte after each.
+
+    Pieces of over ``LIBRARY_BYTES`` are encoded by ``encode_long``, and so are those that hold a zero byte.
+    """
+    zero = library.encode_single_token(b"\0")
+
+    def run(pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        raw, at = piece_bytes(pieces)
+        zeros = np.searchsorted(np.flatnonzero(raw == 0), at)
+        alone = (np.diff(at) > LIBRARY_BYTES) | (np.diff(zeros) > 0)
+        if alone.any():
+            raw, at = piece_bytes(pieces.filter(pa.array(~alone)))
+        laid = library.encode_ordinary(np.insert(raw, at[1:], 0).tobytes().decode())
+        laid = np.fromiter(laid, dtype=np.int32, count=len(laid))
+        ends = laid == zero
+        flat, n = laid[~ends], np.diff(np.flatnonzero(ends), prepend=-1) - 1
+        if not alone.any():
+            return flat, n
+        others = [encode_long(piece) for piece in pieces.filter(pa.array(alone)).to_pylist()]
+        lengths = np.zeros(len(pieces), np.int64)
+        lengths[~alone], lengths[alone] = n, [len(ids) for ids in others]
+        of_alone = np.repeat(alone, lengths)
+        out = np.empty(len(of_alone), np.int32)
+        out[~of_alone], out[of_alone] = flat, list(chain.from_iterable(others))
+        return out, lengths
+
+    return run
+
+
+def piece_bytes(pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all pieces end to end, and their offsets."""
+    _, offsets, data = pieces.buffers()
+    at = np.frombuffer(offsets, np.int64)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
+def coded_pieces(column: pa.Array, encoder: PieceEncoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text offsets, start of each piece, its code, and the ids of all codes end to end with how many each has."""
     raw, at = text_bytes(column)
     starts = piece_starts(raw, at)
     offsets = np.append(starts, len(raw))
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-    table: list[list[int]] = []
-    for piece in coded.dictionary.to_pylist():
-        ids = memory.get(piece)
-        if ids is None:
-            ids = encode_piece(piece)
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            memory[piece] = ids
-        table.append(ids)
-    return at, starts, coded.indices.to_numpy().astype(np.int64), table
-
-
-def count_ids(column: pa.Array, encode_piece: Callable[[bytes], list[int]], memory: dict[bytes, list[int]]) -> int:
+    return at, starts, coded.indices.to_numpy().astype(np.int64), *encoder(coded.dictionary)
+
+
+def count_ids(column: pa.Array, encoder: PieceEncoder) -> int:
     """Number of ids of all texts."""
-    _, _, codes, table = coded_pieces(column, encode_piece, memory)
-    return int(np.fromiter(map(len, table), dtype=np.int64, count=len(table))[codes].sum())
+    _, _, codes, _, lengths = coded_pieces(column, encoder)
+    return int(lengths[codes].sum())
 
 
-def encode_texts(column: pa.Array, encode_piece: Callable[[bytes], list[int]], memory: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(column: pa.Array, encoder: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts end to end, and the offset of each text."""
-    at, starts, codes, table = coded_pieces(column, encode_piece, memory)
-    lengths = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-    flat = np.fromiter(chain.from_iterable(table), dtype=np.int32, count=int(lengths.sum()))
-    begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    at, starts, codes, flat, lengths = coded_pieces(column, encoder)
+    begin = np.cumsum(lengths) - lengths
     n = lengths[codes]
     total = np.concatenate([[0], np.cumsum(n)])
     ids = flat[np.repeat(begin[codes] - total[:-1], n) + np.arange(total[-1])]
@@ -254,9 +311,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, memory = load(path), {}
+        encoder = one_by_one(load(path).encode, {})
         for part in chunks(batches, "_t", CHUNK_BYTES):
-            ids, at = encode_texts(part.column("_t"), bpe.encode, memory)
+            ids, at = encode_texts(part.column("_t"), encoder)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>")
@@ -285,7 +342,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, memory = load(path), {}
+        bpe = load(path)
+        encoder = one_by_one(bpe.encode, {})
         spoken = pa.array([f"{i}," for i in range(max(bpe.tokens) + 1)], pa.large_string())
 
         def listed(ids: np.ndarray, at: np.ndarray) -> list[str]:
@@ -295,7 +353,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             return [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(edge, edge[1:], strict=False)]
 
         for part in chunks(batches, "_t", CHUNK_BYTES):
-            ids, at = encode_texts(part.column("_t"), bpe.encode, memory)
+            ids, at = encode_texts(part.column("_t"), encoder)
             decoded = [hashlib.sha256(bpe.decode(ids[a:b].tolist())).hexdigest() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(listed(ids, at), pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

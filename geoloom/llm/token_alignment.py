@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.byte_bpe import BytePairs, encode_texts
+from geoloom.llm.byte_bpe import BETWEEN_ZEROS, LIBRARY_BYTES, BytePairs, encode_texts, in_bulk
 from geoloom.llm.shared import chunks, merged, releasing, spread, stage, text_bytes, unstage
 
 CHUNK_BYTES = 2 << 20
@@ -33,8 +33,6 @@ RANGE_BYTES, FAN = 128 << 10, 16
 HOT_PAIRS = 1 << 20
 #: Different pairs that a task counts before it sends them on.
 HELD_PAIRS = 1 << 20
-#: Pieces of A up to so many bytes go to the library's merges, longer ones to ``byte_bpe``'s, whose time doesn't grow with the square of a run.
-LIBRARY_BYTES = 1000
 #: Groups of more links than this reduce their ids first.
 LARGE_GROUP = 4096
 
@@ -76,8 +74,8 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str) -> None:
         self.bpe = BytePairs(read_vocabulary(a_path))
-        self.library = tiktoken.Encoding("pieces", pat_str=r"\s+|\S+", mergeable_ranks=self.bpe.ranks, special_tokens={})
-        self.memory: dict[bytes, list[int]] = {}
+        self.library = tiktoken.Encoding("pieces", pat_str=BETWEEN_ZEROS, mergeable_ranks=self.bpe.ranks, special_tokens={})
+        self.encoder = in_bulk(self.library, self.merges)
         self.model = sentencepiece.SentencePieceProcessor(model_file=b_path)
         ids = range(self.model.vocab_size())
         pieces = [bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace("▁", " ").encode() for i in ids]
@@ -101,7 +99,7 @@ class Aligner:
         """Groups of units of text, each of which begins with a space."""
         raw, at = text_bytes(units)
         n = len(units)
-        a, a_at = encode_texts(units, self.merges, self.memory)
+        a, a_at = encode_texts(units, self.encoder)
         lists = self.pieces(units.to_pylist())
         b_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, n))]).astype(np.int64)
         b = np.fromiter((i for ids in lists for i in ids), np.int64, int(b_at[-1]))

@@ -9,7 +9,7 @@ slot s starts at (s - first slot) * stride, so a reader resumes anywhere by seek
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from geoloom.llm.byte_bpe import count_ids, encode_texts, load
+from geoloom.llm.byte_bpe import BETWEEN_ZEROS, LIBRARY_BYTES, PieceEncoder, count_ids, encode_texts, in_bulk, load
 from geoloom.llm.shared import chunks, releasing, stage, text_bytes
 
 ROUNDS = 6
@@ -61,10 +61,6 @@ def feistel(numbers: np.ndarray, size: int, key: int, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
-#: Pieces up to so many bytes go to the library's encoder, longer ones to ``byte_bpe``'s, whose time doesn't grow with the square of a run.
-LIBRARY_BYTES = 1000
-
-
 @dataclass(frozen=True)
 class Tokens:
     """How texts become ids: the rank file and the width; the two ids after the vocabulary end a text and fill a sequence."""
@@ -80,24 +76,24 @@ class Tokens:
     def pad_id(self) -> int:
         return self.end_id + 1
 
-    def encoder(self) -> Callable[[bytes], list[int]]:
-        short, long = library(self.path)._encode_single_piece, load(self.path).encode
-        return lambda piece: short(piece) if len(piece) <= LIBRARY_BYTES else long(piece)
+    def encoder(self) -> PieceEncoder:
+        short, long = library(self.path), load(self.path).encode
+        return in_bulk(short, lambda piece: short._encode_single_piece(piece) if len(piece) <= LIBRARY_BYTES else long(piece))
 
-    def count(self, column: pa.Array, memory: dict[bytes, list[int]]) -> int:
+    def count(self, column: pa.Array, encoder: PieceEncoder) -> int:
         """Number of ids of all texts, each followed by ``end_id``."""
-        return count_ids(column, self.encoder(), memory) + len(column)
+        return count_ids(column, encoder) + len(column)
 
-    def encode(self, column: pa.Array, memory: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, encoder: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the offset of each text and of the end."""
-        ids, at = encode_texts(column, self.encoder(), memory)
+        ids, at = encode_texts(column, encoder)
         return np.insert(ids, at[1:], self.end_id).astype(self.dtype), at + np.arange(len(at))
 
 
 @lru_cache(maxsize=4)
 def library(path: str) -> tiktoken.Encoding:
-    """The library's encoder of single pieces; its pattern isn't used."""
-    return tiktoken.Encoding("pieces", pat_str=r"\s+|\S+", mergeable_ranks=load(path).ranks, special_tokens={})
+    """The library's encoder of pieces."""
+    return tiktoken.Encoding("pieces", pat_str=BETWEEN_ZEROS, mergeable_ranks=load(path).ranks, special_tokens={})
 
 
 def sequence_rows(rows: DataFrame, tokens: Tokens, stride: int, count_only: bool) -> DataFrame:
@@ -115,7 +111,7 @@ def sequence_rows(rows: DataFrame, tokens: Tokens, stride: int, count_only: bool
         part, done, digest = TaskContext.get().partitionId(), 0, hashlib.sha256()
         rest, owner = np.zeros(0, tokens.dtype), np.zeros(0, np.int64)  # ids of an unfinished sequence, and the row of each
         names: list = []  # doc_ids of the rows from ``first`` on
-        first, seen, id_type, memory = 0, 0, ids_kind, {}
+        first, seen, id_type, encoder = 0, 0, ids_kind, tokens.encoder()
 
         def sequences(ids: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
             nonlocal done
@@ -136,9 +132,9 @@ def sequence_rows(rows: DataFrame, tokens: Tokens, stride: int, count_only: bool
                 digest.update(piece.tobytes())
             id_type = batch.column("doc_id").type
             if count_only:
-                done += tokens.count(batch.column("text"), memory)
+                done += tokens.count(batch.column("text"), encoder)
                 continue
-            ids, at = tokens.encode(batch.column("text"), memory)
+            ids, at = tokens.encode(batch.column("text"), encoder)
             names += batch.column("doc_id").to_pylist()
             rest = np.concatenate([rest, ids])
             owner = np.concatenate([owner, np.repeat(np.arange(seen, seen + batch.num_rows), np.diff(at))])
