@@ -15,6 +15,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,16 +94,16 @@ class Aligner:
         return self.library._encode_single_piece(piece) if len(piece) <= LIBRARY_BYTES else self.bpe.encode(piece)
 
     def pieces(self, units: list[str]) -> list[list[int]]:
-        return [ids or [self.blank] for ids in self.model.encode([u[1:] for u in units])]
+        return [ids or [self.blank] for ids in self.model.encode([u[1:] for u in units], num_threads=1)]  # else as many as the machine has, in each task
 
-    def align(self, units: pa.Array) -> Units:
-        """Groups of units of text, each of which begins with a space."""
+    def align(self, units: pa.Array, spoken: bool = True) -> Units:
+        """Groups of units of text, each of which begins with a space; without ``spoken``, not as text."""
         raw, at = text_bytes(units)
         n = len(units)
         a, a_at = encode_texts(units, self.encoder)
         lists = self.pieces(units.to_pylist())
         b_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, n))]).astype(np.int64)
-        b = np.fromiter((i for ids in lists for i in ids), np.int64, int(b_at[-1]))
+        b = np.fromiter(chain.from_iterable(lists), np.int64, int(b_at[-1]))
         a = a.astype(np.int64)
         ok = self._same_bytes(raw, at, b, b_at)
         unit_a, unit_b = np.repeat(np.arange(n), np.diff(a_at)), np.repeat(np.arange(n), np.diff(b_at))
@@ -117,6 +118,13 @@ class Aligner:
         unit = unit_a[first_a] if len(ends) else np.zeros(0, np.int64)
         group_at = np.searchsorted(unit, np.arange(n + 1))
         links = np.concatenate([[0], np.cumsum(n_a * n_b)])[group_at]
+        pairs, occ, pair_at = self._pairs(a, group_a, n_a, first_a, b, n_b, first_b, unit, n)
+        text = self._spoken(a, a_at, group_a, n_a, first_a, b, b_at, group_b, first_b) if spoken else pa.array([b""] * n, pa.large_binary())
+        return Units(ok, np.diff(a_at), np.diff(b_at), np.diff(group_at), np.diff(links), text, pair_at, pairs, occ)
+
+    def _spoken(self, a: np.ndarray, a_at: np.ndarray, group_a: np.ndarray, n_a: np.ndarray, first_a: np.ndarray, b: np.ndarray, b_at: np.ndarray, group_b: np.ndarray, first_b: np.ndarray) -> pa.LargeBinaryArray:
+        """Groups of each unit as text."""
+        n = len(a_at) - 1
         # ids in the order in which they are written: A's of a group, then B's
         word = np.zeros(len(a) + len(b), np.int64)
         lead_a, lead_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
@@ -125,9 +133,7 @@ class Aligner:
         word[np.arange(len(b)) + (first_a + n_a)[group_b]] = np.where(lead_b, 2 * self.ids, self.ids) + b
         _, offsets, data = self.spoken.take(pa.array(word)).buffers()
         text_at = np.frombuffer(offsets, np.int64)[a_at + b_at] if len(word) else np.zeros(n + 1, np.int64)
-        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(text_at.copy()), data if len(word) else pa.py_buffer(b"")])
-        pairs, occ, pair_at = self._pairs(a, group_a, n_a, first_a, b, n_b, first_b, unit, n)
-        return Units(ok, np.diff(a_at), np.diff(b_at), np.diff(group_at), np.diff(links), text, pair_at, pairs, occ)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(text_at.copy()), data if len(word) else pa.py_buffer(b"")])
 
     def _same_bytes(self, raw: np.ndarray, at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
         """Whether B's pieces join to the unit's bytes. A's always do: it has every byte."""
@@ -145,6 +151,13 @@ class Aligner:
     def _pairs(a: np.ndarray, group_a: np.ndarray, n_a: np.ndarray, first_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, first_b: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different pairs of each unit (a << 32 | b), their occurrences, and where each unit's begin."""
         large = n_a * n_b > LARGE_GROUP
+        if len(a) and not large.any() and max(int(a.max()), int(b.max())) < 1 << 16 and n < 1 << 31:  # unit and pair are one number
+            reps = n_b[group_a]
+            key = np.repeat(unit[group_a] << 32 | a << 16, reps) | b[spread(first_b[group_a], reps)]
+            key.sort()
+            lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            occ, key = np.diff(np.append(lead, len(key))), key[lead]
+            return (key >> 16 & 0xFFFF) << 32 | key & 0xFFFF, occ, np.searchsorted(key >> 32, np.arange(n + 1))
         own = np.flatnonzero(~large[group_a])
         reps = n_b[group_a[own]]
         pairs = [np.repeat(a[own] << 32, reps) | b[spread(first_b[group_a[own]], reps)]]
@@ -197,15 +210,15 @@ class Chunk:
         return total[self.unit_at[1:]] - total[self.unit_at[:-1]]
 
 
-def read_chunk(column: pa.Array, both: Aligner) -> Chunk:
-    """Units of texts that each begin with a space; null ones have none."""
+def read_chunk(column: pa.Array, both: Aligner, spoken: bool = True) -> Chunk:
+    """Units of texts that each begin with a space; null ones have none. ``spoken``: with their groups as text."""
     raw, at = text_bytes(column)
     first = np.zeros(len(raw) + 1, bool)
     first[cuts(raw)] = first[at] = True
     starts = np.flatnonzero(first[:-1])
     offsets = np.append(starts, len(raw)).astype(np.int64)
     coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
-    return Chunk(np.searchsorted(starts, at), coded.indices.to_numpy().astype(np.int64), both.align(coded.dictionary))
+    return Chunk(np.searchsorted(starts, at), coded.indices.to_numpy().astype(np.int64), both.align(coded.dictionary, spoken))
 
 
 @dataclass(frozen=True)
@@ -343,7 +356,7 @@ def pair_counts(short: DataFrame, long: DataFrame, a_path: str, b_path: str) ->
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
         for part in chunks(batches, "_t", CHUNK_BYTES):
-            chunk = read_chunk(part.column("_t"), both)
+            chunk = read_chunk(part.column("_t"), both, spoken=False)
             u = chunk.units
             good = chunk.sums((~u.ok).astype(np.int64)) == 0
             doc = np.repeat(np.arange(len(good)), np.diff(chunk.unit_at))
