@@ -124,7 +124,9 @@ def search(index: DataFrame, named: DataFrame, within: int | None = None) -> Dat
     """
     terms = stage(named.select(F.explode("words").alias("term")).distinct().withColumn("code", F.monotonically_increasing_id()), "query-terms")
     few_terms = is_few(*extent(terms, F.length("term") + 48))
-    wanted = terms.union(terms.sparkSession.createDataFrame([(DIRECTORY, NO_TERM)], "term string, code long"))
+    # not a list of Python rows, for which each executor would start a second Python daemon with workers of its own
+    directory = terms.sparkSession.range(1).select(F.lit(DIRECTORY).alias("term"), F.lit(NO_TERM).cast("long").alias("code"))
+    wanted = terms.union(directory)
     lists = index.join(F.broadcast(wanted) if few_terms else wanted, "term").drop("term")
     held = lists.filter(F.col("code") != NO_TERM)
     sums = held.groupBy("code").agg(F.sum(F.length("postings") / 4).cast("long").alias("count"), F.count("*").alias("segments"))

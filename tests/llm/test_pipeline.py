@@ -3,9 +3,13 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom.llm import decontaminate
+from geoloom.llm.shared import BATCH_BYTES, BATCH_KEY
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -67,3 +71,26 @@ def test_stages_on_nothing_and_on_repeated_rows(spark, folder):
     repeated = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, repeated, path).collect()]
     assert sorted(left) == [(1, a), (5, b)]
+
+
+def test_stages_run_alone_take_texts_by_small_batches(spark, folder):
+    path, _, _ = folder
+    docs = spark.range(8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 400_000).alias("text")).coalesce(1)  # 2 MB a text
+
+    def largest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    for name, step in corpus_pipeline.STAGES:
+        spark.conf.unset(BATCH_KEY)
+        step(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+        seen = docs.mapInArrow(largest, "n long").agg(F.max("n")).first()[0]
+        assert seen < 2 * BATCH_BYTES, name  # it may exceed the limit by its last row
+
+
+def test_contamination_takes_no_rows_from_python(spark, folder, monkeypatch):
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    benchmark = spark.read.parquet(f"{path}/benchmark.parquet")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *_, **__: pytest.fail("a second Python daemon would run in each executor"))
+    assert decontaminate.remove_contaminated(docs, benchmark).count() == docs.count() - 2
