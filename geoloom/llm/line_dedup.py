@@ -426,6 +426,8 @@ def similar_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     counted = rarity_classes(table)
     classes = docs.sparkSession.sparkContext.broadcast(counted)
     found = stage(meet(prefix_rows(with_ages(docs), classes, t), t, OLDEST), "line-pairs")
+    classes.destroy()  # else driver and executors keep its BUCKETS bytes
+    del counted, classes
     pairs = stage(found.filter("old is not null").select("new", "old").distinct(), "different-pairs")
     dead = verified(docs, sets, pairs, t)
     # sets with other possible matches than those that failed meet them all
